@@ -237,9 +237,13 @@ def from_flat(points: DataFrame, segments: DataFrame, keys: Sequence[str] = (),
 
 
 def clip_to_segments(
-    spans: DataFrame, segments: DataFrame, on: Sequence[str] = ("chrom",), seg_keys: Sequence[str] = ()
+    spans: DataFrame,
+    segments: DataFrame,
+    on: Sequence[str] = ("chrom",),
+    seg_keys: Sequence[str] = (),
+    span: tuple[str, str] = ("start_pos", "end_pos"),
 ) -> DataFrame:
-    """Cut intervals to a segment set and express the pieces in flat coordinates, one row per piece."""
+    """Cut intervals to a segment set, one row per piece, in genomic (``piece_start``) and flat coordinates."""
     seg = segments.select(
         *on,
         *seg_keys,
@@ -247,11 +251,14 @@ def clip_to_segments(
         F.col("end_pos").alias("r_end"),
         F.col("seg_off").alias("__o"),
     )
-    hit = overlap_join(spans, seg, on=on)
-    lo, hi = F.greatest("start_pos", "r_start"), F.least("end_pos", "r_end")
-    return hit.withColumn("flat_start", F.col("__o") + lo - F.col("r_start")).withColumn(
-        "flat_end", F.col("__o") + hi - F.col("r_start")
-    ).drop("__o", "r_start", "r_end")
+    hit = overlap_join(spans, seg, span, on=on)
+    lo, hi = F.greatest(span[0], "r_start"), F.least(span[1], "r_end")
+    flat = {
+        "piece_start": lo,
+        "flat_start": F.col("__o") + lo - F.col("r_start"),
+        "flat_end": F.col("__o") + hi - F.col("r_start"),
+    }
+    return hit.withColumns(flat).drop("__o", "r_start", "r_end")
 
 
 def containing(
