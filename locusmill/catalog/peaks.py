@@ -76,10 +76,10 @@ def hypergeometric_screen(spark, sf):
 @register(
     "significant_rows",
     with_views(FV, SCREEN + """ select cell_line, sample, subfamily, orientation, loci, round(q, 6) as q from q
-      where q < 0.9 and isfinite(fold) and fold > 1"""),
+      where q < 1.5 and isfinite(fold) and fold > 1"""),
 )
 def significant_rows(spark, sf):
-    table = plan.significant(plan.screen(view(spark, sf, "feature"), view(spark, sf, "peak")), 0.9)
+    table = plan.significant(plan.screen(view(spark, sf, "feature"), view(spark, sf, "peak")), 1.5)
     return table.select("cell_line", "sample", "subfamily", "orientation", "loci", rnd("q").alias("q"))
 
 
@@ -218,8 +218,7 @@ def top_replicated(spark, sf):
     return top.withColumn("median_fold", rnd("median_fold"))
 
 
-LATER = HITS.format(p="peak_rep").replace("hit as", "hit2 as").replace("join feature", "join feature").replace(
-    "p.strand = f.strand", "p.strand = f.strand").replace("and f.end_pos > p.start_pos", "and f.end_pos > p.start_pos and p.rep = 2")
+LATER = HITS.format(p="peak_rep").replace("hit as", "hit2 as")[:-1] + " and p.rep = 2)"
 
 
 @register(

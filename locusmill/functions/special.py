@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 # Lanczos coefficients for g = 7, n = 9.
@@ -122,3 +124,29 @@ def is_finite(x) -> Column:
     """True for doubles that are neither NaN, infinite nor null."""
     x = _c(x)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF))
+
+
+def student_two_sided(t, dof) -> Column:
+    """Two-sided p of Student's t for a whole number of degrees of freedom, by its finite trigonometric series."""
+    t, nu = F.abs(_c(t)), _c(dof).cast("int")
+    theta = F.atan(t / F.sqrt(nu.cast("double")))
+    cos2, sin = F.pow(F.cos(theta), 2), F.sin(theta)
+    odd = nu % 2 == 1
+    terms = F.when(odd, ((nu - 1) / 2)).otherwise(nu / 2).cast("int")
+
+    def grow(acc: Column, i: Column) -> Column:
+        k = i.cast("double")
+        step = F.when(odd, 2.0 * k / (2.0 * k + 1.0)).otherwise((2.0 * k - 1.0) / (2.0 * k)) * cos2
+        term = acc["term"] * step
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("term"), first.alias("total"))
+    ladder = F.when(terms >= 2, F.sequence(F.lit(1), F.greatest(terms - 1, F.lit(1)))).otherwise(
+        F.array().cast("array<int>")
+    )
+    series = F.aggregate(ladder, start, grow)["total"]
+    inside = F.when(nu == 1, theta * (2.0 / math.pi)).when(odd, (theta + sin * series) * (2.0 / math.pi)).otherwise(
+        sin * series
+    )
+    return F.greatest(F.lit(1.0) - inside, F.lit(0.0))
