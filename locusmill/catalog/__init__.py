@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from .registry import QUERIES, SQL
 
-from . import algebra, peaks, signal  # noqa: E402,F401  (registration)
+from . import algebra, contacts, peaks, signal  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]

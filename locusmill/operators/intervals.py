@@ -214,10 +214,19 @@ def flat_offsets(segments: DataFrame, keys: Sequence[str] = (), within: Sequence
     return running_total(sized, keys, "start_pos", "seg_len", "seg_off", within)
 
 
-def to_flat(points: DataFrame, segments: DataFrame, on: Sequence[str] = ("chrom",), pos: str = "pos") -> DataFrame:
-    """Genomic position to flat coordinate; positions outside every segment drop out."""
+def to_flat(
+    points: DataFrame,
+    segments: DataFrame,
+    on: Sequence[str] = ("chrom",),
+    pos: str = "pos",
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Genomic position to flat coordinate; positions outside every segment drop out.
+
+    ``carry`` names segment columns to bring along, such as the gene whose coordinate it is.
+    """
     seg = segments.select(
-        *on, F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), F.col("seg_off").alias("__o")
+        *on, *carry, F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), F.col("seg_off").alias("__o")
     )
     hit = point_join(points, seg, pos, ("__s", "__e"), on)
     return hit.withColumn("flat", F.col("__o") + F.col(pos) - F.col("__s")).drop("__s", "__e", "__o")
