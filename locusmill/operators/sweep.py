@@ -31,6 +31,7 @@ def counts_in_spans(
     ``points`` has keys, ``pos`` and the numeric ``codes``; every ``by`` value of ``spans`` gets a row.
     """
     keys, by, codes = list(keys), list(by), list(codes)
+    extra = [c for c in by if c not in keys]
     at = points.groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in codes])
     at = at.withColumn("__b", floor_div("pos", block))
 
@@ -40,8 +41,8 @@ def counts_in_spans(
             F.struct(F.col("start_pos").alias("pos"), F.lit(-1).alias("__w")),
         )
     )
-    marks = spans.select(*keys, *by, ends.alias("__e")).select(
-        *keys, *by, F.col("__e.pos").alias("pos"), F.col("__e.__w").alias("__w")
+    marks = spans.select(*keys, *extra, ends.alias("__e")).select(
+        *keys, *extra, F.col("__e.pos").alias("pos"), F.col("__e.__w").alias("__w")
     )
     marks = marks.withColumn("__b", floor_div("pos", block))
 
@@ -56,13 +57,13 @@ def counts_in_spans(
     marks, at, scan_keys = split_hot(marks, at, cell, hot_rows)
     if hot_rows is None:
         marks, at, scan_keys = marks.withColumn(SALT, F.lit(0)), at.withColumn(SALT, F.lit(0)), [*cell, SALT]
-    nulls = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in by]
+    nulls = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in extra]
     lanes = at.select(*scan_keys, "pos", F.lit(1).alias("__kind"), F.lit(0).alias("__w"), *nulls, *codes)
-    asks = marks.select(*scan_keys, "pos", F.lit(0).alias("__kind"), "__w", *by, *zero)
+    asks = marks.select(*scan_keys, "pos", F.lit(0).alias("__kind"), "__w", *extra, *zero)
     # At equal positions interval ends come first, so a count takes the points strictly below.
     scan = W.partitionBy(*scan_keys).orderBy("pos", "__kind").rowsBetween(W.unboundedPreceding, 0)
     swept = lanes.unionByName(asks).select(
-        *cell, *by, "__kind", "__w", *[F.sum(c).over(scan).alias(f"__run_{c}") for c in codes]
+        *cell, *extra, "__kind", "__w", *[F.sum(c).over(scan).alias(f"__run_{c}") for c in codes]
     )
     asked = swept.where(F.col("__kind") == 0).join(base, cell)
     return asked.groupBy(*by).agg(
