@@ -240,7 +240,7 @@ def within(spark, sf):
 FCGE = ["feature", "contact", "gene", "exon"]
 
 
-@register("within_gene_counts", with_views(FCGE, WITHIN + " select gene_id, family, subfamily, orientation, n_copies, d0, d1, d2, c0, c1, c2 from r"))
+@register("within_gene_counts", with_views(FCGE, WITHIN + " select r.gene_id, family, subfamily, orientation, n_copies, d0, d1, d2, c0, c1, c2 from r join ctl on ctl.gene_id = r.gene_id"))
 def within_gene_counts(spark, sf):
     return within(spark, sf)[0]
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import NAN, normal_upper, student_two_sided
+from ..session import staged
 from .order import ALL, _scoped, exact_median, mid_ranks
 
 
@@ -16,6 +17,8 @@ def mann_whitney(df: DataFrame, scope: Sequence[str], group: str, value: str) ->
     The pool is the same for all groups of a scope, so it is ranked once. Normal p with tie and continuity correction.
     """
     df, keys = _scoped(df, scope)
+    # Ranks are joined back by value, so the values are fixed first.
+    df = staged(df.select(*keys, group, value))
     ranks = mid_ranks(df, keys, value)
     n = F.col("n").cast("double")
     pool = ranks.groupBy(*keys).agg(F.sum(n * n * n - n).alias("__ties"), F.max("n_total").alias("n_pool"))
@@ -65,6 +68,7 @@ def correlation(df: DataFrame, x: str, y: str, scope: Sequence[str] = (), ranks:
     """Pearson (or Spearman, on average ranks) correlation per scope with its t-test p."""
     df, keys = _scoped(df, scope)
     if ranks:
+        df = staged(df)
         for c in (x, y):
             table = mid_ranks(df, keys, c).select(*keys, c, F.col("rank").alias(f"__rank_{c}"))
             df = df.join(table, [*keys, c])

@@ -2,7 +2,8 @@
 
 Equal values are collapsed first, so ties cannot pile up. Distinct values are then split into buckets at approximate
 quantiles of the distinct values, which makes buckets even; scans run per bucket, with one row per bucket carrying the
-sums across buckets. Results are exact: the approximate edges only decide which task a value goes to.
+sums across buckets. Results are exact: the approximate edges only decide which task a value goes to. They are written
+out once, since a sketch merged in another order could place a value in another bucket.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.intervals import depth_stratum
 from ..functions.special import NAN
+from ..session import staged
 
 BUCKETS = 128
 ALL = "__all"
@@ -30,7 +32,7 @@ def value_runs(df: DataFrame, scope: Sequence[str], value: str, buckets: int = B
     edges = runs.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, 1000).alias("__edges"), F.sum("n").alias("n_total")
     )
-    spread = runs.join(edges, keys).withColumn(
+    spread = runs.join(staged(edges), keys).withColumn(
         "__bucket", F.size(F.filter("__edges", lambda e: e < F.col(value)))
     ).drop("__edges")
     within = W.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
@@ -115,6 +117,8 @@ def benjamini_hochberg(
         worst_first = F.min("__v").over(group.orderBy(F.col(p).desc()))
         out = out.withColumn(q, F.when(F.col(tested), F.least(worst_first, F.lit(1.0))).otherwise(F.lit(NAN)))
         return out.drop("__v", tested, ALL)
+    # The p-values are joined back by value, so they are fixed first.
+    df = staged(df)
     usable = df.where(F.col(p).isNotNull() & ~F.isnan(p))
     runs, keys = _scoped(value_runs(usable, scope, p), scope)
     runs = runs.withColumn("__v", F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n")))
