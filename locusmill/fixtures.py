@@ -78,6 +78,21 @@ VIEWS: dict[str, str] = {
     "read_align": """
         select concat('lib', cast(lib as string)) as sample, rna_chrom as chrom, rna_pos as pos, rna_strand as strand
         from {contact}""",
+    "seq_line": """
+        select concat('chr', cast(1 + doc_id % 8 as string)) as chrom,
+          cast(floor(doc_id/8) as bigint) * 160000 % 20000000 as start_off, text as seq from {documents}""",
+    "satellite": """
+        select chrom, start_pos, end_pos from {feature} where subfamily = 'famR_0'""",
+    "bin_weight": """
+        select chrom, bin, case when (bin*37 + cast(replace(chrom, 'chr', '') as bigint)*5) % 11 = 0 then null
+            else cast(0.5 as double) + cast((bin*13) % 17 as double) / 17 end as weight
+        from (select distinct chrom, cast(floor(start_pos/200000) as bigint) as bin from {feature}) b""",
+    "eigen": """
+        select chrom, bin, case when (bin*7 + n) % 13 = 0 then null
+            else cast((n*7919 + bin*104729) % 2001 - 1000 as double) / 1000 end as e1
+        from (select chrom, cast(floor(start_pos/250000) as bigint) as bin, count(*) as n from {feature} group by 1, 2) b""",
+    "tss": """
+        select distinct chrom, case when strand = '+' then start_pos else end_pos - 1 end as pos from {gene}""",
     "chrom_size": """
         select chrom, cast(20050000 as bigint) as size from {feature} group by chrom""",
 }
