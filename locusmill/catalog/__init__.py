@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from .registry import QUERIES, SQL
 
-from . import algebra, contacts, matrix, peaks, position, reads, signal, targets  # noqa: E402,F401  (registration)
+from . import algebra, contacts, files, matrix, peaks, position, reads, signal, targets  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]

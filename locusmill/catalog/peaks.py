@@ -83,6 +83,7 @@ def significant_rows(spark, sf):
     return table.select("cell_line", "sample", "subfamily", "orientation", "loci", rnd("q").alias("q"))
 
 
+CELLS = ("cell0", "cell1")
 PERMS, BATCH, STOP = 12, 4, 2
 SHIFTED = ENRICH + SPACE + f""", cand as (select cell_line, sample, subfamily, orientation, loci as observed
       from enr where {CANDIDATE}),
@@ -146,6 +147,25 @@ def shift_calibration(spark, sf):
     return shifted(spark, sf, scramble=3).select("cell_line", "sample", "subfamily", "orientation", "observed")
 
 
+@register(
+    "external_space_loci",
+    with_views([*FV, "gene"], ENRICH + f""", cand as (select * from enr where {CANDIDATE}), inside as (
+      select distinct p.cell_line, p.sample, p.chrom, p.start_pos, p.end_pos, p.strand from peak p join gene g
+        on g.chrom = p.chrom and p.start_pos >= g.start_pos and p.start_pos < g.end_pos),
+      h2 as (select distinct p.cell_line, p.sample, f.fid, f.subfamily, case when p.strand = f.strand then 'sense' else 'antisense' end
+          as orientation from inside p join feature f on f.chrom = p.chrom and f.start_pos < p.end_pos and f.end_pos > p.start_pos)
+    select c.cell_line, c.sample, c.subfamily, c.orientation, count(h2.fid) as observed from cand c left join h2
+      on h2.cell_line = c.cell_line and h2.sample = c.sample and h2.subfamily = c.subfamily and h2.orientation = c.orientation group by all"""),
+)
+def external_space_loci(spark, sf):
+    features, peaks = view(spark, sf, "feature"), view(spark, sf, "peak")
+    cands = staged(candidates(enrichment(spark, sf)))
+    cells = F.explode(F.array(*[F.lit(c) for c in CELLS])).alias("cell_line")
+    space = view(spark, sf, "gene").select(cells, "chrom", "start_pos", "end_pos")
+    out = plan.shift_null(features, peaks, cands, 1, 1, 1, eligible=space, offset=lcg_offset)
+    return out.select("cell_line", "sample", "subfamily", "orientation", "observed")
+
+
 @register(
     "distinct_loci_per_cell",
     with_views(FV, ENRICH + f""", c as (select * from enr where {CANDIDATE}), l as (
@@ -184,7 +204,6 @@ def hit_totals(spark, sf):
     return plan.top_by_fold(plan.robust(enrichment(spark, sf), 3, 1.1), 12)[1]
 
 
-CELLS = ("cell0", "cell1")
 REPLICATED = ENRICH + f""", m as (select *, coalesce({CANDIDATE} and loci >= 4 and fold >= 1.25, false) as robust,
       case when isnan(fold) then null when fold < 1 then 0 when fold < 2 then 1 when fold < 4 then 2 when fold < 6 then 3
            when fold < 10 then 4 else 5 end as bin from enr)"""
