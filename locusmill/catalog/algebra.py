@@ -209,7 +209,7 @@ def containing_last_start(spark, sf):
     group by f.fid"""),
 )
 def overlap_existence(spark, sf):
-    genes = iv.merge(view(spark, sf, "gene"), ["chrom", "strand"])
+    genes = staged(iv.merge(view(spark, sf, "gene"), ["chrom", "strand"]))
     marks = genes.select("chrom", F.col("strand").alias("gene_strand"), *span_r())
     flags = {"on_plus": F.col("gene_strand") == "+", "on_minus": F.col("gene_strand") == "-"}
     return iv.overlap_flags(view(spark, sf, "feature").select("fid", "chrom", "start_pos", "end_pos"), marks, flags, "fid")

@@ -34,11 +34,11 @@ TAIL = ("case when loci = 0 then 1.0 else least(1.0, list_sum(list_transform(ran
         " least(pooled, n_peaks) + 1), lambda k : exp(" + LC.format(n="pooled", k="k") + " + "
         + LC.format(n="(n_pool - pooled)", k="(n_peaks - k)") + " - " + LC.format(n="n_pool", k="n_peaks") + ")))) end")
 COLUMNS = "cell_line, sample, family, subfamily, orientation, n_peaks, loci, rest, n_rest, pooled"
-CANDIDATE = "isfinite(fold) and fold > 1.2 and loci >= 3"
+CANDIDATE = "isfinite(fold) and fold > 1.05 and loci >= 3"
 
 
 def candidates(table):
-    return table.where(is_finite("fold") & (F.col("fold") > 1.2) & (F.col("loci") >= 3))
+    return table.where(is_finite("fold") & (F.col("fold") > 1.05) & (F.col("loci") >= 3))
 
 
 def enrichment(spark, sf):

@@ -82,34 +82,40 @@ def hypergeom_upper(hits, total, marked, drawn) -> Column:
     a, m, c, n = (_c(v).cast("double") for v in (hits, total, marked, drawn))
     mean = c * n / m
     sd = F.sqrt(mean * (F.lit(1.0) - c / m) * (m - n) / F.greatest(m - 1.0, F.lit(1.0)))
-    reach = sd * 60.0 + 60.0
-    upper = a > mean
-    first = F.when(upper, a).otherwise(a - 1.0)
-    floor_k = F.greatest(F.lit(0.0), n + c - m)
-    ceil_k = F.least(c, n)
-    log_first = log_choose(c, first) + log_choose(m - c, n - first) - log_choose(m, n)
-    steps_up = F.floor(F.least(ceil_k - a, reach))
-    steps_down = F.floor(F.least(a - 1.0 - floor_k, reach))
-    steps = F.when(upper, steps_up).otherwise(steps_down).cast("int")
-
-    def grow(acc: Column, i: Column) -> Column:
-        step = i.cast("double")
-        up = a + step
-        down = a - 1.0 - step
-        ratio_up = (c - up + 1.0) * (n - up + 1.0) / (up * (m - c - n + up))
-        ratio_down = (down + 1.0) * (m - c - n + down + 1.0) / ((c - down) * (n - down))
-        term = acc["term"] * F.when(upper, ratio_up).otherwise(ratio_down)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    ladder = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    outward = F.exp(log_first) * F.aggregate(ladder, start, grow)["total"]
-    impossible = F.when(upper, a > ceil_k).otherwise(a - 1.0 < floor_k)
-    tail = F.when(impossible, F.lit(0.0)).otherwise(outward)
-    p = F.when(upper, tail).otherwise(F.lit(1.0) - tail)
-    return F.when(a <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+    given = {"a": a, "m": m, "c": c, "n": n, "up": a > mean, "reach": sd * 60.0 + 60.0}
+
+    def start(s: Column) -> Column:
+        first = F.when(s["up"], s["a"]).otherwise(s["a"] - 1.0)
+        ceil_k, floor_k = F.least(s["c"], s["n"]), F.greatest(F.lit(0.0), s["n"] + s["c"] - s["m"])
+        log_first = (
+            log_choose(s["c"], first) + log_choose(s["m"] - s["c"], s["n"] - first) - log_choose(s["m"], s["n"])
+        )
+        room = F.when(s["up"], ceil_k - s["a"]).otherwise(s["a"] - 1.0 - floor_k)
+        impossible = F.when(s["up"], s["a"] > ceil_k).otherwise(s["a"] - 1.0 < floor_k)
+        return F.struct(
+            *[s[k].alias(k) for k in given],
+            F.when(impossible, F.lit(0.0)).otherwise(F.exp(log_first)).alias("first"),
+            F.floor(F.least(room, s["reach"])).cast("int").alias("steps"),
+        )
+
+    def tail(s: Column) -> Column:
+        def grow(acc: Column, i: Column) -> Column:
+            k = F.when(s["up"], s["a"] + i).otherwise(s["a"] - 1.0 - i)
+            up = (s["c"] - k + 1.0) * (s["n"] - k + 1.0) / (k * (s["m"] - s["c"] - s["n"] + k))
+            down = (k + 1.0) * (s["m"] - s["c"] - s["n"] + k + 1.0) / ((s["c"] - k) * (s["n"] - k))
+            term = acc["term"] * F.when(s["up"], up).otherwise(down)
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+        ladder = F.when(s["steps"] >= 1, F.sequence(F.lit(1), F.greatest(s["steps"], F.lit(1)))).otherwise(
+            F.array().cast("array<int>")
+        )
+        one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+        outward = s["first"] * F.aggregate(ladder, one, grow)["total"]
+        p = F.when(s["up"], outward).otherwise(F.lit(1.0) - outward)
+        return F.when(s["a"] <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+    begun = F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in given.items()])), start), F.lit(0))
+    return F.get(F.transform(F.array(begun), tail), F.lit(0))
 
 
 def ratio(top, bottom) -> Column:

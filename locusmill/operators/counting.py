@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.intervals import ANTISENSE, SENSE, orientation
+from ..session import staged
 from .intervals import TILE, merge, overlap_join
 
 CATEGORY = ("subfamily", "orientation")
@@ -24,7 +25,7 @@ def locus_hits(
     Whether a feature is hit depends only on the bases a group's peaks cover per strand, so peaks are merged first:
     however many peaks tile one place, a feature meets few merged runs.
     """
-    covered = merge(peaks, [*by, "chrom", "strand"]).select(
+    covered = staged(merge(peaks, [*by, "chrom", "strand"])).select(
         *by,
         "chrom",
         F.col("strand").alias("peak_strand"),

@@ -15,28 +15,34 @@ HOT_ROWS = 1_000_000
 SALT = "__salt"
 
 
-def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+def hot_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int, split_right: bool = True
+) -> DataFrame:
     """Keys with more than ``limit`` rows on a side, with the number of parts for each side."""
     tagged = left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(
         right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r"))
     )
     counts = tagged.groupBy(*keys).agg(F.sum("__l").alias("__nl"), F.sum("__r").alias("__nr"))
     hot = counts.where((F.col("__nl") > limit) | (F.col("__nr") > limit))
+    right_parts = F.ceil(F.greatest(F.col("__nr"), F.lit(1)) / limit).cast("int") if split_right else F.lit(1)
     return hot.select(
         *keys,
         F.ceil(F.greatest(F.col("__nl"), F.lit(1)) / limit).cast("int").alias("__pl"),
-        F.ceil(F.greatest(F.col("__nr"), F.lit(1)) / limit).cast("int").alias("__pr"),
+        right_parts.alias("__pr"),
     )
 
 
 def split_hot(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int | None = HOT_ROWS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int | None = HOT_ROWS, split_right: bool = True
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with a salt column, and the keys to join on."""
+    """Both sides with a salt column, and the keys to join on.
+
+    Without ``split_right`` every part of the left side meets the whole right side of its key.
+    """
     keys = list(keys)
     if limit is None:
         return left, right, keys
-    hot = F.broadcast(hot_keys(left, right, keys, limit))
+    hot = F.broadcast(hot_keys(left, right, keys, limit, split_right))
 
     def salted(df: DataFrame, mine: str, other: str, mine_first: bool) -> DataFrame:
         own = F.when(F.col(mine).isNull(), F.lit(0)).otherwise(

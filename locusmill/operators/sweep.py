@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.intervals import floor_div
+from ..session import staged
 from .skew import HOT_ROWS, SALT, split_hot
 
 BLOCK = 16_384
@@ -32,7 +33,7 @@ def counts_in_spans(
     """
     keys, by, codes = list(keys), list(by), list(codes)
     extra = [c for c in by if c not in keys]
-    at = points.groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in codes])
+    at = staged(points.groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in codes]))
     at = at.withColumn("__b", floor_div("pos", block))
 
     ends = F.explode(
@@ -54,7 +55,8 @@ def counts_in_spans(
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     base = blocks.select(*cell, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__base_{c}") for c in codes])
 
-    marks, at, scan_keys = split_hot(marks, at, cell, hot_rows)
+    # A block holds at most one point row per position, so its points go whole to every part of its interval ends.
+    marks, at, scan_keys = split_hot(marks, at, cell, hot_rows, split_right=False)
     if hot_rows is None:
         marks, at, scan_keys = marks.withColumn(SALT, F.lit(0)), at.withColumn(SALT, F.lit(0)), [*cell, SALT]
     nulls = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in extra]

@@ -187,7 +187,8 @@ def within_gene_tallies(
         segs.select("gene_id", "chrom", "start_pos", "end_pos", "seg_off", "size"), seg_keys=["gene_id", "size"],
     ).select("gene_id", "size", "fid", "family", "subfamily", F.col("flat_start").alias("start_pos"), F.col("flat_end").alias("end_pos")))
 
-    free = complement(merge(pieces, ["gene_id"]), length.select("gene_id", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")), ["gene_id"])
+    span = length.select("gene_id", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
+    free = staged(complement(merge(pieces, ["gene_id"]), span, ["gene_id"]))
     control = counts_in_spans(points, free, ["gene_id"], TRIPLE, keys=["gene_id"])
     control = control.withColumnsRenamed({f"d{d}": f"c{d}" for d in range(3)})
     enough = points.groupBy("gene_id").agg(F.sum(F.col("d0") + F.col("d1") + F.col("d2")).alias("__n"))
@@ -313,7 +314,7 @@ def side_discriminators(
     spans = merge(genes.select(*cols), ["chrom"]).withColumn("kind", F.lit("gene")).unionByName(
         merge(exons.select(*cols), ["chrom"]).withColumn("kind", F.lit("exon"))
     )
-    inside = counts_in_spans(sides, spans, ["kind"], ["side1", "side2"])
+    inside = counts_in_spans(sides, staged(spans), ["kind"], ["side1", "side2"])
     mito_rows = sides.where(F.col("chrom") == mito).agg(
         F.lit("chrM").alias("kind"), *[F.coalesce(F.sum(f"side{k}"), F.lit(0)).alias(f"side{k}") for k in (1, 2)]
     )

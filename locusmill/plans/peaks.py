@@ -11,11 +11,12 @@ from ..functions.special import INF, NAN, hypergeom_upper, is_finite, ratio
 from ..operators.counting import CATEGORY, categories, dense_grid, locus_counts, locus_hits, pooled
 from ..operators.intervals import clip_to_segments, flat_offsets, intersect, merge, point_join, to_flat
 from ..operators.order import benjamini_hochberg
-from ..session import staged
+from ..session import spread, staged
 
 GROUP = ("cell_line", "sample")
 POOL = ("cell_line",)
 HIT = (*GROUP, *CATEGORY)
+FLAT_TILE = 256
 
 Offset = Callable[[Column, Column], Column]
 
@@ -114,7 +115,7 @@ def shift_null(
     flat = to_flat(starts, space, [*POOL, "chrom"]).join(size, list(POOL))
     flat = staged(flat.select(*GROUP, "peak_strand", "flat", "width", "__size"))
 
-    widest = flat.agg(F.max("width")).scalar()
+    widest = flat.agg(F.coalesce(F.max("width"), F.lit(1))).scalar()
     wanted = cands.select(*POOL, "subfamily").distinct()
     reach = features.select(
         "fid", "chrom", "strand", "subfamily",
@@ -131,7 +132,8 @@ def shift_null(
     ))
 
     def loci(draws: DataFrame) -> DataFrame:
-        hits = point_join(draws, pieces, "__at", ("flat_start", "flat_end"), POOL)
+        # Pieces are no longer than a segment of the space, so the flat tiles are narrow.
+        hits = point_join(draws, pieces, "__at", ("flat_start", "flat_end"), POOL, width=FLAT_TILE)
         hits = hits.where(F.col("__at") + F.col("__past") + F.col("width") > 0)
         hits = hits.withColumn("orientation", orientation("peak_strand", "strand"))
         return hits.select(*HIT, "perm", "fid").distinct().groupBy(*HIT, "perm").agg(F.count(F.lit(1)).alias("loci"))
@@ -139,10 +141,10 @@ def shift_null(
     def draws(groups: DataFrame | None, first: int, past: int) -> DataFrame:
         moving = flat if groups is None else flat.join(groups, list(GROUP), "left_semi")
         perms = F.explode(F.sequence(F.lit(first), F.lit(past - 1)))
-        moving = moving.withColumn("perm", perms)
+        moving = spread(moving, *GROUP, "flat").withColumn("perm", perms)
         return moving.withColumn("__at", F.pmod(F.col("flat") + offset(F.col("perm"), F.col("__size")), F.col("__size")))
 
-    at_rest = flat.withColumn("perm", F.lit(0)).withColumn("__at", F.col("flat"))
+    at_rest = spread(flat, *GROUP, "flat").withColumn("perm", F.lit(0)).withColumn("__at", F.col("flat"))
     observed = loci(at_rest if scramble is None else draws(None, scramble, scramble + 1)).drop("perm")
     zero = F.lit(0).cast("long")
     state = staged(cands.join(observed, list(HIT), "left").select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.intervals import ANTISENSE, SENSE, track_orientation
 from ..operators.contrasts import mann_whitney
 from ..operators.coverage import clip_spans, library_totals, signal_sums
+from ..session import staged
 from ..operators.order import benjamini_hochberg, exact_median, quantile_strata
 
 IP, INPUT = ("ip_r1", "ip_r2"), ("in_r1", "in_r2")
@@ -54,7 +55,7 @@ def densities(signal: DataFrame, totals: DataFrame, samples: Sequence[str] = (*I
 def log_ratios(dens: DataFrame, min_input_frac: float = 0.25, ip=IP, inputs=INPUT) -> DataFrame:
     """Rows at or above the orientation's input floor, with the log2 ratio and the replicates' own ratios."""
     total = lambda names: sum((F.col(f"d_{s}") for s in names[1:]), F.col(f"d_{names[0]}"))
-    rows = dens.withColumn("ip", total(ip)).withColumn("input", total(inputs))
+    rows = staged(dens.withColumn("ip", total(ip)).withColumn("input", total(inputs)))
     floor = exact_median(rows.where("input > 0"), ["orientation"], "input", "__median")
     rows = rows.join(floor, "orientation").withColumn("floor", F.col("__median") * min_input_frac)
     eps = F.col("floor") * 0.5

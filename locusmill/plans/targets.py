@@ -10,7 +10,7 @@ from ..functions.intervals import floor_div, orientation
 from ..functions.special import NAN, normal_upper
 from ..operators.coverage import bin_grid
 from ..operators.order import benjamini_hochberg, peer_z
-from ..session import staged
+from ..session import spread, staged
 
 Uniform = Callable[[Column, Column, Column, Column, Column], Column]
 TRANS = -1
@@ -165,7 +165,8 @@ def redraw_null(
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / DRAW_CHUNK))
     work = placed.select(
         *CELL, "n_contacts", "stratum", "k", "__wa1", "__wb1", "__wa2", "__wb2", F.explode(chunks).alias("__chunk")
-    ).repartition(*CELL, "stratum", "__chunk")
+    )
+    work = spread(work, *CELL, "stratum", "__chunk")
     first = F.col("__chunk") * DRAW_CHUNK
     work = work.withColumn("i", F.explode(F.sequence(first, F.least(first + DRAW_CHUNK, F.col("k")) - 1)))
     work = work.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
