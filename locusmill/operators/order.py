@@ -136,11 +136,18 @@ def benjamini_hochberg(
 def positional_rank(
     df: DataFrame, chrom: str = "chrom", pos: str = "start_pos", ties: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
-    """1-based rank of every row in (chrom, pos, ties...) order over the whole table."""
-    from .intervals import running_total
+    """1-based rank of every row in (chrom, pos, ties...) order over the whole table.
 
-    ranked = running_total(df.withColumn("__one", F.lit(1)), [], pos, "__one", name, [chrom], ties)
-    return ranked.withColumn(name, F.col(name) + 1).drop("__one")
+    Rows are counted per position first, so the running count sees one row per position; only rows at the very same
+    position are ordered together.
+    """
+    from .intervals import BLOCK, running_total
+
+    counts = df.groupBy(chrom, pos).agg(F.count(F.lit(1)).alias("__n"))
+    base = running_total(counts, [], pos, "__n", "__below", [chrom], block=BLOCK).drop("__n")
+    here = W.partitionBy(chrom, pos).orderBy(*(ties or [c for c in df.columns if c not in (chrom, pos)]))
+    ranked = df.withColumn("__rn", F.row_number().over(here)).join(base, [chrom, pos])
+    return ranked.withColumn(name, F.col("__below") + F.col("__rn")).drop("__below", "__rn")
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], most: int, order: Sequence[Column]) -> DataFrame:

@@ -63,11 +63,11 @@ def test_packed_attributes_match_whole_keys(spark):
 
 
 def test_raw_file_names_and_strand_fallback(spark, tmp_path):
-    (tmp_path / "HNRNP_X_K562_2_chr.bed").write_text("chr1\t5\t9\tn\t0\t+ \nchr1\t7\t8\tn\t0\t.\n")
+    (tmp_path / "SAMP_X_CELLA_2_chr.bed").write_text("chr1\t5\t9\tn\t0\t+ \nchr1\t7\t8\tn\t0\t.\n")
     (tmp_path / "oddname.bed").write_text("chr1\t5\t9\tn\t0\t+\n")
     df = readers.read_raw_peaks(spark, str(tmp_path))
     got = {(r["sample"], r["cell_line"], r["rep"], r["start_pos"], r["strand"]) for r in df.collect()}
-    assert got == {("HNRNP_X", "K562", 2, 5, "+"), ("HNRNP_X", "K562", 2, 7, "-"), (None, None, None, 5, "+")}
+    assert got == {("SAMP_X", "CELLA", 2, 5, "+"), ("SAMP_X", "CELLA", 2, 7, "-"), (None, None, None, 5, "+")}
     assert readers.unparsed_files(df).count() == 1
 
 
