@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -21,7 +22,7 @@ def slices(batches: Iterable[pa.RecordBatch], sized: str, most: int = SLICE_BYTE
                 yield batch
             continue
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
             if i > start and held + n > most:
                 yield batch.slice(start, i - start)
