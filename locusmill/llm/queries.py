@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, decontaminate, reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,105 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# The rules of the URL filter.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url; a page's outcome is the quality label that has its id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    outcomes = pages.join(labels, "page_id").select("url", "good")
+    return reputation.judge(pages, outcomes, URL_RULES).drop("bound")
+
+
+SQL["op2_url_reputation"] = """
+WITH p AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+c AS (
+    SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good
+    FROM u LEFT JOIN labels ON labels.doc_id = u.page_id GROUP BY host),
+l AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM c),
+k AS (SELECT *, string_split(name, '.') AS part FROM l),
+w AS (
+    SELECT *, CASE WHEN len(part) < 2 OR regexp_full_match(name, '[0-9.]+') THEN 0
+        WHEN len(part) > 2 AND length(part[-1]) = 2 AND part[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2
+        ELSE 1 END AS wide FROM k),
+h AS (
+    SELECT host, n, good, CASE WHEN wide = 0 THEN name ELSE array_to_string(part[-(wide + 1):], '.') END AS domain,
+        CASE WHEN wide = 0 THEN name ELSE array_to_string(part[-wide:], '.') END AS suffix FROM w),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+g AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM s),
+sr AS (
+    SELECT 1 / least(0.5, greatest(1.0 / 1001, coalesce(sum((good - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS k
+    FROM s, g),
+sm AS (SELECT suffix, (k * m + good) / (k + n) AS m FROM s, g, sr),
+dr AS (
+    SELECT 1 / least(0.5, greatest(1.0 / 1001, coalesce(sum((good - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS k
+    FROM d JOIN sm USING (suffix)),
+dm AS (SELECT domain, suffix, (k * m + good) / (k + n) AS m FROM d JOIN sm USING (suffix), dr),
+hr AS (
+    SELECT 1 / least(0.5, greatest(1.0 / 1001, coalesce(sum((good - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS k
+    FROM h JOIN dm USING (domain, suffix)),
+hm AS (SELECT host, (k * m + good) / (k + n) AS m, k + n AS held FROM h JOIN dm USING (domain, suffix), hr),
+hb AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (held + 1)) AS bound FROM hm),
+r AS (
+    SELECT u.*, bound, CASE
+        WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM u JOIN hb USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict
+FROM r
+"""
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of 13 benchmark words."""
+    return hit_digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def hit_digests(found: DataFrame) -> DataFrame:
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL["op10_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS words
+    FROM i, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (
+    SELECT rid, size, p, array_to_string(w[p:p + size - 1], ' ') AS words
+    FROM (SELECT * FROM d, sizes), unnest(range(1, len(w) - size + 2)) AS t(p)),
+m AS (SELECT rid, size, p, item_id FROM dw JOIN iw USING (size, words)),
+hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM m, unnest(range(p, p + size)) AS t(q) GROUP BY rid),
+its AS (
+    SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+    FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
