@@ -23,8 +23,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .arrow import map_slices
 
 NONE = 1 << 62
-#: Distinct pieces remembered by a worker; the memory is emptied beyond, which changes no result.
-REMEMBERED = 400_000
+#: Distinct pieces, and distinct words with the space before them, that a worker remembers; beyond, the memory is
+#: emptied, which changes no result.
+REMEMBERED = 150_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -84,7 +85,11 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Encoder(dict):
+class Uneven(Exception):
+    """Spaces that cannot be split apart: two together, at an end, or before other white space."""
+
+
+class Pieces(dict):
     """Text pieces and their ids, filled as they are met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -98,8 +103,39 @@ class Encoder(dict):
         ids = self[piece] = tuple(merge_piece(piece.encode(), self.ranks))
         return ids
 
+    def all(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.__getitem__, self.find(text))))
+
+
+class Encoder(dict):
+    """Stretches between spaces and their ids, each with the space before it.
+
+    No match of the pattern crosses the place before a single space that something other than white space follows, so
+    such stretches are matched and merged separately and remembered. A text with other spaces is matched as one.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
+        self.pieces = Pieces(ranks, pattern)
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        if not stretch or stretch[0].isspace():
+            raise Uneven
+        ids = self.pieces.all(" " + stretch)
+        if len(stretch) < 40 and "\n" not in stretch:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        first, *rest = text.split(" ")
+        if not first:
+            return list(self.pieces.all(text))
+        try:
+            return list(chain(self.pieces.all(first), chain.from_iterable(map(self.__getitem__, rest))))
+        except Uneven:
+            return list(self.pieces.all(text))
 
 
 _MADE: dict = {}

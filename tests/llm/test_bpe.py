@@ -22,6 +22,12 @@ def test_any_text(text):
     assert ENCODER.encode(text) == OWN.encode_ordinary(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(" \n\tab'1\u00a0\u3000\x1c.", max_size=14))
+def test_spaces(text):
+    assert ENCODER.encode(text) == OWN.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "\n\n  x", "a" * 5000, "ab" * 3000, "Straße 123  ende\t", "<|endoftext|>", "é́" * 50, "\x1c\x1d x\x85y​  z",
     "zxqj" * 700, "١٢٣ ½ 中文字 " * 30, "it's we'll I'D", " " * 2000 + "x",
