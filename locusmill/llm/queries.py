@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, minhash, reputation, toxicity
+from . import bpe, decontaminate, minhash, pii, reputation, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,16 @@ def toxic_columns(scored: DataFrame) -> DataFrame:
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a set similarity of 0.75."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, as counts and span lists."""
+    return span_columns(pii.find(table(spark, sf_dir, "documents")))
+
+
+def span_columns(found: DataFrame) -> DataFrame:
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for k, n in zip(pii.KINDS, counts)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
