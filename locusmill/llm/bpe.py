@@ -23,9 +23,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .arrow import map_slices
 
 NONE = 1 << 62
-#: Distinct pieces, and distinct words with the space before them, that a worker remembers; beyond, the memory is
-#: emptied, which changes no result.
-REMEMBERED = 150_000
+#: Distinct pieces that a worker remembers, twice: when so many are new, those used since are kept and the others go.
+REMEMBERED = 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -35,49 +34,64 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: its own rank if it is a token, else what merging leaves."""
-    whole = ranks.get(piece)
+    """The ids of one piece: its own rank if it is a token, else what merging leaves.
+
+    tree[leaves + i] is the rank of the live pair that starts at byte i, times n, plus i; a node is the lesser of its two
+    children, so tree[1] is the lowest rank's leftmost pair.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << max(1, n - 1).bit_length()
-    mask = size - 1
-    tree = [NONE] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
+    leaves = n - 1
+    tree = [NONE] * (2 * leaves)
+    for i in range(leaves):
         rank = get(piece[i:i + 2])
         if rank is not None:
-            tree[size + i] = rank * size + i
-    for p in range(size - 1, 0, -1):
-        tree[p] = min(tree[2 * p], tree[2 * p + 1])
-    after = list(range(1, n + 1))
+            tree[leaves + i] = rank * n + i
+    for p in range(leaves - 1, 0, -1):
+        left, right = tree[2 * p], tree[2 * p + 1]
+        tree[p] = left if left < right else right
+    after = list(range(1, n + 2))
     before = list(range(-1, n))
-
-    def put(leaf: int, value: int) -> None:
-        p = leaf + size
-        tree[p] = value
-        p >>= 1
-        while p:
-            low = min(tree[2 * p], tree[2 * p + 1])
-            if tree[p] == low:
-                return
-            tree[p] = low
-            p >>= 1
-
-    def pair(i: int, end: int) -> int:
-        rank = get(piece[i:end])
-        return NONE if rank is None else rank * size + i
-
-    while tree[1] != NONE:
-        i = tree[1] & mask
+    top = tree[1]
+    while top < NONE:
+        i = top % n
         gone = after[i]
         end = after[gone]
         after[i] = end
         before[end] = i
-        put(gone, NONE)
-        put(i, pair(i, after[end]) if end < n else NONE)
+        high = low = i + leaves
+        if end < n:
+            rank = get(piece[i:after[end]])
+            tree[low] = NONE if rank is None else rank * n + i
+        else:
+            tree[low] = NONE
+        if gone < leaves:
+            high = gone + leaves
+            tree[high] = NONE
         if i:
-            put(before[i], pair(before[i], end))
+            j = before[i]
+            low = j + leaves
+            rank = get(piece[j:end])
+            tree[low] = NONE if rank is None else rank * n + j
+        low >>= 1
+        middle = (i + leaves) >> 1
+        high >>= 1
+        while high:
+            left, right = tree[2 * low], tree[2 * low + 1]
+            tree[low] = left if left < right else right
+            if middle != low:
+                left, right = tree[2 * middle], tree[2 * middle + 1]
+                tree[middle] = left if left < right else right
+            if high != middle:
+                left, right = tree[2 * high], tree[2 * high + 1]
+                tree[high] = left if left < right else right
+            low >>= 1
+            middle >>= 1
+            high >>= 1
+        top = tree[1]
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:after[i]]])
@@ -85,57 +99,28 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Uneven(Exception):
-    """Spaces that cannot be split apart: two together, at an end, or before other white space."""
-
-
-class Pieces(dict):
+class Encoder(dict):
     """Text pieces and their ids, filled as they are met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, tuple[int, ...]] = {}
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = tuple(merge_piece(piece.encode(), self.ranks))
-        return ids
-
-    def all(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.__getitem__, self.find(text))))
-
-
-class Encoder(dict):
-    """Stretches between spaces and their ids, each with the space before it.
-
-    No match of the pattern crosses the place before a single space that something other than white space follows, so
-    such stretches are matched and merged separately and remembered. A text with other spaces is matched as one.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
-        self.pieces = Pieces(ranks, pattern)
-
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        if not stretch or stretch[0].isspace():
-            raise Uneven
-        ids = self.pieces.all(" " + stretch)
-        if len(stretch) < 40 and "\n" not in stretch:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(merge_piece(piece.encode(), self.ranks))
+        if len(piece) < 64:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        first, *rest = text.split(" ")
-        if not first:
-            return list(self.pieces.all(text))
-        try:
-            return list(chain(self.pieces.all(first), chain.from_iterable(map(self.__getitem__, rest))))
-        except Uneven:
-            return list(self.pieces.all(text))
+        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
 
 _MADE: dict = {}
