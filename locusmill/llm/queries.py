@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, minhash, pii, reputation, toxicity
+from . import bpe, decontaminate, minhash, pii, reputation, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,3 +174,11 @@ def span_columns(found: DataFrame) -> DataFrame:
     counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
     counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for k, n in zip(pii.KINDS, counts)]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+@query
+def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents with equal counts, equal texts together where the counts allow."""
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
