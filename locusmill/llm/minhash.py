@@ -12,7 +12,7 @@ on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of it
 
 Cases: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle is one
 shingle; texts are read whole; rows with equal text are linked at no cost; a null id takes part, is never a component's
-id unless all its ids are null, and is not kept; rows that repeat an id are kept or not together; an empty table gives
+id unless all its ids are null, and only then is kept; rows that repeat an id are kept or not together; an empty table gives
 no rows; columns other than text and id are left out.
 """
 
@@ -258,7 +258,7 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept for every row."""
+    """doc_id, n_shingles, component_id (the smallest id that links reach), kept and a hash of the text for every row."""
     signed = staged(signatures(docs, text, doc_id, size))
     nodes = staged(
         signed.where("node is not null").groupBy("node")
@@ -267,9 +267,8 @@ def near_duplicates(
     comps = components(links(docs, nodes, text, doc_id, size, percent))
     held = staged(_with_component(nodes.select("node", "low"), comps))
     ids = held.join(held.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(ids, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"),
-        F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"),
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key"
     )
