@@ -10,7 +10,7 @@ from ..plans import contacts as plan
 from ..session import staged
 from . import sqltext
 from .algebra import INTRONS, merged_sql
-from .registry import lcg_offset, register, rnd
+from .registry import lcg_offset, lcg_sql, register, rnd
 
 SHIFTS = 3
 DCLASS = ("case when rna_chrom <> dna_chrom then 2 when abs(dna_pos - rna_pos) <= 1000000 then 0 else 1 end")
@@ -18,7 +18,8 @@ ENDS = f""", ends as (select rna_chrom as chrom, rna_pos as pos, rna_strand as r
     from contact where mapq >= 10)"""
 TRI = ", ".join(f"cast(count(*) filter (dclass = {d}) as bigint) as d{d}" for d in range(3))
 ORIENT = "case when read_strand = strand then 'antisense' else 'sense' end"
-LCG = "((k.k * 7368787 + 104729) % size)"
+LCG = lcg_sql("k.k", "size", "f.chrom")
+GENE_LCG = lcg_sql("k.k", "size", "te.gene_id", "te.subfamily", "te.orientation")
 SPANS = f""", span as (
     select f.fid, f.chrom, f.strand, f.family, f.subfamily, k.k as shift,
       case when k.k < 0 then f.start_pos else (f.start_pos + {LCG}) % size end as s,
@@ -214,7 +215,7 @@ WITHIN = HOST + INTRONS + ENDS.replace("mapq >= 10", "mapq >= 0") + f""", gl as
     from pc join cls on cls.fid = pc.fid and class in ('intronic_sense', 'intronic_anti') join ctl on ctl.gene_id = pc.gene_id),
   ob as (select t.gene_id, family, subfamily, orientation, count(distinct t.fid) as n_copies, {TRI.replace("count(*)", "count(fp)")}
     from te t left join pt p on p.gene_id = t.gene_id and p.fp >= t.fs and p.fp < t.fe group by all),
-  mv as (select gene_id, family, subfamily, orientation, k.k as shift, size, (fs + {LCG}) % size as s, fe - fs as len
+  mv as (select gene_id, family, subfamily, orientation, k.k as shift, size, (fs + {GENE_LCG}) % size as s, fe - fs as len
     from te cross join (select unnest(range({SHIFTS})) as k) k),
   nu as (select m.gene_id, family, subfamily, orientation, shift, {TRI.replace("count(*)", "count(fp)")} from mv m left join pt p
     on p.gene_id = m.gene_id and ((p.fp >= m.s and p.fp < m.s + m.len) or p.fp < m.s + m.len - m.size) group by all),

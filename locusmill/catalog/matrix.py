@@ -8,7 +8,7 @@ from ..fixtures import view, with_views
 from ..plans import matrix as plan
 from ..session import staged
 from . import sqltext
-from .registry import lcg_offset, register, rnd
+from .registry import lcg_offset, lcg_sql, register, rnd
 
 BIN, EIGEN_BIN = 200_000, 250_000
 LO, HI, PER, MOST, SHIFTS = 1, 5, 2, 60, 3
@@ -35,13 +35,16 @@ ANCHORS = binned(BIN) + f""", an as (select fid, family, subfamily, chrom, bin f
 PAIRS = f"""select {{g}}fid, family, subfamily, chrom, least(bin, tss_bin) as i, greatest(bin, tss_bin) as j from (
       select m.*, tss_bin, row_number() over (partition by {{g}}fid order by {PAIR_HASH}, tss_bin) as rn from {{t}} m
       join tb on tb.chrom = m.chrom and abs(tss_bin - bin) between {LO} and {HI}) x where rn <= {PER}"""
-LCG = "((grp * 7368787 + 104729) % 101)"
+ALL_PAIRS = f"""select {{g}}fid, family, subfamily, m.chrom, least(bin, tss_bin) as i, greatest(bin, tss_bin) as j from {{t}} m
+      join tb on tb.chrom = m.chrom and abs(tss_bin - bin) between {LO} and {HI}"""
+LCG = lcg_sql("grp", "101", "chrom")
+REST = lcg_sql("2", "101", "chrom")
 RELOCATED = ANCHORS + f""", mv as (select fid, family, subfamily, chrom, grp, case when grp = 0 then bin else (bin + {LCG}) % 101 end as bin
-    from an cross join k), qr as ({PAIRS.format(g='grp, ', t='mv')})"""
-RIGID = ANCHORS + f""", pr as ({PAIRS.format(g='', t='an')}), qr as (select grp, fid, family, subfamily, chrom, ni as i, ni + j - i as j from (
+    from el an cross join k), qr as ({ALL_PAIRS.format(g='grp, ', t='mv')})"""
+RIGID = ANCHORS + f""", pr as ({ALL_PAIRS.format(g='', t='el')}), qr as (select grp, fid, family, subfamily, chrom, ni as i, ni + j - i as j from (
     select *, case when grp = 0 then i else (i + {LCG}) % 101 end as ni from pr cross join k) x where ni + j - i < 101)"""
-SCRAMBLED = RELOCATED.replace("case when grp = 0 then bin else", "case when grp = 0 then (bin + ((2 * 7368787 + 104729) % 101)) % 101 else").replace(
-    f"(bin + {LCG}) % 101 end", f"((bin + ((2 * 7368787 + 104729) % 101)) % 101 + {LCG}) % 101 end")
+SCRAMBLED = RELOCATED.replace("case when grp = 0 then bin else", f"case when grp = 0 then (bin + {REST}) % 101 else").replace(
+    f"(bin + {LCG}) % 101 end", f"((bin + {REST}) % 101 + {LCG}) % 101 end")
 OE = EXPECTED + """, oe as (select q.*, case when a.weight is null or b.weight is null or e.expected is null then null
       when e.expected = 0 then case when coalesce(p.n, 0) = 0 then null else 'infinity'::double end
       else coalesce(p.n, 0) * a.weight * b.weight / e.expected end as oe
@@ -72,10 +75,9 @@ def matrix(spark, sf):
 
 
 def promoter(spark, sf, **how):
-    anchor, pair = order_columns()
     out = plan.promoter_contacts(
         elements(spark, sf), view(spark, sf, "tss"), *matrix(spark, sf), view(spark, sf, "chrom_size"), BIN, LO * BIN, HI * BIN,
-        SHIFTS, per_anchor=PER, max_anchors=MOST, anchor_order=anchor, pair_order=pair, offset=lcg_offset, **how)
+        SHIFTS, offset=lcg_offset, **how)
     return out.select(*[c if c in WHOLE else rnd(c, 4 if c == "z" else 6).alias(c) for c in out.columns])
 
 
@@ -130,10 +132,12 @@ def smoothed_expected(spark, sf):
     return out.select("chrom", "dist", rnd("expected").alias("expected"))
 
 
-@register("observed_over_expected", with_views(VIEWS, ANCHORS + f", qr as ({PAIRS.format(g='', t='an')})" + OE
+@register("observed_over_expected", with_views(VIEWS, ANCHORS + f", qr as ({ALL_PAIRS.format(g='', t='el')})" + OE
                                               + " select fid, chrom, i, j, round(oe, 6) as oe from oe"))
 def observed_over_expected(spark, sf):
-    pairs = staged(band_pairs(spark, sf))
+    from ..operators.coverage import point_bins
+
+    pairs = staged(plan.band_pairs(elements(spark, sf), point_bins(view(spark, sf, "tss"), BIN).select("chrom", "bin"), LO, HI))
     expected = staged(plan.expected_by_distance(*matrix(spark, sf), HI))
     out = plan.observed_over_expected(pairs, *matrix(spark, sf), expected)
     return out.select("fid", "chrom", "i", "j", rnd("oe").alias("oe"))

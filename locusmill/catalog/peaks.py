@@ -10,7 +10,7 @@ from ..operators import counting
 from ..plans import peaks as plan
 from ..session import staged
 from .algebra import SPACE, merged_sql
-from .registry import lcg_offset, register, rnd
+from .registry import lcg_offset, lcg_sql, register, rnd
 
 HITS = """, hit as (
     select distinct p.cell_line, p.sample, f.fid, f.subfamily, f.family,
@@ -94,7 +94,7 @@ SHIFTED = ENRICH + SPACE + f""", cand as (select cell_line, sample, subfamily, o
       and p.start_pos >= s.start_pos and p.start_pos < s.end_pos
     join size z on z.cell_line = p.cell_line
     where exists (select 1 from cand c where c.cell_line = p.cell_line and c.sample = p.sample)),
-  moved as (select cell_line, sample, strand, width, k.k as k, (flat + (k.k * 7368787 + 104729) % total) % total as at
+  moved as (select cell_line, sample, strand, width, k.k as k, (flat + {lcg_sql("k.k", "total", "cell_line", "sample")}) % total as at
     from flat, (select unnest(range({PERMS})) as k) k),
   placed as (select m.*, s.chrom, s.start_pos + m.at - s.seg_off as g
     from moved m asof join space s on m.cell_line = s.cell_line and m.at >= s.seg_off),

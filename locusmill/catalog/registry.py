@@ -31,6 +31,19 @@ def rnd(x: Column | str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
-def lcg_offset(k: Column, size: Column | int) -> Column:
-    """Reproducible shift offset: a linear form of the shift number modulo the space."""
-    return (k.cast("long") * 7368787 + 104729) % (F.lit(size) if isinstance(size, int) else size)
+def lcg_offset(k: Column, size: Column | int, *key: Column) -> Column:
+    """Reproducible shift offset: a linear form of the shift number and of what names the moving set, modulo the space."""
+    total = k.cast("long") * 7368787 + 104729
+    for i, c in enumerate(key):
+        text = c.cast("string")
+        total = total + (F.ascii(F.right(text, F.lit(1))) * 7919 + F.length(text) * 613) * (2 * i + 1)
+    return total % (F.lit(size) if isinstance(size, int) else size)
+
+
+def lcg_sql(k: str, size: str, *key: str) -> str:
+    """``lcg_offset`` in SQL."""
+    terms = [
+        f"(ascii(right(cast({c} as varchar), 1)) * 7919 + length(cast({c} as varchar)) * 613) * {2 * i + 1}"
+        for i, c in enumerate(key)
+    ]
+    return f"(({' + '.join([f'{k} * 7368787', '104729', *terms])}) % {size})"

@@ -45,7 +45,7 @@ def shifted_spans(anchors: DataFrame, sizes: DataFrame, shifts: int, offset: Off
         raise ValueError(f"unknown edge {edge!r}; choose clip or wrap")
     k = F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))
     moved = anchors.join(sizes.select("chrom", "size"), "chrom").withColumn("shift", k)
-    start = (F.col("start_pos") + offset(F.col("shift"), F.col("size"))) % F.col("size")
+    start = (F.col("start_pos") + offset(F.col("shift"), F.col("size"), F.col("chrom"))) % F.col("size")
     moved = moved.withColumn("__len", F.col("end_pos") - F.col("start_pos")).withColumn("start_pos", start)
     end = F.col("start_pos") + F.col("__len")
     if edge == "clip":
@@ -204,7 +204,8 @@ def within_gene_tallies(
 
     k = F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))
     moved = tested.withColumn("shift", k).withColumn("__len", F.col("end_pos") - F.col("start_pos"))
-    moved = moved.withColumn("start_pos", (F.col("start_pos") + offset(F.col("shift"), F.col("size"))) % F.col("size"))
+    drawn = offset(F.col("shift"), F.col("size"), F.col("gene_id"), F.col("subfamily"), F.col("orientation"))
+    moved = moved.withColumn("start_pos", (F.col("start_pos") + drawn) % F.col("size"))
     end = F.col("start_pos") + F.col("__len")
     first = F.struct(F.col("start_pos").alias("s"), F.least(end, F.col("size")).alias("e"))
     rest = F.struct(F.lit(0).cast("long").alias("s"), (end - F.col("size")).alias("e"))

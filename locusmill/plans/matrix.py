@@ -19,7 +19,7 @@ def at_resolution(table: DataFrame, resolution: int) -> DataFrame:
     """Rows of one resolution; an unknown one is an error that lists those present."""
     got = table.where(F.col("resolution") == resolution)
     if got.isEmpty():
-        known = sorted(r["resolution"] for r in table.select("resolution").distinct().limit(100).collect())
+        known = sorted(r["resolution"] for r in table.select("resolution").distinct().collect())
         raise ValueError(f"resolution {resolution} not present; available: {known}")
     return got.drop("resolution")
 
@@ -122,12 +122,12 @@ def band_pairs(
     tss_bins: DataFrame,
     min_dist: int,
     max_dist: int,
-    per_anchor: int,
-    order: Sequence[Column],
+    per_anchor: int | None = None,
+    order: Sequence[Column] = (),
     anchor_key: Sequence[str] = ("fid",),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Anchors with promoter bins between the two separations, at most ``per_anchor`` of them per anchor.
+    """Anchors with promoter bins between the two separations: all, or a sample of ``per_anchor`` of them per anchor.
 
     Both sides meet on tiles as wide as the largest separation, an anchor in the three tiles it can reach.
     """
@@ -138,7 +138,7 @@ def band_pairs(
     a, t, keys = split_hot(a, t, ["chrom", "__t"], hot_rows)
     apart = F.abs(F.col("tss_bin") - F.col("bin"))
     pairs = a.join(t, keys).where((apart >= min_dist) & (apart <= max_dist)).drop("__t", "__salt")
-    kept = sample_per_group(pairs, anchor_key, per_anchor, order)
+    kept = pairs if per_anchor is None else sample_per_group(pairs, anchor_key, per_anchor, order)
     return kept.withColumn("i", F.least("bin", "tss_bin")).withColumn("j", F.greatest("bin", "tss_bin"))
 
 
@@ -162,7 +162,7 @@ def relocate(anchors: DataFrame, sizes: DataFrame, binsize: int, shifts: int, of
     n_bins = F.ceil(F.col("size") / F.lit(binsize))
     groups = F.explode(F.sequence(F.lit(0), F.lit(shifts)))
     moved = anchors.join(sizes.select("chrom", "size"), "chrom").withColumn("grp", groups)
-    shifted = (F.col("bin") + offset(F.col("grp") - 1 + first, n_bins)) % n_bins
+    shifted = (F.col("bin") + offset(F.col("grp") - 1 + first, n_bins, F.col("chrom"))) % n_bins
     return moved.withColumn("bin", F.when(F.col("grp") == 0, F.col("bin")).otherwise(shifted)).drop("size")
 
 
@@ -173,7 +173,7 @@ def shift_pairs(pairs: DataFrame, sizes: DataFrame, binsize: int, shifts: int, o
         "grp", F.explode(F.sequence(F.lit(0), F.lit(shifts)))
     )
     apart = F.col("j") - F.col("i")
-    i = F.when(F.col("grp") == 0, F.col("i")).otherwise((F.col("i") + offset(F.col("grp"), n_bins)) % n_bins)
+    i = F.when(F.col("grp") == 0, F.col("i")).otherwise((F.col("i") + offset(F.col("grp"), n_bins, F.col("chrom"))) % n_bins)
     moved = moved.withColumn("__n", n_bins).withColumn("__d", apart).withColumn("i", i)
     moved = moved.withColumn("j", F.col("i") + F.col("__d")).where(F.col("j") < F.col("__n"))
     return moved.drop("size", "__n", "__d")
@@ -214,21 +214,26 @@ def promoter_contacts(
     max_dist: int,
     shifts: int,
     mode: str = "relocate",
-    per_anchor: int = 4,
-    max_anchors: int = 1000,
+    per_anchor: int | None = None,
+    max_anchors: int | None = None,
     anchor_order: Sequence[Column] | None = None,
     pair_order: Sequence[Column] | None = None,
     offset: Offset | None = None,
     scramble: int | None = None,
     smooth: float | None = None,
 ) -> DataFrame:
-    """Element anchors against promoters over expected, with a relocation or rigid-pair null."""
+    """Element anchors against promoters over expected, with a relocation or rigid-pair null.
+
+    All anchors and all promoters of their bands count unless a sample size is given.
+    """
     if mode not in ("relocate", "pair"):
         raise ValueError(f"unknown mode {mode!r}; choose relocate or pair")
     offset = offset or hashed_offset()
     anchor_order = anchor_order or [F.xxhash64("fid"), F.col("fid")]
     pair_order = pair_order or [F.xxhash64("fid", "tss_bin"), F.col("tss_bin")]
-    anchors = sample_per_group(elements, ["subfamily"], max_anchors, anchor_order)
+    anchors = elements
+    if max_anchors is not None:
+        anchors = sample_per_group(elements, ["subfamily"], max_anchors, anchor_order)
     anchors = staged(anchors.select("fid", "family", "subfamily", "chrom", "bin"))
     if scramble is not None:
         anchors = relocate(anchors, sizes, binsize, 1, offset, scramble).where("grp = 1").drop("grp")

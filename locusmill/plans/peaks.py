@@ -18,12 +18,13 @@ POOL = ("cell_line",)
 HIT = (*GROUP, *CATEGORY)
 FLAT_TILE = 256
 
-Offset = Callable[[Column, Column], Column]
+#: The offset of a shift's number, a space's size and the columns that name what moves as one.
+Offset = Callable[..., Column]
 
 
 def hashed_offset(seed: int = 0) -> Offset:
-    """A shift offset drawn from a hash of the seed and the shift number."""
-    return lambda k, size: F.pmod(F.xxhash64(F.lit(seed), k), size)
+    """A shift offset drawn afresh for every shift number and every key from a hash of the seed."""
+    return lambda k, size, *key: F.pmod(F.xxhash64(F.lit(seed), k, *key), size)
 
 
 def reproducible_peaks(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +143,7 @@ def shift_null(
         moving = flat if groups is None else flat.join(groups, list(GROUP), "left_semi")
         perms = F.explode(F.sequence(F.lit(first), F.lit(past - 1)))
         moving = spread(moving, *GROUP, "flat").withColumn("perm", perms)
-        return moving.withColumn("__at", F.pmod(F.col("flat") + offset(F.col("perm"), F.col("__size")), F.col("__size")))
+        return moving.withColumn("__at", F.pmod(F.col("flat") + offset(F.col("perm"), F.col("__size"), *map(F.col, GROUP)), F.col("__size")))
 
     at_rest = spread(flat, *GROUP, "flat").withColumn("perm", F.lit(0)).withColumn("__at", F.col("flat"))
     observed = loci(at_rest if scramble is None else draws(None, scramble, scramble + 1)).drop("perm")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -28,16 +29,46 @@ BEDGRAPH = "chrom string, start_pos long, end_pos long, value double"
 COUNTS = "fid string, chrom string, start_pos string, end_pos string, strand string, length string, n string"
 
 
-def _tsv(spark: SparkSession, schema: str, header: bool = False, mode: str = "DROPMALFORMED"):
+def _tsv(spark: SparkSession, schema: str, header: bool = False, mode: str = "PERMISSIVE"):
     return (
         spark.read.schema(schema).option("sep", "\t").option("comment", "#").option("header", header)
         .option("mode", mode).option("recursiveFileLookup", "true").option("quote", "")
     )
 
 
+def _lines(spark: SparkSession, path: str | list[str], schema: str, least: int | None = None) -> DataFrame:
+    """Tab-separated lines by the schema, with ``path`` and ``fault``: why a line is no row, else null.
+
+    Every column of a line is looked at whatever is selected later, so the rows do not depend on the plan. Blank and
+    comment lines are no lines; an empty field is null. ``least`` columns do where lines may be wider or narrower.
+    """
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = raw.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    raw = raw.withColumn("__p", F.split("value", "\t", -1))
+    text = {name: F.nullif(F.get("__p", F.lit(k)), F.lit("")) for k, (name, _) in enumerate(fields)}
+    typed = {name: text[name] if kind == "string" else text[name].try_cast(kind) for name, kind in fields}
+    wrong = [text[name].isNotNull() & typed[name].isNull() for name, kind in fields if kind != "string"]
+    width = F.size("__p") != len(fields) if least is None else F.size("__p") < least
+    fault = F.when(width, "columns")
+    if wrong:
+        fault = fault.when(reduce(lambda x, y: x | y, wrong), "number")
+    return raw.select(*[typed[name].alias(name) for name, _ in fields], "path", fault.alias("fault"))
+
+
+def _rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    return _lines(spark, path, schema).where("fault is null").drop("path", "fault")
+
+
+def lost_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Lines per file and fault (columns, number) that the reader of ``schema`` leaves out."""
+    lost = _lines(spark, path, schema).where("fault is not null")
+    return lost.groupBy("path", "fault").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def read_rmsk(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Repeat table: 17 tab-separated columns, plain or gzipped, header optional."""
-    return _tsv(spark, RMSK).csv(path)
+    """Repeat table: 17 tab-separated columns, plain or gzipped; a header is a lost line."""
+    return _rows(spark, path, RMSK)
 
 
 def canonical_elements(rmsk: DataFrame, rules=tx.CANONICAL_RULES) -> DataFrame:
@@ -48,7 +79,7 @@ def canonical_elements(rmsk: DataFrame, rules=tx.CANONICAL_RULES) -> DataFrame:
 
 def read_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Element GTF with pipe-packed attributes; records without a subfamily or strand drop out."""
-    raw = _tsv(spark, GTF).csv(path)
+    raw = _rows(spark, path, GTF)
     sub = tx.packed_value("attributes", "subfamily_id")
     rows = raw.select(
         tx.packed_value("attributes", "gene_id").alias("gene_id"), "chrom",
@@ -98,7 +129,7 @@ def read_prepared_peaks(spark: SparkSession, path: str | list[str]) -> DataFrame
 
 def read_gene_model(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Gene-model records with the attributes in use; only records on a strand."""
-    raw = _tsv(spark, GTF).csv(path).where(F.col("strand").isin("+", "-"))
+    raw = _rows(spark, path, GTF).where(F.col("strand").isin("+", "-"))
     return raw.select(
         "feature", "chrom", from_one_based("start_pos").alias("start_pos"), "end_pos", "strand",
         *[tx.gtf_value("attributes", k).alias(k) for k in ("gene_id", "gene_type", "gene_name")],
@@ -124,7 +155,7 @@ def transcription_starts(model: DataFrame, protein_coding: bool = False) -> Data
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Contact pairs, several files pooled; short rows drop out."""
-    raw = _tsv(spark, PAIRS).csv(path).where("mapq_dna is not null and rna_pos is not null and dna_pos is not null")
+    raw = _rows(spark, path, PAIRS).where("mapq_dna is not null and rna_pos is not null and dna_pos is not null")
     return raw.select(
         "rna_chrom", from_one_based("rna_pos").alias("rna_pos"), "rna_strand", "mapq", "dna_chrom",
         from_one_based("dna_pos").alias("dna_pos"), "mapq_dna",
@@ -141,8 +172,8 @@ def read_chrom_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Signal steps with the file they come from."""
-    return _tsv(spark, BEDGRAPH).csv(path).withColumn("path", F.col("_metadata.file_path"))
+    """Signal steps with the file they come from; track lines are lost lines."""
+    return _lines(spark, path, BEDGRAPH).where("fault is null").drop("fault")
 
 
 def read_manifest_tracks(spark: SparkSession, manifest: str, root: str, assay: str) -> DataFrame:
