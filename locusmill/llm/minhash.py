@@ -7,7 +7,8 @@ similarity of 0.75 lies within the radius but in about 1 of 10,000 cases, and sh
 
 Sets, not documents, are filed, so equal texts are one entry. Pairs in a bucket are never all formed: members are held
 against the bucket's leader, the member that meets most others; what was linked is one component; and only pairs from
-different components of a bucket, one of them outside its largest, are compared after that. Every link is confirmed
+different components are compared after that, found among the nodes of buckets with several components by their rare shingles,
+which loses no pair that is alike enough. Every link is confirmed
 on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of its own.
 
 Cases: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle is one
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..session import staged
-from .arrow import map_slices, texts
+from .arrow import map_slices, slices, texts
 from .components import components
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 48, 14, 8, 2
@@ -218,14 +219,57 @@ def _towards_leaders(buckets: DataFrame, order: Column) -> DataFrame:
     return met.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.b").alias("b"))
 
 
-def _across(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs from different components of a bucket, one of them at least outside the bucket's largest component."""
-    held = staged(_with_component(buckets, comps))
-    sizes = held.groupBy("key", "comp").count()
-    mixed_keys = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    rows = staged(held.join(mixed_keys.select("key", F.col("top.comp").alias("main")), "key").select("key", "node", "comp", "main"))
-    minor = rows.where("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    met = minor.join(rows, "key").where("comp != x_comp and (comp = main or x < node)")
+def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFrame:
+    """token, node and comp: of each set the shingles of which two sets that are alike enough share one at least.
+
+    In any one order of all shingles, sets that share ``percent`` of a hundred share one of the first n - ceil(percent n /
+    100) + 1 of each. The order here puts those first that are rare in a sample; the table of frequent ones is bounded, as
+    a shorter one changes what the join costs and not what it finds.
+    """
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).select(F.explode("shingles").alias("token"))
+    often = some.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(listed)
+    rows = sorted((r["token"], r["count"]) for r in often.collect())
+    shared = sets.sparkSession.sparkContext.broadcast((np.array([t for t, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)))
+
+    def run(batches):
+        tokens, counts = shared.value
+        for batch in batches:
+            for part in slices([batch], "shingles", 1 << 24):
+                node, comp, found = (part.column(part.schema.get_field_index(c)) for c in ("node", "comp", "shingles"))
+                out, repeats = [], []
+                for x in found:
+                    own = x.values.to_numpy(zero_copy_only=False)
+                    n = len(own) - -(-percent * len(own) // 100) + 1
+                    if len(tokens):
+                        place = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                        own = own[np.lexsort((own, np.where(tokens[place] == own, counts[place], 0)))]
+                    else:
+                        own = np.sort(own)
+                    out.append(own[:n])
+                    repeats.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(out)), pa.array(np.repeat(node.to_numpy(zero_copy_only=False), repeats)),
+                     pa.array(np.repeat(comp.to_numpy(zero_copy_only=False), repeats))], names=["token", "node", "comp"],
+                )
+
+    return sets.select("node", "comp", "shingles").mapInArrow(run, "token long, node long, comp long")
+
+
+def _several(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of the values of ``by`` that have several components, with the largest of these."""
+    sizes = rows.groupBy(by, "comp").count()
+    mixed_keys = sizes.groupBy(by).agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    return staged(rows.join(mixed_keys.select(by, F.col("top.comp").alias("main")), by).select(by, "node", "comp", "main"))
+
+
+def _across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different components that may be alike: all that share a bucket are among the nodes of buckets with
+    several components, and all that are alike share a rare shingle. Pairs inside the largest component of those that have
+    the shingle are left out."""
+    nodes = _several(staged(_with_component(buckets, comps)), "key").select("node", "comp").distinct()
+    rows = _several(staged(_rare_first(sets.join(nodes, "node"), percent)), "token")
+    minor = rows.where("comp != main").select("token", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
+    met = minor.join(rows, "token").where("comp != x_comp and (comp = main or x < node)")
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
@@ -252,7 +296,7 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
         apart = _with_component(apart.withColumnRenamed("b", "node"), comps).where("comp != ca").select("a", F.col("node").alias("b"))
         found = staged(found.unionByName(_confirmed(apart, met, sets, percent)))
         comps = components(found)
-    return staged(found.unionByName(_confirmed(_across(buckets, comps), met, sets, percent)))
+    return staged(found.unionByName(_confirmed(_across(buckets, comps, sets, percent), met, sets, percent)))
 
 
 def near_duplicates(
