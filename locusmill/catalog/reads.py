@@ -13,11 +13,10 @@ from .registry import register, rnd
 SAMPLES = ("lib0", "lib1", "lib2", "lib3")
 A, B = SAMPLES[:2], SAMPLES[2:]
 FR = ["feature", "read_align"]
-AT = """, held as (select p.chrom, p.pos, f.strand as f_strand, f.fid from (select distinct chrom, pos from read_align) p
-    join feature f on f.chrom = p.chrom and f.start_pos <= p.pos and f.end_pos > p.pos)"""
-COUNTS = AT + """, one as (select chrom, pos, f_strand, max(fid) as fid from held group by chrom, pos, f_strand having count(*) = 1),
-  cn as (select r.sample, case when r.strand = o.f_strand then 'sense' else 'antisense' end as orientation, o.fid, count(*) as n
-    from read_align r join one o on o.chrom = r.chrom and o.pos = r.pos group by all)"""
+AT = """, held as (select distinct r.sample, r.frag, r.strand = f.strand as agree, f.fid from read_align r
+    join feature f on f.chrom = r.chrom and f.start_pos < r.end_pos and f.end_pos > r.start_pos)"""
+COUNTS = AT + """, one as (select sample, frag, agree, max(fid) as fid from held group by all having count(*) = 1),
+  cn as (select sample, case when agree then 'sense' else 'antisense' end as orientation, fid, count(*) as n from one group by all)"""
 WIDE = COUNTS + """, w as (select f.family, f.subfamily, orientation, """ + ", ".join(
     f"cast(sum(case when sample = '{s}' then n else 0 end) as bigint) as {s}" for s in SAMPLES
 ) + """, count(distinct cn.fid) as n_copies_with_reads from cn join feature f on f.fid = cn.fid group by f.family, f.subfamily, orientation),
@@ -36,8 +35,8 @@ def read_counts(spark, sf):
 
 @register(
     "read_counts_multi",
-    with_views(FR, AT + """ select r.sample, case when r.strand <> o.f_strand then 'sense' else 'antisense' end as orientation,
-      o.fid, count(*) as n from read_align r join held o on o.chrom = r.chrom and o.pos = r.pos group by all"""),
+    with_views(FR, AT + """ select sample, case when agree then 'antisense' else 'sense' end as orientation, fid, count(*) as n
+      from held group by all"""),
 )
 def read_counts_multi(spark, sf):
     return counts(spark, sf, setting=2, multi="all")
@@ -45,16 +44,16 @@ def read_counts_multi(spark, sf):
 
 @register("assignment_rates", with_views(FR, COUNTS + """ select a.sample, orientation, assigned, total, round(assigned / total, 6) as rate from (
     select sample, orientation, cast(sum(n) as bigint) as assigned from cn group by all) a
-    join (select sample, count(*) as total from read_align group by sample) t on t.sample = a.sample"""))
+    join (select sample, count(distinct frag) as total from read_align group by sample) t on t.sample = a.sample"""))
 def assignment_rates(spark, sf):
     return plan.assignment_rates(counts(spark, sf), view(spark, sf, "read_align")).withColumn("rate", rnd("rate"))
 
 
 @register(
     "strandedness",
-    with_views(["gene", "read_align"], """, c as (select r.sample, count(*) filter (r.strand = g.strand) as s1,
-        count(*) filter (r.strand <> g.strand) as s2 from read_align r join gene g on g.chrom = r.chrom
-        and g.start_pos <= r.pos and g.end_pos > r.pos group by r.sample),
+    with_views(["gene", "read_align"], """, h as (select r.sample, r.frag, r.strand = g.strand as agree, count(distinct g.gene_id) as k from read_align r
+        join gene g on g.chrom = r.chrom and g.start_pos < r.end_pos and g.end_pos > r.start_pos group by all),
+      c as (select sample, count(*) filter (agree) as s1, count(*) filter (not agree) as s2 from h where k = 1 group by sample),
       v as (select *, case when least(s1, s2) > 0 then greatest(s1, s2) / least(s1, s2) else greatest(s1, s2) end as x from c)
     select sample, s1, s2, round(x, 6) as ratio, case when greatest(s1, s2) = 0 then 'no reads' when x < 5 then 'unstranded'
       when s1 > s2 then 'setting 1' else 'setting 2' end as verdict from v"""),

@@ -78,8 +78,10 @@ VIEWS: dict[str, str] = {
           count(*) as n
         from {contact} where rna_chrom = dna_chrom group by 1, 2, 3""",
     "read_align": """
-        select concat('lib', cast(lib as string)) as sample, rna_chrom as chrom, rna_pos as pos, rna_strand as strand
-        from {contact}""",
+        select concat('lib', cast(lib as string)) as sample, rna_chrom as chrom, rna_pos * 1000000 + dna_pos % 1000000 as frag,
+          rna_pos + m.m * (60 + dna_pos % 300) as start_pos, rna_pos + m.m * (60 + dna_pos % 300) + 75 as end_pos,
+          rna_strand as strand
+        from {contact}, (select 0 as m union all select 1) m where m.m = 0 or dna_pos % 2 = 0""",
     "seq_line": """
         select concat('chr', cast(1 + doc_id % 8 as string)) as chrom,
           cast(floor(doc_id/8) as bigint) * 160000 % 20000000 as start_off, text as seq from {documents}""",

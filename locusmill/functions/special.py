@@ -77,12 +77,13 @@ def hypergeom_upper(hits, total, marked, drawn) -> Column:
     """P(X >= hits) for X ~ Hypergeometric(total, marked, drawn); 1 when hits is 0.
 
     The tail on the far side of the mean is summed outward from its largest term by the ratio recurrence, so nothing
-    under- or overflows; terms more than 60 standard deviations out are zero in double arithmetic.
+    under- or overflows. By Bernstein's bound all terms beyond 10 standard deviations and 60 together are less than 1e-20 of
+    the mass on that side; terms fall faster the further out the sum starts, so the same holds of the sum.
     """
     a, m, c, n = (_c(v).cast("double") for v in (hits, total, marked, drawn))
     mean = c * n / m
     sd = F.sqrt(mean * (F.lit(1.0) - c / m) * (m - n) / F.greatest(m - 1.0, F.lit(1.0)))
-    given = {"a": a, "m": m, "c": c, "n": n, "up": a > mean, "reach": sd * 60.0 + 60.0}
+    given = {"a": a, "m": m, "c": c, "n": n, "up": a > mean, "reach": sd * 10.0 + 60.0}
 
     def start(s: Column) -> Column:
         first = F.when(s["up"], s["a"]).otherwise(s["a"] - 1.0)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.intervals import floor_div, overlaps
-from .skew import HOT_ROWS, split_hot
+from .skew import split_hot
 
 TILE = 4096
 BLOCK = 65_536
@@ -33,9 +33,13 @@ def overlap_join(
     right_span: tuple[str, str] = ("r_start", "r_end"),
     on: Sequence[str] = ("chrom",),
     width: int = TILE,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """All overlapping pairs of two interval tables whose non-key columns differ in name."""
+    """All overlapping pairs of two interval tables whose non-key columns differ in name.
+
+    Tiles with many rows are left to Spark's skew join, which splits them after the shuffle. With ``hot_rows`` they are
+    counted and split before it, at the cost of evaluating both sides twice.
+    """
     a = tile(left, *left_span, width)
     b = tile(right, *right_span, width)
     a, b, keys = split_hot(a, b, [*on, TILE_COL], hot_rows)
@@ -51,9 +55,9 @@ def point_join(
     span: tuple[str, str] = ("start_pos", "end_pos"),
     on: Sequence[str] = ("chrom",),
     width: int = TILE,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Every (point, interval holding it) pair."""
+    """Every (point, interval holding it) pair; tiles with many rows as in ``overlap_join``."""
     a = points.withColumn(TILE_COL, floor_div(pos, width))
     b = tile(spans, *span, width)
     a, b, keys = split_hot(a, b, [*on, TILE_COL], hot_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.intervals import ANTISENSE, SENSE
 from ..functions.special import NAN, normal_upper
-from ..operators.intervals import point_join
+from ..operators.intervals import overlap_join
 from ..operators.order import benjamini_hochberg
 from ..session import staged
 
@@ -16,43 +16,44 @@ KEY = ("subfamily", "orientation")
 
 
 def count_reads(features: DataFrame, reads: DataFrame, setting: int = 1, multi: str = "drop") -> DataFrame:
-    """Fragments per (sample, orientation, copy); one input row per fragment.
+    """Fragments per (sample, orientation, copy). reads: sample, frag, chrom, start_pos, end_pos, strand of an alignment.
 
-    Sense counting wants the read on the copy's strand (setting 1) or opposite it (setting 2); antisense counting uses
-    the strand-flipped copies. A fragment over several eligible copies is dropped, or counted on each with ``all``.
-    Reads are collapsed per position and strand first, and the copies at a position are looked up once.
+    A fragment is on a copy if a base of any of its alignments is. Sense counting wants the copy's strand (setting 1) or
+    the other (setting 2); antisense counting uses the strand-flipped copies. A fragment on several eligible copies is
+    dropped, or counted on each with ``all``. Equal stretches are looked up once.
     """
     if setting not in (1, 2):
         raise ValueError(f"strand setting must be 1 or 2, not {setting}")
     if multi not in ("drop", "all"):
         raise ValueError(f"unknown multi {multi!r}; choose drop or all")
-    piles = reads.groupBy("sample", "chrom", "pos", "strand").agg(F.count(F.lit(1)).alias("n"))
-    places = reads.select("chrom", "pos").distinct()
-    spans = features.select("chrom", "fid", F.col("strand").alias("f_strand"), "start_pos", "end_pos")
-    at = point_join(places, spans)
-    if multi == "drop":
-        at = at.groupBy("chrom", "pos", "f_strand").agg(F.count(F.lit(1)).alias("__k"), F.max("fid").alias("fid"))
-        at = at.where("__k = 1").drop("__k")
+    place = ["chrom", "start_pos", "end_pos"]
+    copies = features.select(
+        "chrom", "fid", F.col("strand").alias("f_strand"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end")
+    )
+    held = overlap_join(reads.select(*place).distinct(), copies).select(*place, "f_strand", "fid")
     agree = F.col("strand") == F.col("f_strand")
     o = F.when(agree if setting == 1 else ~agree, SENSE).otherwise(ANTISENSE)
-    hits = piles.join(at.select("chrom", "pos", "f_strand", "fid"), ["chrom", "pos"]).withColumn("orientation", o)
-    return hits.groupBy("sample", "orientation", "fid").agg(F.sum("n").alias("n"))
+    on = reads.join(held, place).select("sample", "frag", o.alias("orientation"), "fid")
+    if multi == "drop":
+        on = on.groupBy("sample", "frag", "orientation").agg(F.min("fid").alias("fid"), F.max("fid").alias("__last"))
+        on = on.where(F.col("fid") == F.col("__last"))
+    else:
+        on = on.distinct()
+    return on.groupBy("sample", "orientation", "fid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def assignment_rates(counts: DataFrame, reads: DataFrame) -> DataFrame:
     """Assigned and total fragments per (sample, orientation)."""
-    total = reads.groupBy("sample").agg(F.count(F.lit(1)).alias("total"))
+    total = reads.select("sample", "frag").distinct().groupBy("sample").agg(F.count(F.lit(1)).alias("total"))
     assigned = counts.groupBy("sample", "orientation").agg(F.sum("n").alias("assigned"))
     return assigned.join(total, "sample").withColumn("rate", F.col("assigned") / F.col("total"))
 
 
 def strandedness(genes: DataFrame, reads: DataFrame, least_ratio: float = 5.0) -> DataFrame:
-    """Counts under both strand settings over genes of known strand, and the setting to use."""
-    piles = reads.groupBy("sample", "chrom", "pos", "strand").agg(F.count(F.lit(1)).alias("n"))
-    spans = genes.select("chrom", F.col("strand").alias("g_strand"), "start_pos", "end_pos")
-    hits = point_join(piles, spans)
-    same = F.col("strand") == F.col("g_strand")
-    counts = hits.groupBy("sample").agg(
+    """Fragments on one gene only under both strand settings, and the setting to use."""
+    counts = count_reads(genes.withColumnRenamed("gene_id", "fid"), reads)
+    same = F.col("orientation") == SENSE
+    counts = counts.groupBy("sample").agg(
         F.sum(F.when(same, F.col("n")).otherwise(0)).alias("s1"), F.sum(F.when(~same, F.col("n")).otherwise(0)).alias("s2")
     )
     out = reads.select("sample").distinct().join(counts, "sample", "left").na.fill(0, ["s1", "s2"])
