@@ -242,12 +242,11 @@ def sorted_shards(spark, sf):
 
 @register(
     "result_export",
-    with_views(["feature", "peak"], ENRICH + """ select cell_line, sample, subfamily, orientation, loci, round(fold, 4) as fold from enr
-      where isfinite(fold)"""),
+    with_views(["feature", "peak"], ENRICH + """ select cell_line, sample, subfamily, orientation, loci, round(fold, 4) as fold from enr"""),
 )
 def result_export(spark, sf):
     path = scratch_path(spark, "result")
-    table = enrichment(spark, sf).where(peak_plan.is_finite("fold"))
+    table = enrichment(spark, sf)
     writers.write_tsv(table.select("cell_line", "sample", "subfamily", "orientation", "loci", "fold"), path, {"fold": "%.4f"})
     schema = "cell_line string, sample string, subfamily string, orientation string, loci long, fold double"
     return readers.read_table(spark, path, schema).withColumn("fold", rnd("fold", 4))

@@ -132,6 +132,36 @@ def shifted(spark, sf, **how):
     return plan.shift_null(features, peaks, cands, PERMS, STOP, BATCH, offset=lcg_offset, **how)
 
 
+MANY = 100
+LIKELY = "p < 0.05 and isfinite(fold) and fold > 1"
+_MANY_DRAWS = SHIFTED[len(ENRICH + SPACE):].replace(f"from enr where {CANDIDATE}", f"from q where {LIKELY}").replace(
+    f"range({PERMS})", f"range({MANY})"
+)
+
+
+@register(
+    "permutation_table",
+    with_views(FV, SCREEN + SPACE + _MANY_DRAWS + f""", res as (select cell_line, sample, subfamily, orientation, observed,
+      cast({MANY} as bigint) as n_perm, cast(sum(case when loci >= observed then 1 else 0 end) as bigint) as exceed,
+      cast(sum(loci) as bigint) as total from perm group by all),
+  resp as (select r.*, (exceed + 1) / (n_perm + 1) as p_perm, q.pooled, q.fold as fold_pooled, q.q as q_screen from res r
+    join q on q.cell_line = r.cell_line and q.sample = r.sample and q.subfamily = r.subfamily and q.orientation = r.orientation),
+  ranked2 as (select *, count(*) over (partition by cell_line) as m2, count(*) over (partition by cell_line order by p_perm) as rk2 from resp),
+  fin as (select *, least(1.0, min(p_perm * m2 / rk2) over (partition by cell_line order by p_perm desc)) as q_perm from ranked2)
+  select cell_line, sample, subfamily, orientation, observed, n_perm, exceed, pooled, round(p_perm, 6) as p_perm,
+    round(total / n_perm, 6) as expected, round(case when total = 0 then 'infinity'::double else observed / (total / n_perm) end, 6) as fold_perm,
+    round(q_perm, 6) as q_perm, round(fold_pooled, 6) as fold_pooled, round(q_screen, 6) as q_screen, q_perm < 0.2 as significant
+  from fin"""),
+)
+def permutation_table(spark, sf):
+    out = plan.permutation_analysis(
+        view(spark, sf, "feature"), view(spark, sf, "peak"), MANY, 0.2, lambda t: t.where(LIKELY.replace("isfinite(fold)", "fold < double('inf')")),
+        stop_at=MANY + 1, batch=MANY, offset=lcg_offset,
+    )
+    doubles = ("p_perm", "expected", "fold_perm", "q_perm", "fold_pooled", "q_screen")
+    return out.select(*[rnd(c).alias(c) if c in doubles else c for c in out.columns])
+
+
 @register("shift_permutation", with_views(FV, STOPPED))
 def shift_permutation(spark, sf):
     out = shifted(spark, sf)

@@ -188,6 +188,28 @@ def shift_null(
     return benjamini_hochberg(out, "p_perm", "q_perm", POOL)
 
 
+def permutation_analysis(
+    features: DataFrame,
+    peaks: DataFrame,
+    max_perms: int,
+    q_cut: float = 0.05,
+    candidate: Callable[[DataFrame], DataFrame] = significant,
+    **null,
+) -> DataFrame:
+    """Screen, candidates, budget, shift null and the final table, by cell line, p and falling fold.
+
+    A budget too small for the candidates of a cell line is an error. ``significant`` marks the rows that the null keeps;
+    the rest of ``null`` goes to ``shift_null``.
+    """
+    chosen = staged(candidate(screen(features, peaks)))
+    most = chosen.groupBy(*POOL).count().agg(F.max("count")).first()[0]
+    check_budget(max_perms, most or 0, q_cut)
+    carried = chosen.select(*HIT, "pooled", F.col("fold").alias("fold_pooled"), F.col("q").alias("q_screen"))
+    out = shift_null(features, peaks, chosen, max_perms, **null).join(carried, list(HIT))
+    out = out.withColumn("significant", F.col("q_perm") < q_cut)
+    return out.orderBy(*POOL, "p_perm", F.desc("fold_pooled"), *GROUP[len(POOL):], *CATEGORY)
+
+
 def loci_report(features: DataFrame, peaks: DataFrame, hits: DataFrame, families: Sequence[str]) -> DataFrame:
     """Distinct loci behind the hits of each cell line, in total and per family."""
     found = locus_hits(features, peaks, carry=("subfamily", "family"))
