@@ -50,7 +50,8 @@ def test_host_classes(spark):
 
 def test_read_over_two_copies_is_dropped(spark):
     f = spark.createDataFrame([(1, "c", 0, 100, "+", "s", "F"), (2, "c", 50, 150, "+", "s", "F"), (3, "c", 50, 150, "-", "s", "F")], F_SCHEMA)
-    r = spark.createDataFrame([("l", "c", 60, "+"), ("l", "c", 10, "+")], "sample string, chrom string, pos long, strand string")
+    r = spark.createDataFrame([("l", 1, "c", 60, 61, "+"), ("l", 2, "c", 10, 11, "+")],
+                              "sample string, frag long, chrom string, start_pos long, end_pos long, strand string")
     got = {(x["orientation"], x["fid"]): x["n"] for x in reads.count_reads(f, r).collect()}
     assert got == {("sense", 1): 1, ("antisense", 3): 1}
     assert reads.count_reads(f, r, multi="all").where("orientation = 'sense'").count() == 2
