@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_blocks, minhash, pii, reputation, sharding, substrings, toxicity
+from . import bpe, decontaminate, html_blocks, minhash, pii, reputation, search, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,3 +203,25 @@ def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html_blocks.extract(pages, html_blocks.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, its whole text being the query."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+SQL["op5_block_max_search"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n),
+q AS (SELECT rid AS qid, doc_id AS query_id, term FROM d JOIN tf USING (rid) WHERE doc_id % 100 = 0),
+s AS (
+    SELECT qid, query_id, tf.rid, CAST(sum(round(1000 * idf * tf * (1.2 + 1) / (tf + 1.2 * (1 - 0.75 + 0.75 * len(w) / mean)))) AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN d ON d.rid = tf.rid, n GROUP BY qid, query_id, tf.rid),
+r AS (
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
