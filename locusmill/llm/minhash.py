@@ -220,7 +220,7 @@ def _towards_leaders(buckets: DataFrame, order: Column) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFrame:
-    """token, node and comp: of each set the shingles of which two sets that are alike enough share one at least.
+    """token, node, comp, pos and size: of each set the shingles of which two sets that are alike enough share one at least.
 
     In any one order of all shingles, sets that share ``percent`` of a hundred share one of the first n - ceil(percent n /
     100) + 1 of each. The order here puts those first that are rare in a sample; the table of frequent ones is bounded, as
@@ -236,7 +236,7 @@ def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFra
         for batch in batches:
             for part in slices([batch], "shingles", 1 << 24):
                 node, comp, found = (part.column(part.schema.get_field_index(c)) for c in ("node", "comp", "shingles"))
-                out, repeats = [], []
+                out, repeats, sizes = [], [], []
                 for x in found:
                     own = x.values.to_numpy(zero_copy_only=False)
                     n = len(own) - -(-percent * len(own) // 100) + 1
@@ -247,29 +247,35 @@ def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFra
                         own = np.sort(own)
                     out.append(own[:n])
                     repeats.append(n)
+                    sizes.append(len(own))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out)), pa.array(np.repeat(node.to_numpy(zero_copy_only=False), repeats)),
-                     pa.array(np.repeat(comp.to_numpy(zero_copy_only=False), repeats))], names=["token", "node", "comp"],
+                     pa.array(np.repeat(comp.to_numpy(zero_copy_only=False), repeats)),
+                     pa.array(np.concatenate([np.arange(n) for n in repeats])), pa.array(np.repeat(sizes, repeats))],
+                    names=["token", "node", "comp", "pos", "size"],
                 )
 
-    return sets.select("node", "comp", "shingles").mapInArrow(run, "token long, node long, comp long")
+    return sets.select("node", "comp", "shingles").mapInArrow(run, "token long, node long, comp long, pos long, size long")
 
 
 def _several(rows: DataFrame, by: str) -> DataFrame:
     """Rows of the values of ``by`` that have several components, with the largest of these."""
     sizes = rows.groupBy(by, "comp").count()
     mixed_keys = sizes.groupBy(by).agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    return staged(rows.join(mixed_keys.select(by, F.col("top.comp").alias("main")), by).select(by, "node", "comp", "main"))
+    return staged(rows.join(mixed_keys.select(by, F.col("top.comp").alias("main")), by))
 
 
 def _across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs from different components that may be alike: all that share a bucket are among the nodes of buckets with
-    several components, and all that are alike share a rare shingle. Pairs inside the largest component of those that have
-    the shingle are left out."""
+    several components, and all that are alike share a rare shingle. The first one they share leaves enough behind it in
+    both sets for what they must have in common, so other meetings are left out, and so are pairs inside the largest
+    component of those that have the shingle."""
     nodes = _several(staged(_with_component(buckets, comps)), "key").select("node", "comp").distinct()
     rows = _several(staged(_rare_first(sets.join(nodes, "node"), percent)), "token")
-    minor = rows.where("comp != main").select("token", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    met = minor.join(rows, "token").where("comp != x_comp and (comp = main or x < node)")
+    minor = rows.where("comp != main").selectExpr("token", "node as x", "comp as x_comp", "pos as x_pos", "size as x_size")
+    behind = F.least(F.col("size") - F.col("pos"), F.col("x_size") - F.col("x_pos"))
+    enough = (100 + percent) * behind >= percent * (F.col("size") + F.col("x_size"))
+    met = minor.join(rows, "token").where(F.expr("comp != x_comp and (comp = main or x < node)") & enough)
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
