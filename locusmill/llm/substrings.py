@@ -24,9 +24,11 @@ other than id and text are left out.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..session import staged
@@ -130,6 +132,19 @@ def _joined(block: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray
     return data, after - sizes, np.repeat(after, sizes)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` written out; what the driver no longer holds is collected, so that its shuffle files go from the disks."""
+    out = staged(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _range(low: str, high: str) -> Column:
+    """A range of starts as one number; its ends are at most _REACH apart."""
+    return (F.col(low).cast("long") * 256 + (F.col(high) - F.col(low))).alias("range")
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """id, text and two columns that know a row: a hash of the text and the id."""
     return docs.select(
@@ -191,7 +206,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
 
 def _counted_strings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """k1, k2, low and high of runs of starts, among the wanted anchors' strings, that share their 200-byte bucket."""
-    ranges = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    ranges = wanted.groupBy("k1", "k2").agg(F.collect_set(_range("low", "high")).alias("ranges"))
     found = rows.join(ranges, ["k1", "k2"]).select("text", "k1", "k2", "ranges")
 
     def run(batches):
@@ -202,7 +217,7 @@ def _counted_strings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 grams = None
                 cuts = []
                 for r in ranges[i]:
-                    a, b = max(r["low"] - offset, 0), min(r["high"] - offset, len(data) - SIZE)
+                    a, b = max(r // 256 - offset, 0), min(r // 256 + r % 256 - offset, len(data) - SIZE)
                     if a <= b:
                         cuts.append((a, b))
                 if not cuts:
@@ -221,12 +236,12 @@ def _counted_strings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """k1, k2 and ranges: first and last starts of strings that are found elsewhere too."""
+    """k1, k2 and ranges: starts of strings that are found elsewhere too, each 256 times the first and how far the last is."""
     rows = _keyed(docs, text, doc_id)
-    shared = staged(_shared_anchors(rows))
+    shared = _settled(_shared_anchors(rows))
     strings = _counted_strings(rows, shared.where("not done or first").select("k1", "k2", "low", "high"))
     done = shared.where("done").select("k1", "k2", "low", "high")
-    return done.unionByName(strings).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    return done.unionByName(strings).groupBy("k1", "k2").agg(F.collect_set(_range("low", "high")).alias("ranges"))
 
 
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -235,7 +250,7 @@ _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField(
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes: start, end) and kept (the remaining bytes) of every row."""
     rows = _keyed(docs, text, doc_id)
-    found = rows.join(staged(repeated_ranges(docs, text, doc_id)), ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    found = rows.join(_settled(repeated_ranges(docs, text, doc_id)), ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     added = StructType([StructField("n_bytes", LongType()), StructField("spans", _SPANS), StructField("kept", BinaryType())])
 
     def run(part: pa.RecordBatch) -> list:
@@ -243,7 +258,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         spans, kept = [], []
         for data, ranges in zip(raw, part.column(part.schema.get_field_index("ranges")).to_pylist()):
             own: list[list[int]] = []
-            for a, b in sorted((r["low"], r["high"] + SIZE) for r in ranges or ()):
+            for a, b in sorted((r // 256, r // 256 + r % 256 + SIZE) for r in ranges or ()):
                 if own and a <= own[-1][1]:
                     own[-1][1] = max(own[-1][1], b)
                 else:
