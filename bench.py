@@ -7,7 +7,7 @@ import os
 import time
 
 from locusmill.catalog import QUERIES
-from locusmill.session import local_session
+from locusmill.session import clear_staged, local_session
 
 HEADLINE = (
     "overlap_pairs",
@@ -42,6 +42,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        clear_staged(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf,

@@ -122,7 +122,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key in _written:
         return _written[key]
     if name in ANNOTATION:
-        _written[key] = staged(_derive(spark, sf_dir, name))
+        _written[key] = staged(_derive(spark, sf_dir, name), keep=True)
         return _written[key]
     return _derive(spark, sf_dir, name)
 

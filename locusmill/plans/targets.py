@@ -178,7 +178,12 @@ def redraw_null(
 
     slots = bins.where("weight > 0").select("g", (F.col("cum") - F.col("weight")).alias("__c0"), F.col("cum").alias("__c1"))
     # The running sums are compared exactly, so a bin starts where the one before it ends.
-    slots = slots.withColumn("__c0", F.coalesce(F.lag("__c1").over(W.partitionBy(F.lit(0)).orderBy("g")), F.lit(0.0)))
+    along = W.partitionBy(F.lit(0)).orderBy("g")
+    # The last bin is open above: a draw rounded up to the last running sum falls into it.
+    slots = slots.withColumns({
+        "__c0": F.coalesce(F.lag("__c1").over(along), F.lit(0.0)),
+        "__c1": F.when(F.lead("g").over(along).isNull(), F.lit(1.0 + 2.0 / SLOTS)).otherwise(F.col("__c1")),
+    })
     slots = slots.withColumn("__slot", F.explode(F.sequence(
         F.floor(F.col("__c0") * SLOTS).cast("long"), F.floor(F.col("__c1") * SLOTS).cast("long")
     )))

@@ -17,8 +17,10 @@ TUNED = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "locusmill") -> SparkSession:
-    """A local-mode session for tests and the benchmark; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "locusmill", scratch: str | None = None
+) -> SparkSession:
+    """A local-mode session for tests and the benchmark; a cluster brings its own. ``scratch`` is its shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for key, value in TUNED.items():
         builder = builder.config(key, value)
+    if scratch is not None:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -58,13 +62,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and go on from the files.
+#: Folders written by ``staged`` that are still there.
+_written: list[str] = []
+
+
+def clear_staged(spark: SparkSession, first: int = 0) -> int:
+    """Delete what ``staged`` wrote from the ``first``-th folder on, once its results are used; how many folders went.
+
+    ``first = len(staged_paths())`` before an analysis and this call after it keep what other analyses still read.
+    """
+    gone = _written[first:]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in gone:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[first:]
+    return len(gone)
+
+
+def staged_paths() -> list[str]:
+    """Folders that ``clear_staged`` would delete."""
+    return list(_written)
+
+
+def staged(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and go on from the files, until ``clear_staged`` unless ``keep``.
 
     The files outlive lost executors, cut the lineage, and keep column pruning and size statistics for what follows.
     """
     path = scratch_path(df.sparkSession, "staged")
     df.write.parquet(path)
+    if not keep:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -110,3 +110,22 @@ def test_overlaps_with_and_without_split_tiles(spark):
     plain = {(r.x, r.y) for r in iv.overlap_join(a, b).collect()}
     assert plain == {(r.x, r.y) for r in iv.overlap_join(a, b, hot_rows=50).collect()}
     assert len(plain) == sum(x % 50 < y % 40 + 2 and y % 40 < x % 50 + 3 for x in range(500) for y in range(200))
+
+
+def test_staged_files_go(spark):
+    from locusmill.session import clear_staged, staged, staged_paths
+
+    first = len(staged_paths())
+    out = staged(spark.range(10))
+    path = staged_paths()[-1]
+    assert out.count() == 10 and spark.read.parquet(path).count() == 10
+    assert clear_staged(spark, first) == 1 and len(staged_paths()) == first
+    with pytest.raises(Exception, match="(?i)path does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
+def test_resolutions(spark):
+    table = spark.createDataFrame([(5000, 1), (10000, 2), (10000, 3)], "resolution int, n int")
+    assert sorted(r.n for r in matrix.at_resolution(table, 10000).collect()) == [2, 3]
+    with pytest.raises(ValueError, match="5000, 10000"):
+        matrix.at_resolution(table, 7)
