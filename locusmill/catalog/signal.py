@@ -164,7 +164,7 @@ EDGED = DENS + """, ed as (select orientation, quantile_cont(input, [0.25, 0.5,
       case when length < 400 then 0 when length < 700 then 1 when length < 1000 then 2 end as band
     from l join ed on ed.orientation = l.orientation),
   stk as (select *, rank() over (partition by {k} order by l2) + (count(*) over (partition by {k}, l2) - 1) / 2.0 as r,
-      count(*) over (partition by {k}, l2) as t from st where band is not null),
+      count(*) over (partition by {k}, l2) as t from st where {w}),
   cell as (select {k}, count(*) as nn, sum(t*t - 1.0) as ties, count(*) filter (flagged) as n1,
       sum(r) filter (flagged) as rsum, median(l2) filter (flagged) - median(l2) filter (not flagged) as delta
     from stk group by {k} having count(*) filter (flagged) >= 5 and count(*) filter (not flagged) >= 5),
@@ -174,12 +174,13 @@ EDGED = DENS + """, ed as (select orientation, quantile_cont(input, [0.25, 0.5,
 
 def stratified(spark, sf, keys):
     rows = plan.input_strata(ratios(spark, sf), STRATA).withColumn("flagged", F.col("family") == "famN")
-    rows = staged(rows.withColumn("band", plan.length_band("length", BANDS)).where("band is not null"))
+    rows = rows.withColumn("band", plan.length_band("length", BANDS))
+    rows = staged(rows.where("band is not null") if "band" in keys else rows)
     return contrasts.stratified_contrast(rows, keys, "flagged", "l2", 5)
 
 
 for _name, _keys in (("stratum_contrast", ["orientation", "stratum"]), ("band_stratum_contrast", ["orientation", "band", "stratum"])):
-    _sql = EDGED.format(k=", ".join(_keys)) + f""" select {", ".join(_keys)}, n1 as n_flagged, nn - n1 as n_rest,
+    _sql = EDGED.format(k=", ".join(_keys), w="band is not null" if "band" in _keys else "true") + f""" select {", ".join(_keys)}, n1 as n_flagged, nn - n1 as n_rest,
       round(delta, 6) as delta, round(least(1.0, 2 * {sqltext.normal_upper("z")}), 6) as p from cp"""
 
     @register(_name, with_views(FT, _sql))
@@ -187,7 +188,7 @@ for _name, _keys in (("stratum_contrast", ["orientation", "stratum"]), ("band_st
         return stratified(spark, sf, list(keys)).withColumn("delta", rnd("delta")).withColumn("p", rnd("p"))
 
 
-@register("contrast_summary", with_views(FT, EDGED.format(k="orientation, stratum") + """ select orientation, count(*) as n_cells,
+@register("contrast_summary", with_views(FT, EDGED.format(k="orientation, stratum", w="true") + """ select orientation, count(*) as n_cells,
     round(median(delta), 6) as median_delta, count(*) filter (delta > 0) as n_positive from cell group by orientation"""))
 def contrast_summary(spark, sf):
     out = contrasts.contrast_summary(stratified(spark, sf, ["orientation", "stratum"]), ["orientation"])

@@ -71,7 +71,7 @@ VIEWS: dict[str, str] = {
           concat('chr', cast(1 + user_id % 8 as string)) as chrom,
           (event_id*179424673 + user_id*15487469) % 20000000 as start_pos,
           (event_id*179424673 + user_id*15487469) % 20000000 + 500 + user_id % 500 as end_pos, value
-        from {events} where event_type <> 'error'""",
+        from {events}""",
     "pixel": """
         select rna_chrom as chrom, least(cast(floor(rna_pos/200000) as bigint), cast(floor(dna_pos/200000) as bigint)) as i,
           greatest(cast(floor(rna_pos/200000) as bigint), cast(floor(dna_pos/200000) as bigint)) as j,
