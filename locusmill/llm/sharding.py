@@ -1,12 +1,18 @@
 """Balanced label propagation over links between documents. DataFrame functions only.
 
-Rows start in shards by a hash. In each round every row with links counts its neighbours' shards, wishes for the
-commonest, and moves if the shard has room under its quota: wishes for a shard are ranked by what they gain, and only as
-many as there is room for are let in. At the end a repair moves the rows that are one too many in a shard to shards with room, rows
-without links first, so that counts differ by one at most. Slots number a shard's rows without a gap.
+Rows start in shards by a hash. Rows of equal text are a group, and a group moves whole: it tallies its rows' shards,
+wishes for the commonest with room for all of it, or else for any with room, and moves if those that wish for the same
+shard and are ranked before it leave room under the shard's quota; larger groups are ranked before smaller ones. A row of a
+group that has not moved holds no place. Rounds go on until no group wishes to move and has room. At the end all other rows
+keep their shard or move to shards with room, so that counts differ by one at most. Slots number a shard's rows without
+a gap.
 
-Rows of equal text are a group; its links are a chain of stars: members are dealt to hubs of at most HUB members, and
-hubs' first rows are linked in turn, so that no row has more than HUB links on a level however large its group is.
+In a round a shard lets in all that wish for it, or else loses a third of its room at least: what is refused is less than
+twice as large as what was let in first. Rounds are therefore bounded by shards times the logarithm of the quota to the
+base 1.5, which ``propagate`` takes as its bound; a few are enough.
+
+``group_links`` are links to measure a cut with: a chain of stars, members dealt to hubs of at most HUB members, and hubs'
+first rows linked in turn, so that no row has more than HUB links on a level however large its group is.
 
 Ranks within a shard are made of counts of hash blocks and ranks within a block: no window holds a shard.
 
@@ -59,18 +65,24 @@ def group_links(rows: DataFrame) -> DataFrame:
             return staged(out)
 
 
-def ranked(rows: DataFrame, by: str, order: Column, blocks: int) -> DataFrame:
-    """``rows`` with rank, gapless from 0 within ``by`` along (order, rid); order is a long of 62 bits or fewer.
+def ranked(
+    rows: DataFrame, by: str, order: Column, blocks: int, level: Column | None = None, weight: str = "1", tie: str = "rid"
+) -> DataFrame:
+    """``rows`` with rank, the ``weight`` of all rows before along (level, order, tie) within ``by``: gapless from 0 for 1.
 
-    Rows are dealt to blocks along the order; a block's rank starts at the rows of ``by`` in the blocks before it. The
-    table of counts has blocks times the values of ``by`` rows.
+    order is a long of 62 bits or fewer, level a small int. Rows are dealt to blocks along both; a block's rank starts at
+    the weight of ``by`` in the blocks before it. The table of counts has at most blocks times levels times the values of
+    ``by`` rows.
     """
     width = (1 << 62) // max(1, blocks)
-    dealt = rows.withColumns({"_o": order, "_block": F.floor(order / F.lit(width)).cast("int")})
-    counts = dealt.groupBy(by, "_block").agg(F.count("*").alias("_n"))
+    block = F.floor(order / F.lit(width)).cast("long")
+    if level is not None:
+        block += level.cast("long") * F.lit(2 * max(1, blocks))
+    dealt = rows.withColumns({"_o": order, "_block": block, "_w": F.expr(weight).cast("long")})
+    counts = dealt.groupBy(by, "_block").agg(F.sum("_w").alias("_n"))
     before = counts.selectExpr(by, "_block", f"sum(_n) over (partition by {by} order by _block) - _n as _before")
     out = dealt.join(before, [by, "_block"])
-    inner = f"row_number() over (partition by {by}, _block order by _o, rid) - 1 + _before"
+    inner = f"sum(_w) over (partition by {by}, _block order by _o, {tie} rows unbounded preceding) - _w + _before"
     return out.selectExpr(*rows.columns, f"cast({inner} as long) as rank")
 
 
@@ -78,50 +90,71 @@ def _mixed(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("rid", F.lit(seed)), 2)
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
-    """rid and shard of every row with links, of at most ceil(n / shards) rows a shard."""
-    total = rows.count()
-    quota = -(-total // shards)
-    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    start = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
-    linked = staged(both.select(F.col("a").alias("rid")).distinct().withColumn("shard", start))
-    blocks = max(1, total // BLOCK)
-    for step in range(rounds):
-        votes = both.join(linked.select(F.col("rid").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count("*").alias("n"))
-        wish = votes.groupBy("a").agg(F.max(F.struct("n", F.pmod(F.xxhash64("a", "shard"), F.lit(1 << 20)), "shard")).alias("top"), F.max("n").alias("most"))
-        stay = votes.select(F.col("a").alias("rid"), "shard", F.col("n").alias("own"))
-        moved = (
-            linked.join(wish.select(F.col("a").alias("rid"), F.col("top.shard").alias("to"), "most"), "rid")
-            .join(stay, ["rid", "shard"], "left")
-            .withColumn("gain", F.col("most") - F.coalesce("own", F.lit(0)))
-        )
-        # Half of the rows stay in each round, else two neighbours could change places for ever.
-        eager = (F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod(F.xxhash64("rid", F.lit(step)), F.lit(2)) == 0)
-        moved = staged(moved.withColumn("goes", eager))
-        held = {r["shard"]: r["n"] for r in moved.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        room = [max(0, quota - held.get(s, 0)) for s in range(shards)]
+def groups(rows: DataFrame, shards: int) -> DataFrame:
+    """digest, n and votes, the (n, shard) of its rows' first shards, of every text that two rows or more have."""
+    tallies = rows.where("digest is not null").groupBy("digest", _start(shards).alias("shard")).agg(F.count("*").alias("n"))
+    votes = F.collect_list(F.struct("n", "shard")).alias("votes")
+    return tallies.groupBy("digest").agg(F.sum("n").alias("n"), votes).where("n > 1")
+
+
+def _start(shards: int) -> Column:
+    return F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
+
+
+def _wish(room: list[int], step: int) -> Column:
+    """The shard a group of n rows wishes for among those with room for it; null without one."""
+    rooms = F.array(*[F.lit(r).cast("long") for r in room])
+    voted = F.filter("votes", lambda v: F.element_at(rooms, v["shard"] + 1) >= F.col("n"))
+    voted = F.transform(voted, lambda v: F.struct(v["n"], F.xxhash64("digest", v["shard"]), v["shard"].alias("shard")))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.element_at(rooms, s + 1) >= F.col("n"))
+    other = F.get(fits, F.pmod(F.xxhash64("digest", F.lit(step)), F.greatest(F.size(fits), F.lit(1))).cast("int"))
+    return F.coalesce(F.array_max(voted)["shard"], other)
+
+
+def propagate(left: DataFrame, room: list[int]) -> DataFrame:
+    """digest and shard of the groups ``left`` that were let in whole; ``room`` is what shards have, and is lowered.
+
+    Room only shrinks, so a group that fits nowhere in a round leaves; fewer than one a shard do, as each is larger than any
+    room at the end.
+    """
+    shards, found = len(room), None
+    blocks = max(1, left.count() // BLOCK)
+    for step in range(1 + shards * 2 * max(room).bit_length()):
+        wishing = staged(left.withColumn("to", _wish(room, step)).where("to is not null"))
+        level = F.lit(62) - F.floor(F.log2("n")).cast("int")
+        order = F.shiftrightunsigned(F.xxhash64("digest", F.lit(step)), 2)
         limit = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to") + 1)
-        order = F.shiftrightunsigned(_mixed(step), 8) + (F.lit(63) - F.least(F.col("gain"), F.lit(63))) * F.lit(1 << 54)
-        wishing = ranked(moved.where("goes").select("rid", "to", "gain"), "to", order, blocks)
-        gone = wishing.where(F.col("rank") < limit).select("rid", F.col("to").alias("new"))
-        linked = staged(moved.join(gone, "rid", "left").select("rid", F.coalesce("new", "shard").alias("shard")))
-    return linked
+        dealt = ranked(wishing, "to", order, blocks, level, "n", "digest")
+        dealt = staged(dealt.withColumn("goes", F.col("rank") + F.col("n") <= limit).drop("rank"))
+        gone = dealt.where("goes").select("digest", F.col("to").alias("shard"))
+        found = gone if found is None else found.unionByName(gone)
+        waiting = False
+        for r in dealt.groupBy("to", "goes").agg(F.sum("n").alias("n")).collect():
+            if r["goes"]:
+                room[r["to"]] -= r["n"]
+            waiting |= not r["goes"]
+        if not waiting:
+            break
+        left = dealt.where("not goes").select("digest", "n", "votes")
+    return found
 
 
 def assign(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 16, rounds: int = 4
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 16
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row; counts of rows differ by one at most."""
     rows = numbered(docs, text, doc_id)
     total = rows.count()
     blocks = max(1, total // BLOCK)
-    moved = propagate(rows, group_links(rows), shards, rounds)
+    quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    whole = propagate(staged(groups(rows, shards)), list(quotas)).withColumnRenamed("shard", "wish")
+    wished = rows.where("digest is not null").join(whole, "digest", "left").unionByName(
+        rows.where("digest is null").withColumn("wish", F.lit(None).cast("int"))
+    )
     wished = staged(
-        rows.drop("digest").join(moved.withColumnRenamed("shard", "wish"), "rid", "left")
-        .withColumns({"free": F.col("wish").isNull(), "wish": F.coalesce("wish", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))})
+        wished.drop("digest").withColumns({"free": F.col("wish").isNull(), "wish": F.coalesce("wish", _start(shards))})
     )
-    quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    # Rows without links come last in a shard's order, so they are the first to be moved.
+    # Rows that no group holds come last in a shard's order, so they are the ones to be moved.
     place = staged(ranked(wished, "wish", F.shiftrightunsigned(_mixed(0), 1) + F.col("free").cast("long") * F.lit(1 << 61), blocks))
     limit = lambda c: F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col(c) + 1)
     kept = place.where(F.col("rank") < limit("wish"))

@@ -65,3 +65,17 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = op4_label_shards(spark, "/root/testdata/sf0.001").collect()
     lawful(rows, {r.doc_id: r.text for r in docs.collect()}, 16)
+
+
+@pytest.mark.parametrize("sizes", [[2] * 400, [2] * 150 + [5] * 60 + [20] * 10 + [1] * 150])
+def test_groups_that_fit_are_whole(spark, monkeypatch, sizes):
+    """In the first case no row is free: groups must give way to each other."""
+    monkeypatch.setattr(sharding, "BLOCK", 50)
+    texts = dict(enumerate(f"t{g}" for g, n in enumerate(sizes) for _ in range(n)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sharding.assign(df).collect()
+    lawful(rows, texts, 16)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert max(len(s) for s in shards.values()) == 1
