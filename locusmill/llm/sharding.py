@@ -7,6 +7,10 @@ group that has not moved holds no place. Rounds go on until no group wishes to m
 keep their shard or move to shards with room, so that counts differ by one at most. Slots number a shard's rows without
 a gap.
 
+Groups of more than a PART-th of a quota are few, at most about PART a shard. The driver places them before the rounds,
+the largest first, into the shard with the least room that holds them. A group that fits nowhere, such as one larger than
+a quota, is cut when all others of its kind are placed: the roomiest shards take what they can, so that it is in few.
+
 In a round a shard lets in all that wish for it, or else loses a third of its room at least: what is refused is less than
 twice as large as what was let in first. Rounds are therefore bounded by shards times the logarithm of the quota to the
 base 1.5, which ``propagate`` takes as its bound; a few are enough.
@@ -23,13 +27,17 @@ and text are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import staged
 
 HUB = 64
 #: Rows in a block of a rank, about.
 BLOCK = 20_000
+#: Groups of more than a quota divided by this are placed by the driver.
+PART = 64
 
 
 def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -111,16 +119,49 @@ def _wish(room: list[int], step: int) -> Column:
     return F.coalesce(F.array_max(voted)["shard"], other)
 
 
-def propagate(left: DataFrame, room: list[int]) -> DataFrame:
-    """digest and shard of the groups ``left`` that were let in whole; ``room`` is what shards have, and is lowered.
+def _parts(group: dict, room: list[int]) -> list[dict]:
+    """Shards of a group's rows low to high: the tightest that holds all that are left, else all of the roomiest."""
+    votes = {v["shard"]: v["n"] for v in group["votes"]}
+    parts, low = [], 0
+    while low < group["n"]:
+        fits = [s for s, r in enumerate(room) if r >= group["n"] - low]
+        shard = min(fits, key=lambda s: (room[s], -votes.get(s, 0), s)) if fits else room.index(max(room))
+        high = min(group["n"], low + room[shard])
+        room[shard] -= high - low
+        parts.append({"digest": group["digest"], "low": low, "high": high, "shard": shard})
+        low = high
+    return parts
+
+
+def _packed(large: list[dict], room: list[int]) -> tuple[list[dict], list[dict]]:
+    """Parts of the groups, those that fit whole first, and parts of the others; ``room`` is lowered."""
+    whole, late = [], []
+    for group in sorted(large, key=lambda g: (-g["n"], g["digest"])):
+        if group["n"] <= max(room):
+            whole += _parts(group, room)
+        else:
+            late.append(group)
+    return whole, [p for g in late for p in _parts(g, room)]
+
 
-    Room only shrinks, so a group that fits nowhere in a round leaves; fewer than one a shard do, as each is larger than any
-    room at the end.
+def _table(spark: SparkSession, parts: list[dict]) -> DataFrame:
+    """``parts`` as a table to broadcast: a few times PART rows a shard however many documents there are."""
+    listed = F.from_json(F.lit(json.dumps(parts)), "array<struct<digest: string, low: long, high: long, shard: int>>")
+    return F.broadcast(spark.range(1).select(F.inline(listed)))
+
+
+def propagate(left: DataFrame, room: list[int]) -> tuple[DataFrame, list[dict]]:
+    """digest and shard of the groups ``left`` that were let in whole, and the groups that no shard had room for.
+
+    ``room`` is what shards have, and is lowered. It only shrinks, so a group that fits nowhere in a round leaves; fewer
+    than one a shard do, as each is larger than any room at the end.
     """
-    shards, found = len(room), None
+    shards, found, without = len(room), None, []
     blocks = max(1, left.count() // BLOCK)
     for step in range(1 + shards * 2 * max(room).bit_length()):
-        wishing = staged(left.withColumn("to", _wish(room, step)).where("to is not null"))
+        wishing = staged(left.withColumn("to", _wish(room, step)))
+        without += [r.asDict(True) for r in wishing.where("to is null").select("digest", "n", "votes").collect()]
+        wishing = wishing.where("to is not null")
         level = F.lit(62) - F.floor(F.log2("n")).cast("int")
         order = F.shiftrightunsigned(F.xxhash64("digest", F.lit(step)), 2)
         limit = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to") + 1)
@@ -136,7 +177,29 @@ def propagate(left: DataFrame, room: list[int]) -> DataFrame:
         if not waiting:
             break
         left = dealt.where("not goes").select("digest", "n", "votes")
-    return found
+    return found, without
+
+
+def settle(rows: DataFrame, room: list[int]) -> DataFrame:
+    """``rows`` with wish, the shard its group has chosen for it; null for rows without a group. ``room`` is lowered."""
+    spark, limit = rows.sparkSession, max(1, min(room) // PART)
+    found = staged(groups(rows, len(room)))
+    large = [r.asDict(True) for r in found.where(F.col("n") > limit).collect()]
+    whole, cut = _packed(large, room)
+    light, without = propagate(found.where(F.col("n") <= limit), room)
+    cut += [p for g in sorted(without, key=lambda g: (-g["n"], g["digest"])) for p in _parts(g, room)]
+    # Large groups meet small tables without a shuffle; no text of the other join has more rows than the limit.
+    whole, cut = _table(spark, whole), _table(spark, cut)
+    held = rows.join(whole.select("digest", F.col("shard").alias("wish")), "digest")
+    members = staged(rows.join(cut.select("digest").distinct(), "digest"))
+    dealt = ranked(members, "digest", _mixed(2), max(1, members.count() // BLOCK)).join(cut, "digest")
+    dealt = dealt.where("low <= rank and rank < high").select(*members.columns, F.col("shard").alias("wish"))
+    others = rows.where("digest is not null")
+    for few in (whole, cut):
+        others = others.join(few, "digest", "left_anti")
+    others = others.join(light.withColumnRenamed("shard", "wish"), "digest", "left")
+    rest = rows.where("digest is null").withColumn("wish", F.lit(None).cast("int"))
+    return held.unionByName(dealt).unionByName(others).unionByName(rest)
 
 
 def assign(
@@ -147,12 +210,8 @@ def assign(
     total = rows.count()
     blocks = max(1, total // BLOCK)
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    whole = propagate(staged(groups(rows, shards)), list(quotas)).withColumnRenamed("shard", "wish")
-    wished = rows.where("digest is not null").join(whole, "digest", "left").unionByName(
-        rows.where("digest is null").withColumn("wish", F.lit(None).cast("int"))
-    )
     wished = staged(
-        wished.drop("digest").withColumns({"free": F.col("wish").isNull(), "wish": F.coalesce("wish", _start(shards))})
+        settle(rows, list(quotas)).drop("digest").withColumns({"free": F.col("wish").isNull(), "wish": F.coalesce("wish", _start(shards))})
     )
     # Rows that no group holds come last in a shard's order, so they are the ones to be moved.
     place = staged(ranked(wished, "wish", F.shiftrightunsigned(_mixed(0), 1) + F.col("free").cast("long") * F.lit(1 << 61), blocks))

@@ -79,3 +79,29 @@ def test_groups_that_fit_are_whole(spark, monkeypatch, sizes):
     for r in rows:
         shards[texts[r.doc_id]].add(r.shard)
     assert max(len(s) for s in shards.values()) == 1
+
+
+def test_large_groups_are_packed(spark):
+    """Halves of a shard before, between and after a group of more than two shards; none of them may be split."""
+    sizes = [50] * 6 + [230] + [49] * 12 + [7] * 8 + [1] * 626
+    texts = dict(enumerate(f"t{g}" for g, n in enumerate(sizes) for _ in range(n)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sharding.assign(df).collect()
+    lawful(rows, texts, 16)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert all(len(shards[f"t{g}"]) == 1 for g, n in enumerate(sizes) if n != 230) and len(shards["t6"]) == 3
+
+
+def test_groups_without_room_are_in_few_shards(spark):
+    """23 groups of 50 into 16 shards of 75: one fits into each, the others must share what is left."""
+    texts = {i: f"t{i // 50}" if i < 1150 else f"u{i}" for i in range(1200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = sharding.assign(df).collect()
+    lawful(rows, texts, 16)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    parts = Counter(len(shards[f"t{g}"]) for g in range(23))
+    assert parts[1] == 16 and max(parts) <= 3
