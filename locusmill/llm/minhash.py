@@ -308,17 +308,23 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach), kept and a hash of the text for every row."""
+    """doc_id, n_shingles, component_id (the smallest id that links reach), kept, text_key and leads for every row.
+
+    text_key is a hash of the text. leads is true for the rows of one doc_id and text of every component, an id before null,
+    and for rows without a set.
+    """
     signed = staged(signatures(docs, text, doc_id, size))
     nodes = staged(
         signed.where("node is not null").groupBy("node")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
     )
     comps = components(links(docs, nodes, text, doc_id, size, percent))
-    held = staged(_with_component(nodes.select("node", "low"), comps))
-    ids = held.join(held.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
+    held = staged(_with_component(nodes.select("node", "rep"), comps))
+    ids = held.join(held.groupBy("comp").agg(F.min("rep").alias("lead")), "comp").select("node", "lead")
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(ids, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & F.col("text_key").eqNullSafe(F.col("lead.text_key"))
     return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key"
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key",
+        (F.col("node").isNull() | leads).alias("leads"),
     )

@@ -160,7 +160,7 @@ def toxic_columns(scored: DataFrame) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a set similarity of 0.75."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "leads")
 
 
 @query

@@ -73,5 +73,15 @@ def test_empty_table(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Rows that repeat id and text, copies without ids, an id with two near texts, and rows without words."""
+    a, b, c, d = ("one two three four five six " + " ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, b), (None, b), (3, c), (None, c), (4, d), (4, d + " more"), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in cp.without_near_copies(spark, docs.repartition(3), "").collect()]
+    assert len(left) == 7 and {r for r in left if r[1]} - {(4, d), (4, d + " more")} == {(1, a), (None, b), (3, c)}
+    assert sum(i == 4 for i, _ in left) == 1 and left.count((5, "")) == 2 and (6, None) in left
+
+
 def test_stage_names():
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
