@@ -26,21 +26,16 @@ PAIRS = (
     "dna_strand string, pair_type string, mapq int, mapq_dna int"
 )
 BEDGRAPH = "chrom string, start_pos long, end_pos long, value double"
-COUNTS = "fid string, chrom string, start_pos string, end_pos string, strand string, length string, n string"
+COUNTS = "fid string, chrom string, start_pos string, end_pos string, strand string, length string, n double"
+#: Formats whose lines may be wider than the columns read here; the others have just these columns.
+WIDER = {PAIRS, BED6, COUNTS}
 
 
-def _tsv(spark: SparkSession, schema: str, header: bool = False, mode: str = "PERMISSIVE"):
-    return (
-        spark.read.schema(schema).option("sep", "\t").option("comment", "#").option("header", header)
-        .option("mode", mode).option("recursiveFileLookup", "true").option("quote", "")
-    )
-
-
-def _lines(spark: SparkSession, path: str | list[str], schema: str, least: int | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Tab-separated lines by the schema, with ``path`` and ``fault``: why a line is no row, else null.
 
-    Every column of a line is looked at whatever is selected later, so the rows do not depend on the plan. Blank and
-    comment lines are no lines; an empty field is null. ``least`` columns do where lines may be wider or narrower.
+    Every column of the schema is looked at whatever is selected later, so the rows do not depend on the plan. Blank and
+    comment lines are no lines; an empty field is null. Lines of a format in WIDER may have more columns.
     """
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
@@ -49,7 +44,7 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str, least: int |
     text = {name: F.nullif(F.get("__p", F.lit(k)), F.lit("")) for k, (name, _) in enumerate(fields)}
     typed = {name: text[name] if kind == "string" else text[name].try_cast(kind) for name, kind in fields}
     wrong = [text[name].isNotNull() & typed[name].isNull() for name, kind in fields if kind != "string"]
-    width = F.size("__p") != len(fields) if least is None else F.size("__p") < least
+    width = F.size("__p") < len(fields) if schema in WIDER else F.size("__p") != len(fields)
     fault = F.when(width, "columns")
     if wrong:
         fault = fault.when(reduce(lambda x, y: x | y, wrong), "number")
@@ -92,9 +87,9 @@ def read_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """BED6 or wider; a strand other than plus reads as minus."""
-    raw = _tsv(spark, BED6, mode="PERMISSIVE").csv(path)
+    raw = _lines(spark, path, BED6).where("fault is null")
     strand = F.when(tx.strand_sign("strand") == 1, "+").otherwise("-")
-    return raw.select("chrom", "start_pos", "end_pos", "name", strand.alias("strand"), F.col("_metadata.file_path").alias("path"))
+    return raw.select("chrom", "start_pos", "end_pos", "name", strand.alias("strand"), "path")
 
 
 def _named(path: Column, pattern: str, k: int) -> Column:
@@ -154,7 +149,7 @@ def transcription_starts(model: DataFrame, protein_coding: bool = False) -> Data
 
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Contact pairs, several files pooled; short rows drop out."""
+    """Contact pairs, several files pooled; lines may go on after the second mapping quality, shorter ones are lost lines."""
     raw = _rows(spark, path, PAIRS).where("mapq_dna is not null and rna_pos is not null and dna_pos is not null")
     return raw.select(
         "rna_chrom", from_one_based("rna_pos").alias("rna_pos"), "rna_strand", "mapq", "dna_chrom",
@@ -226,13 +221,12 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_count_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per-copy count tables ``<sample>.<orientation>.txt``; comment and header lines skipped."""
-    raw = _tsv(spark, COUNTS, mode="PERMISSIVE").csv(path).where("fid <> 'Geneid'")
-    name = F.regexp_extract("_metadata.file_path", r"([^/=]+)\.(sense|antisense)\.txt(?:/|$)", 0)
+    """Per-copy count tables ``<sample>.<orientation>.txt``; a header has no count and is a lost line."""
+    raw = _lines(spark, path, COUNTS).where("fault is null and n is not null")
+    name = F.regexp_extract("path", r"([^/=]+)\.(sense|antisense)\.txt(?:/|$)", 0)
     parts = F.split(F.regexp_replace(name, "/$", ""), r"\.")
     return raw.select(
-        F.element_at(parts, 1).alias("sample"), F.element_at(parts, 2).alias("orientation"), "fid",
-        F.col("n").cast("double").alias("n"),
+        F.element_at(parts, 1).alias("sample"), F.element_at(parts, 2).alias("orientation"), "fid", "n",
     )
 
 

@@ -24,11 +24,23 @@ def test_rows_do_not_depend_on_selected_columns(spark, tmp_path):
     assert lost == {"columns": 3, "number": 1}
 
 
-def test_short_and_long_pairs_are_lost(spark, tmp_path):
+def test_short_pairs_are_lost_and_long_ones_read(spark, tmp_path):
     good = ["r", "chr1", 5, "chr2", 9, "+", "-", "UU", 60, 50]
-    path = lines(tmp_path, "p.pairs", [["#chromsize: chr1 100"], good, good[:-1], [*good, "more"], [*good[:8], "q", 1]])
-    assert [tuple(r) for r in readers.read_pairs(spark, path).collect()] == [("chr1", 4, "+", 60, "chr2", 8, 50)]
-    assert {r.fault: r.n_lines for r in readers.lost_lines(spark, path, readers.PAIRS).collect()} == {"columns": 2, "number": 1}
+    path = lines(tmp_path, "p.pairs", [["#chromsize: chr1 100"], good, good[:-1], [*good, "more"], [*good, "and", "more"], [*good[:8], "q", 1]])
+    assert [tuple(r) for r in readers.read_pairs(spark, path).collect()] == [("chr1", 4, "+", 60, "chr2", 8, 50)] * 3
+    assert {r.fault: r.n_lines for r in readers.lost_lines(spark, path, readers.PAIRS).collect()} == {"columns": 1, "number": 1}
+
+
+def test_lost_lines_of_beds_and_count_tables(spark, tmp_path):
+    bed = lines(tmp_path, "SAMP_CELL.bed", [["chr1", 5, 9, "n", 0, "+"], ["chr1", 6, 9, "n", 0, "-", 1, 2, "0,0,0"], ["chr1", "x", 9, "n", 0, "+"], ["chr1", 5]])
+    assert [(r.start_pos, r.strand) for r in readers.read_prepared_peaks(spark, bed).orderBy("start_pos").collect()] == [(5, "+"), (6, "-")]
+    assert {r.fault: r.n_lines for r in readers.lost_lines(spark, bed, readers.BED6).collect()} == {"columns": 1, "number": 1}
+    counts = lines(tmp_path, "lib0.sense.txt", [
+        ["# made by"], ["Geneid", "Chr", "Start", "End", "Strand", "Length", "lib0.bam"], ["7", "chr1", "1", "9", "+", "9", "4"],
+        ["8", "chr1;chr1", "1;20", "9;30", "+;+", "20", "5"], ["9", "chr1", "1", "9", "+", "9", "many"],
+    ])
+    assert {tuple(r) for r in readers.read_count_tables(spark, counts).collect()} == {("lib0", "sense", "7", 4.0), ("lib0", "sense", "8", 5.0)}
+    assert {r.fault: r.n_lines for r in readers.lost_lines(spark, counts, readers.COUNTS).collect()} == {"number": 2}
 
 
 def test_many_classes_can_be_kept(spark):
