@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_blocks, minhash, pii, reputation, search, sharding, substrings, toxicity
+from . import bpe, decontaminate, html_blocks, minhash, pii, repeated_windows, reputation, search, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,3 +225,30 @@ r AS (
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (rid) WHERE score > 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in windows of 20 words that start earlier too."""
+    return kept_columns(repeated_windows.dedup(table(spark, sf_dir, "documents")))
+
+
+def kept_columns(found: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_repeated_windows"] = """
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (
+    SELECT rid, p, rank() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id NULLS FIRST, p) AS nth
+    FROM d, unnest(range(1, len(w) - 18)) AS t(p)),
+gone AS (SELECT DISTINCT rid, p + k AS p FROM x, unnest(range(20)) AS t(k) WHERE nth > 1),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+    SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words
+    FROM words WHERE (rid, p) NOT IN (SELECT (rid, p) FROM gone) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
