@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_blocks, minhash, pii, repeated_windows, reputation, search, sharding, substrings, toxicity
+from . import bpe, decontaminate, html_blocks, minhash, pii, repeated_windows, reputation, search, sharding, substrings, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,3 +252,49 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 16 parts, 64 entries, two rounds."""
+    return code_columns(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def code_columns(coded: DataFrame, books: vector_codes.Books) -> DataFrame:
+    digest = F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", "code", "error", "label_error", digest)
+
+
+def _nearest_sql(books: str) -> str:
+    return f"""
+    SELECT rid, pos, part, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+        SELECT p.rid, p.pos, p.part, b.e, coalesce(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(p.part, b.part)]), 0)::BIGINT AS d
+        FROM p JOIN {books} AS b USING (pos)) GROUP BY ALL"""
+
+
+def _means_sql(assigned: str, books: str) -> str:
+    return f"""
+    SELECT b.pos, b.e, coalesce(m.part, b.part) AS part FROM {books} AS b LEFT JOIN (
+        SELECT pos, e, list(x ORDER BY k) AS part FROM (
+            SELECT pos, e, k, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+            FROM (SELECT pos, e, unnest(part) AS x, generate_subscripts(part, 1) AS k FROM {assigned}) GROUP BY ALL)
+        GROUP BY ALL) AS m USING (pos, e)"""
+
+
+SQL["op11_vector_codes"] = f"""
+WITH v AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT rid, pos, v[pos * (len(v) // 16) + 1:(pos + 1) * (len(v) // 16)] AS part FROM v, unnest(range(16)) AS t(pos)),
+b0 AS (SELECT pos, rid - 1 AS e, part FROM p WHERE rid <= 64),
+a0 AS ({_nearest_sql("b0")}),
+b1 AS ({_means_sql("a0", "b0")}),
+a1 AS ({_nearest_sql("b1")}),
+b2 AS ({_means_sql("a1", "b1")}),
+a2 AS ({_nearest_sql("b2")}),
+c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos, e, k)) AS codebooks_sha256
+    FROM (SELECT pos, e, unnest(part) AS x, generate_subscripts(part, 1) AS k FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN c USING (rid), h
+"""
