@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_blocks, minhash, pii, repeated_windows, reputation, search, sharding, substrings, toxicity, vector_codes
+from . import bpe, conversation_repair, decontaminate, html_blocks, minhash, pii, repeated_windows, reputation, search, sharding, substrings, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,3 +298,81 @@ h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos, e, k)) AS c
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
 FROM v JOIN c USING (rid), h
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.Repair(conversation_repair.damaged(rows), rows).digests()
+
+
+def _more(value: str, cost: str, edit: str) -> str:
+    return f"lpad(CAST(CAST(left({value}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{edit}'"
+
+
+# A state's cheapest (cost, audit) is one string, cost first; least() leaves out states not reached yet.
+_TO_USER = ", ".join(_more(f"z.{q}", "5", "I") for q in "nsa")
+_INSERTED = f"{{'n': z.n, 's': z.s, 'u': least(z.u, {_TO_USER}), 'a': least(z.a, {_more(f'least(z.u, {_TO_USER})', '5', 'I')})}}"
+
+
+def _taken(state: str, sources: str, initial: str) -> str:
+    ways = [_more(f"z.{state}", "2", "D")]
+    for q in sources:
+        ways.append(f"CASE WHEN NOT r.must AND r.initial = '{initial}' THEN {_more(f'z.{q}', 'r.more', 'K')} END")
+        if state in "ua":
+            ways.append(f"CASE WHEN NOT r.must THEN {_more(f'z.{q}', '1 + r.more', 'R')} END")
+    return f"least({', '.join(ways)}, NULL)"
+
+
+_CONSUMED = f"{{'n': {_taken('n', '', '')}, 's': {_taken('s', 'n', 's')}, 'u': {_taken('u', 'nsa', 'u')}, 'a': {_taken('a', 'u', 'a')}}}"
+
+SQL["op12_conversation_repair"] = f"""
+WITH k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda c: CAST(ord(c) AS BIGINT)) AS bytes FROM conversations),
+h AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda crc, b: list_reduce(
+        [0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS harm
+    FROM k),
+d AS (
+    SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+        CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE harm <> 0),
+n AS (
+    SELECT conv_id, turn, role, text, left(role, 1) AS initial, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth FROM n),
+f AS (
+    SELECT *, bare = '' AS blank, bare <> '' AND nth > 1 AS duplicate,
+        bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM o),
+g AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        list_reduce(flatten(list([
+            {{'row': false, 'initial': '', 'must': true, 'more': 0}},
+            {{'row': true, 'initial': initial, 'must': blank OR duplicate, 'more': CASE WHEN truncated THEN 5 ELSE 0 END}}
+        ] ORDER BY pos)) || [{{'row': false, 'initial': '', 'must': true, 'more': 0}}],
+            lambda z, r: CASE WHEN r.row THEN {_CONSUMED} ELSE {_INSERTED} END,
+            {{'n': '000000000', 's': NULL::VARCHAR, 'u': NULL::VARCHAR, 'a': NULL::VARCHAR}}) AS ends
+    FROM f GROUP BY conv_id),
+c AS (SELECT * EXCLUDE (ends), least(ends.n, ends.a) AS goal, substr(goal, 10) AS audit FROM g),
+e AS (
+    SELECT conv_id, p, substr(audit, p, 1) AS edit, length(replace(left(audit, p), 'I', '')) AS pos,
+        length(replace(left(audit, p), 'D', '')) AS place FROM c, unnest(range(1, length(audit) + 1)) AS t(p)),
+r AS (
+    SELECT e.conv_id, p, place, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, role,
+        max(CASE WHEN place = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS sys
+    FROM e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.pos = f.pos),
+m AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - 1 - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END
+        || ':' || text, chr(10) ORDER BY p) AS rows FROM r WHERE edit <> 'D' GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(goal, 9) AS BIGINT), 0) AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(rows, '')) AS repaired_sha256
+FROM ids LEFT JOIN c ON ids.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN m ON ids.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
