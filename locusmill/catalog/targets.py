@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..operators import order
+from ..operators.redraw import quantile_split
 from ..plans import contacts as pairs, targets as plan
 from ..session import staged
 from . import sqltext
@@ -31,33 +32,62 @@ TARGET = INNER + f""", ft as (select *, rna_chrom as chrom,
   cell as (select fid, orientation, family, subfamily, chrom, start_pos, cast(sum(n) as bigint) as n_contacts,
       max(n) as top1, count(*) filter (n > 0) as n_bins, sum(n * n) / (sum(n) * sum(n) * 1.0) as h from pb group by all
     having sum(n_all) >= {LEAST} and sum(n_far) >= {LEAST} and sum(n) >= {LEAST})"""
-REDRAW = TARGET + f""", st as (select s.fid, s.orientation, s.chrom, s.start_pos, c.n_contacts, case when dna_chrom <> s.chrom then -1
+RANDOM = """((t.fid % 1000003) * 48271 + (t.stratum + 1) * 7919 + t.node * 104729 + t.d * 1299709
+      + case t.orientation when 'sense' then 0 else 15485863 end) % 1000003 / 1000003.0"""
+#: The least x whose binomial distribution function exceeds the draw.
+QUANTILE = """case when p >= 1 then n else len(list_filter(range(0, n), lambda j: list_sum(list_transform(range(0, j + 1),
+      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * pow(p, i) * pow(1 - p, n - i))) <= r)) end"""
+
+
+def redraw_sql(target):
+    return target + f""", st as (select s.fid, s.orientation, s.chrom, s.start_pos, c.n_contacts, case when dna_chrom <> s.chrom then -1
       else cast(floor(log2(abs(dna_pos - s.start_pos) / {PROX}.0)) as bigint) end as stratum, count(*) as k
     from src s join cell c on c.fid = s.fid and c.orientation = s.orientation where far and not tm group by all),
-  cd as (select st.*, b.g, b.weight from st join b4 b on not b.masked and case when stratum = -1 then b.chrom <> st.chrom
-      else b.chrom = st.chrom and abs(b.bin * {BIN} + {BIN // 2} - st.start_pos) > {PROX} * pow(2, stratum)
+  cd as (select st.*, b.g, b.weight, case when b.masked then 0.0 else 1.0 end as free from st join b4 b on case when stratum = -1
+      then b.chrom <> st.chrom else b.chrom = st.chrom and abs(b.bin * {BIN} + {BIN // 2} - st.start_pos) > {PROX} * pow(2, stratum)
         and abs(b.bin * {BIN} + {BIN // 2} - st.start_pos) <= {PROX} * pow(2, stratum + 1) end),
   emp as (select st.* from st where not exists (select 1 from cd where cd.fid = st.fid and cd.orientation = st.orientation
-      and cd.stratum = st.stratum and cd.weight > 0)),
-  ca as (select * from cd where weight > 0 union all select e.*, b.g, b.weight from emp e join b4 b on not b.masked
-      and b.chrom = e.chrom and b.weight > 0),
-  cw as (select *, sum(weight) over (partition by fid, orientation, stratum order by g) as c1,
-      sum(weight) over (partition by fid, orientation, stratum) as tot from ca),
-  dr as (select st.fid, st.orientation, st.stratum, st.n_contacts, i.i as i, d.d as d, ((st.fid % 1000003) * 48271 + (st.stratum + 1) * 7919
-      + i.i * 104729 + d.d * 1299709 + case st.orientation when 'sense' then 0 else 15485863 end) % 1000003 / 1000003.0 as r
-    from st cross join (select unnest(range({DRAWS})) as d) d join (select unnest(range(10000)) as i) i on i.i < st.k),
-  pk as (select dr.fid, dr.orientation, dr.n_contacts, d, i, dr.stratum, min(cw.g) as g from dr join cw on cw.fid = dr.fid
-      and cw.orientation = dr.orientation and cw.stratum = dr.stratum and c1 > r * tot group by all),
+      and cd.stratum = st.stratum and cd.free > 0)),
+  ca as (select cd.* from cd join (select fid, orientation, stratum from cd group by all having sum(free) > 0) x using (fid, orientation, stratum)
+    union all select e.*, b.g, b.weight, case when b.masked then 0.0 else 1.0 end from emp e join b4 b on b.chrom = e.chrom),
+  cb as (select *, case when sum(weight) over w > 0 then weight else free end as v, row_number() over (partition by fid, orientation, stratum
+      order by g) as x, count(*) over w as m from ca window w as (partition by fid, orientation, stratum)),
+  cw as (select *, sum(v) over (partition by fid, orientation, stratum order by g) as c1 from cb),
+  mass as (select fid, orientation, stratum, x, c1 from cw union all select distinct fid, orientation, stratum, 0, 0.0 from cw)"""
+
+
+def null_sql(target):
+    return redraw_sql(target) + f""", tree as (
+    with recursive tr as (
+      select st.fid, st.orientation, st.stratum, st.n_contacts, d.d, 0::bigint as lo, z.m as hi, st.k as n, 1::bigint as node
+      from st join (select distinct fid, orientation, stratum, m from cw) z using (fid, orientation, stratum)
+        cross join (select unnest(range({DRAWS})) as d) d
+      union all
+      select fid, orientation, stratum, n_contacts, d, case when s.s = 0 then lo else mid end, case when s.s = 0 then mid else hi end,
+        case when s.s = 0 then l else n - l end, 2 * node + s.s
+      from (select *, {QUANTILE} as l from (
+          select t.*, cast(floor((lo + hi) / 2) as bigint) as mid, (b.c1 - a.c1) / (c.c1 - a.c1) as p, {RANDOM} as r
+          from tr t join mass a on a.fid = t.fid and a.orientation = t.orientation and a.stratum = t.stratum and a.x = t.lo
+            join mass b on b.fid = t.fid and b.orientation = t.orientation and b.stratum = t.stratum and b.x = cast(floor((lo + hi) / 2) as bigint)
+            join mass c on c.fid = t.fid and c.orientation = t.orientation and c.stratum = t.stratum and c.x = t.hi
+          where hi - lo > 1) y) x cross join (select unnest([0, 1]) as s) s where case when s.s = 0 then l else n - l end > 0)
+    select * from tr where hi - lo = 1),
   hd as (select fid, orientation, n_contacts, d, sum(n * n) / (n_contacts * n_contacts * 1.0) as h, max(n) as top from (
-      select fid, orientation, n_contacts, d, g, count(*) as n from pk group by all) x group by fid, orientation, n_contacts, d),
+      select t.fid, t.orientation, t.n_contacts, d, g, sum(n) as n from tree t join cw on cw.fid = t.fid and cw.orientation = t.orientation
+        and cw.stratum = t.stratum and cw.x = t.hi group by all) x group by fid, orientation, n_contacts, d),
   nul as (select fid, orientation, avg(h) as h_null, stddev_samp(h) as h_null_sd, avg(top) as top1_null from hd group by all)"""
+
+
+REDRAW = null_sql(TARGET)
 VIEWS = ["feature", "contact", "chrom_size"]
 
 
-def lcg_uniform(fid, orientation, stratum, i, draw):
-    side = F.when(orientation == "sense", 0).otherwise(15485863)
-    x = (fid % 1000003) * 48271 + (stratum + 1) * 7919 + i * 104729 + draw.cast("long") * 1299709 + side
-    return (x % 1000003) / 1000003.0
+def lcg_uniform(fid, orientation, stratum, node, draw):
+    side = 0 if orientation == "sense" else 15485863
+    return ((fid % 1000003) * 48271 + (stratum + 1) * 7919 + node * 104729 + draw * 1299709 + side) % 1000003 / 1000003.0
+
+
+LCG = quantile_split(lcg_uniform)
 
 
 def hits(spark, sf):
@@ -89,10 +119,30 @@ def target_redraw_null(spark, sf):
     on = hits(spark, sf)
     table = bins(spark, sf, on)
     cells = staged(plan.concentration(plan.distant_counts(on, table, BIN, PROX), LEAST))
-    out = plan.redraw_null(on, cells, table, BIN, PROX, DRAWS, lcg_uniform)
+    out = plan.redraw_null(on, cells, table, BIN, PROX, DRAWS, LCG)
     return out.select("fid", "orientation", *[rnd(c).alias(c) for c in ("h_null", "h_null_sd", "top1_null")])
 
 
+@register(
+    "redraw_expectation",
+    with_views(VIEWS, redraw_sql(TARGET) + """, pr as (select st.fid, st.orientation, n_contacts, st.k, cw.g,
+        v / sum(v) over (partition by st.fid, st.orientation, st.stratum) as p from st join (select fid, orientation, stratum, g, v from cw) cw
+        on cw.fid = st.fid and cw.orientation = st.orientation and cw.stratum = st.stratum),
+      pb2 as (select fid, orientation, n_contacts, g, sum(k * p) as e, sum(k * p * (1 - p)) as o from pr group by all)
+    select fid, orientation, round((sum(e * e) + sum(o)) / (n_contacts * n_contacts * 1.0), 6) as h_expected, true as near
+    from pb2 group by fid, orientation, n_contacts"""),
+)
+def redraw_expectation(spark, sf):
+    """Production draws beside the mean they tend to: within six standard errors, and half a hundredth for rare draws."""
+    on = hits(spark, sf)
+    table = bins(spark, sf, on)
+    cells = staged(plan.concentration(plan.distant_counts(on, table, BIN, PROX), LEAST))
+    drawn = plan.redraw_null(on, cells, table, BIN, PROX, 1000)
+    out = drawn.join(plan.expected_null(on, cells, table, BIN, PROX), ["fid", "orientation"])
+    near = F.abs(F.col("h_null") - F.col("h_expected")) <= F.col("h_null_sd") * 6.0 / F.sqrt(F.lit(1000.0)) + 0.005
+    return out.select("fid", "orientation", rnd("h_expected").alias("h_expected"), near.alias("near"))
+
+
 TEST = REDRAW + f""", t0 as (select c.*, h_null, h_null_sd, top1_null, case when h_null_sd > 0 then (h - h_null) / h_null_sd
       else 'nan'::double end as z, floor(log2(n_contacts) * 2) / 2 as ds from cell c join nul n on n.fid = c.fid and n.orientation = c.orientation),
   t1 as (select *, case when count(*) over w >= 20 then avg(h) over w else 'nan'::double end as peer_mean,
@@ -108,7 +158,7 @@ DOUBLES = ("h_null", "z", "p", "q", "peer_mean", "z_peer", "p_peer", "q_peer")
     with_views(VIEWS, TEST + " select fid, orientation, n_contacts, n_bins, top1, " + ", ".join(f"round({c}, 4) as {c}" for c in DOUBLES) + " from t4"),
 )
 def target_test(spark, sf):
-    out = plan.target_test(hits(spark, sf), view(spark, sf, "chrom_size"), BIN, PROX, LEAST, DRAWS, 1.5, EXCLUDE, lcg_uniform)
+    out = plan.target_test(hits(spark, sf), view(spark, sf, "chrom_size"), BIN, PROX, LEAST, DRAWS, 1.5, EXCLUDE, LCG)
     return out.select("fid", "orientation", "n_contacts", "n_bins", "top1", *[rnd(c, 4).alias(c) for c in DOUBLES])
 
 

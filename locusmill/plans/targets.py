@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import warnings
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.intervals import floor_div, orientation
 from ..functions.special import NAN, normal_upper
 from ..operators.coverage import bin_grid
 from ..operators.order import benjamini_hochberg, peer_z
+from ..operators.redraw import Splitter, draw_statistics, hashed_split, tree_counts
 from ..session import spread, staged
 
-Uniform = Callable[[Column, Column, Column, Column, Column], Column]
 TRANS = -1
 CELL = ("fid", "orientation")
-DRAW_CHUNK = 1024
-SLOTS = 4096
-
-
-def hashed_uniform(seed: int = 0) -> Uniform:
-    """A draw in [0, 1) from a hash of the seed, copy, orientation, stratum, contact number and draw number."""
-    return lambda *parts: F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 53)) / float(1 << 53)
+#: Bins of a genome that a task may hold as running weights.
+MOST_BINS = 4_000_000
+#: Counts of one cell that are split at once.
+DRAWN = 1_000_000
 
 
 def parse_regions(spec: str) -> list[tuple[str, int, int]]:
@@ -39,29 +38,28 @@ def target_bins(
 ) -> DataFrame:
     """DNA-end density per bin: masked bins lose their weight, the rest is renormalised.
 
-    Bins above ``mask_mult`` times the median non-empty density and bins of ``exclude`` are masked. One row per genome
-    bin, so the scan that numbers and accumulates them is bounded by genome length over bin size.
+    Bins above ``mask_mult`` times the median non-empty density and bins of ``exclude`` are masked; a region on a
+    chromosome without bins is a warning. One row per genome bin.
     """
     counts = contacts.groupBy(F.col("dna_chrom").alias("chrom"), floor_div("dna_pos", binsize).alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    grid = bin_grid(sizes, binsize).join(counts, ["chrom", "bin"], "left").na.fill(0, ["n"])
-    everything = W.partitionBy(F.lit(0))
-    dens = grid.withColumn("density", F.col("n") / F.sum("n").over(everything))
+    grid = staged(bin_grid(sizes, binsize).join(counts, ["chrom", "bin"], "left").na.fill(0, ["n"]))
+    total = grid.agg(F.sum("n").alias("n")).scalar()
+    dens = staged(grid.withColumn("density", F.coalesce(F.try_divide("n", total), F.lit(0.0))))
     masked = F.lit(False)
     if mask_mult > 0:
-        dens = dens.withColumn("__m", F.median(F.when(F.col("n") > 0, F.col("density"))).over(everything))
-        masked = F.col("density") > F.col("__m") * mask_mult
-    for chrom, lo, hi in parse_regions(exclude):
+        masked = F.col("density") > dens.where("n > 0").agg(F.median("density").alias("m")).scalar() * mask_mult
+    regions = parse_regions(exclude)
+    names = {r.chrom for r in sizes.select("chrom").distinct().collect()} if regions else set()
+    for chrom, lo, hi in regions:
+        if chrom not in names:
+            warnings.warn(f"the excluded region {chrom}:{lo}-{hi} is on a chromosome without bins", stacklevel=2)
         masked = masked | ((F.col("chrom") == chrom) & F.col("bin").between(lo // binsize, hi // binsize))
-    kept = dens.withColumn("masked", masked).withColumn("__w", F.when(F.col("masked"), 0.0).otherwise(F.col("density")))
-    kept = kept.withColumn("weight", F.col("__w") / F.sum("__w").over(everything))
-    along = everything.orderBy("chrom", "bin")
-    return kept.select(
-        "chrom", "bin", "n", "density", "masked", "weight",
-        (F.row_number().over(along) - 1).alias("g"),
-        F.sum("weight").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("cum"),
-    )
+    kept = staged(dens.withColumn("masked", F.coalesce(masked, F.lit(False))))
+    left = kept.where(~F.col("masked")).agg(F.sum("density").alias("w")).scalar()
+    weight = F.when(F.col("masked"), 0.0).otherwise(F.coalesce(F.try_divide("density", left), F.lit(0.0)))
+    return kept.withColumn("weight", weight)
 
 
 def distant_counts(hits: DataFrame, bins: DataFrame, binsize: int, proximal: int) -> DataFrame:
@@ -101,23 +99,43 @@ def reach_edges(proximal: int, count: int = 10) -> list[int]:
     return [proximal * 2**k for k in range(count)]
 
 
-def redraw_null(
-    hits: DataFrame,
-    cells: DataFrame,
-    bins: DataFrame,
-    binsize: int,
-    proximal: int,
-    draws: int,
-    uniform: Uniform | None = None,
-) -> DataFrame:
-    """Mean and spread of H and the mean top bin when each contact keeps its reach and redraws its bin.
-
-    A contact's reach is its log2 distance stratum on the own chromosome, or another chromosome. Candidate bins of a
-    stratum are two runs of consecutive genome bins, so their weight and a weighted draw come from the cumulative
-    weights by arithmetic. A stratum without weight falls back to the whole own chromosome. Contacts are numbered in
-    chunks that are shuffled before they expand, so a copy with most of the contacts is still spread out.
-    """
-    uniform = uniform or hashed_uniform()
+class _Layout:
+    """Running weights over all bins in order of chromosome and bin: by density, and equal ones for the unmasked."""
+
+    def __init__(self, bins: DataFrame, binsize: int, proximal: int):
+        n = bins.count()
+        if n > MOST_BINS:
+            raise ValueError(f"{n} bins; a task holds {MOST_BINS}: take wider bins")
+        table = bins.select("chrom", "bin", "weight", "masked").toArrow().sort_by([("chrom", "ascending"), ("bin", "ascending")])
+        self.binsize, self.n = binsize, n
+        self.edges = np.array([*reach_edges(proximal), 1 << 50], np.int64)
+        weight = table.column("weight").to_numpy()
+        free = ~table.column("masked").to_numpy()
+        self.sums = np.concatenate((np.zeros((2, 1)), np.cumsum([weight, free.astype(float)], axis=1)), axis=1)
+        chrom = np.array(table.column("chrom").to_pylist(), object)
+        cut = np.flatnonzero(np.concatenate(([True], chrom[1:] != chrom[:-1]))) if n else np.zeros(0, int)
+        self.span = {c: (int(i), int(j)) for c, i, j in zip(chrom[cut], cut, [*cut[1:], n])}
+
+    def runs(self, chrom: str, start: int, stratum: int) -> tuple[tuple[int, int, int, int], int]:
+        """Two runs of bins that a stratum may reach, and which running weights decide between them."""
+        off, end = self.span[chrom]
+        if stratum == TRANS:
+            own = (0, off, end, self.n)
+        else:
+            half, lo, hi = self.binsize // 2, self.edges[stratum], self.edges[stratum + 1]
+            inside = lambda b: int(off + min(max(b, 0), end - off))
+            up = lambda x: -((half - x) // self.binsize)
+            down = lambda x: (x - half) // self.binsize + 1
+            own = (inside(up(start - hi)), inside(up(start - lo)), inside(down(start + lo)), inside(down(start + hi)))
+        for runs in (own, (off, end, end, end)):
+            weight, free = (c[runs[1]] - c[runs[0]] + c[runs[3]] - c[runs[2]] for c in self.sums)
+            if free > 0:
+                return runs, 0 if weight > 0 else 1
+        raise ValueError(f"no unmasked bin on {chrom}")
+
+
+def _reach_counts(hits: DataFrame, cells: DataFrame, bins: DataFrame, binsize: int, proximal: int) -> DataFrame:
+    """Per tested (copy, orientation): its place, a hash of it, and its distant contacts per reach, twelve entries at most."""
     edges = reach_edges(proximal)
     free = bins.where(~F.col("masked")).select(F.col("chrom").alias("dna_chrom"), F.col("bin").alias("tbin"))
     d = F.abs(F.col("dna_pos") - F.col("start_pos"))
@@ -129,71 +147,78 @@ def redraw_null(
     strata = far.withColumn("stratum", F.when(own, level).otherwise(TRANS)).groupBy(
         *CELL, "chrom", "start_pos", "stratum"
     ).agg(F.count(F.lit(1)).alias("k"))
-    strata = strata.join(cells.select(*CELL, "n_contacts"), list(CELL))
-
-    listed = bins.agg(F.array_sort(F.collect_list(F.struct("g", "cum"))).alias("__c"))
-    listed = listed.select(F.concat(F.array(F.lit(0.0)), F.transform("__c", lambda s: s["cum"])).alias("__cum"))
-    spans = bins.groupBy("chrom").agg(F.min("g").alias("__off"), F.count(F.lit(1)).alias("__nb"))
-    placed = strata.join(spans, "chrom").withColumn("__all", F.lit(0)).join(
-        F.broadcast(listed.withColumn("__all", F.lit(0))), "__all"
-    )
-    half = binsize // 2
-    src = F.col("start_pos")
-    edge = F.array(*[F.lit(e).cast("long") for e in (*edges, 1 << 50)])
-    lo, hi = F.try_element_at(edge, F.col("stratum") + 1), F.try_element_at(edge, F.col("stratum") + 2)
-    up = lambda x: F.ceil((x - half) / F.lit(binsize))
-    down = lambda x: F.floor((x - half) / F.lit(binsize)) + 1
-    inside = lambda b: F.col("__off") + F.least(F.greatest(b, F.lit(0)), F.col("__nb"))
-    trans = F.col("stratum") == TRANS
-    end = F.col("__off") + F.col("__nb")
-    last = F.size("__cum") - 1
-    bounds = {
-        "__a1": F.when(trans, F.lit(0)).otherwise(inside(up(src - hi))),
-        "__b1": F.when(trans, F.col("__off")).otherwise(inside(up(src - lo))),
-        "__a2": F.when(trans, end).otherwise(inside(down(src + lo))),
-        "__b2": F.when(trans, last).otherwise(inside(down(src + hi))),
-    }
-    at = lambda c: F.get("__cum", F.col(c).cast("int"))
-    placed = placed.withColumns(bounds).withColumns({f"__w{c}": at(f"__{c}") for c in ("a1", "b1", "a2", "b2")})
-    weight = (F.col("__wb1") - F.col("__wa1")) + (F.col("__wb2") - F.col("__wa2"))
-    placed = placed.withColumn("__empty", weight <= 1e-15).withColumns({
-        "__wa1": F.when(F.col("__empty"), F.get("__cum", F.col("__off").cast("int"))).otherwise(F.col("__wa1")),
-        "__wb1": F.when(F.col("__empty"), F.get("__cum", end.cast("int"))).otherwise(F.col("__wb1")),
-        "__wa2": F.when(F.col("__empty"), F.lit(0.0)).otherwise(F.col("__wa2")),
-        "__wb2": F.when(F.col("__empty"), F.lit(0.0)).otherwise(F.col("__wb2")),
-    })
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / DRAW_CHUNK))
-    work = placed.select(
-        *CELL, "n_contacts", "stratum", "k", "__wa1", "__wb1", "__wa2", "__wb2", F.explode(chunks).alias("__chunk")
-    )
-    work = spread(work, *CELL, "stratum", "__chunk")
-    first = F.col("__chunk") * DRAW_CHUNK
-    work = work.withColumn("i", F.explode(F.sequence(first, F.least(first + DRAW_CHUNK, F.col("k")) - 1)))
-    work = work.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    left = F.col("__wb1") - F.col("__wa1")
-    right = F.col("__wb2") - F.col("__wa2")
-    t = uniform(F.col("fid"), F.col("orientation"), F.col("stratum"), F.col("i"), F.col("draw")) * (left + right)
-    work = work.withColumn("__t", F.when(t < left, F.col("__wa1") + t).otherwise(F.col("__wa2") + (t - left)))
-    work = work.withColumn("__slot", F.floor(F.col("__t") * SLOTS).cast("long"))
-
-    slots = bins.where("weight > 0").select("g", (F.col("cum") - F.col("weight")).alias("__c0"), F.col("cum").alias("__c1"))
-    # The running sums are compared exactly, so a bin starts where the one before it ends.
-    along = W.partitionBy(F.lit(0)).orderBy("g")
-    # The last bin is open above: a draw rounded up to the last running sum falls into it.
-    slots = slots.withColumns({
-        "__c0": F.coalesce(F.lag("__c1").over(along), F.lit(0.0)),
-        "__c1": F.when(F.lead("g").over(along).isNull(), F.lit(1.0 + 2.0 / SLOTS)).otherwise(F.col("__c1")),
-    })
-    slots = slots.withColumn("__slot", F.explode(F.sequence(
-        F.floor(F.col("__c0") * SLOTS).cast("long"), F.floor(F.col("__c1") * SLOTS).cast("long")
-    )))
-    drawn = work.join(slots, "__slot").where((F.col("__t") >= F.col("__c0")) & (F.col("__t") < F.col("__c1")))
-    per_bin = drawn.groupBy(*CELL, "n_contacts", "draw", "g").agg(F.count(F.lit(1)).alias("n"))
-    per_draw = per_bin.groupBy(*CELL, "n_contacts", "draw").agg(F.sum(F.col("n") * F.col("n")).alias("sq"), F.max("n").alias("top"))
-    h = F.col("sq") / (F.col("n_contacts").cast("double") * F.col("n_contacts"))
-    return per_draw.groupBy(*CELL).agg(
-        F.avg(h).alias("h_null"), F.stddev_samp(h).alias("h_null_sd"), F.avg("top").alias("top1_null")
+    wanted = strata.join(cells.select(*CELL, "n_contacts"), list(CELL)).groupBy(*CELL, "chrom", "start_pos", "n_contacts").agg(
+        F.array_sort(F.collect_list(F.struct("stratum", "k"))).alias("strata")
     )
+    return spread(wanted.withColumn("key", F.xxhash64(*CELL)), *CELL)
+
+
+def _per_cell(wanted: DataFrame, layout: _Layout, fn, added: str) -> DataFrame:
+    """CELL and what ``fn(key, fid, orientation, n, names, k, runs, sums)`` gives for each row of _reach_counts."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in CELL)
+    names = [*CELL, *(c.split(" ")[0] for c in added.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*CELL, "key", "chrom", "start_pos", "n_contacts", "strata")]
+            out = []
+            for fid, o, key, chrom, start, n, strata in zip(*cols):
+                reach, k = np.array([s["stratum"] for s in strata]), np.array([s["k"] for s in strata])
+                placed = [layout.runs(chrom, start, s) for s in reach]
+                runs, sums = np.array([r for r, _ in placed]), layout.sums[[w for _, w in placed]]
+                out.append((fid, o, *fn(key, fid, o, n, reach, k, runs, sums)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+
+    return wanted.mapInArrow(run, f"{kinds}, {added}")
+
+
+def redraw_null(
+    hits: DataFrame, cells: DataFrame, bins: DataFrame, binsize: int, proximal: int, draws: int, splitter: Splitter | None = None
+) -> DataFrame:
+    """Mean and spread of H and the mean top bin when each contact keeps its reach and redraws its bin.
+
+    A contact's reach is its log2 distance stratum on the own chromosome, or another chromosome. Contacts are counted per
+    (copy, stratum) first; a count is split down the halves of the bins it may reach, so no row or draw stands for a
+    single contact, and a copy's draws never leave its task. A stratum whose bins are free but empty draws them alike; one
+    without a free bin falls back to the whole own chromosome. A task holds two numbers for every genome bin, MOST_BINS at
+    most.
+    """
+    splitter = splitter or hashed_split()
+    layout = _Layout(bins, binsize, proximal)
+    wanted = _reach_counts(hits, cells, bins, binsize, proximal)
+
+    def drawn(key, fid, o, n, reach, k, runs, sums):
+        split = splitter(key, fid, o, reach)
+        step = max(1, DRAWN // min(n, layout.n))
+        h, top = [], []
+        for first in range(0, draws, step):
+            here = np.arange(first, min(first + step, draws))
+            g, draw, count = tree_counts(k, runs, sums, here, split)
+            squares, most = draw_statistics(g, draw - first, count, layout.n, len(here))
+            h.append(squares / (float(n) * n))
+            top.append(most)
+        h, top = np.concatenate(h), np.concatenate(top)
+        return h.mean(), h.std(ddof=1) if draws > 1 else None, top.mean()
+
+    return _per_cell(wanted, layout, drawn, "h_null double, h_null_sd double, top1_null double")
+
+
+def expected_null(hits: DataFrame, cells: DataFrame, bins: DataFrame, binsize: int, proximal: int) -> DataFrame:
+    """The mean of H under all redraws, by its formula: what ``h_null`` comes near to with many draws."""
+    layout = _Layout(bins, binsize, proximal)
+
+    def mean(key, fid, o, n, reach, k, runs, sums):
+        total, own = np.zeros(layout.n), 0.0
+        for count, (a1, b1, a2, b2), c in zip(k, runs, sums):
+            weight = np.diff(c)
+            weight[:a1] = weight[b1:a2] = weight[b2:] = 0
+            p = weight / weight.sum()
+            total += count * p
+            own += count * (p * (1 - p)).sum()
+        return (((total * total).sum() + own) / (float(n) * n),)
+
+    return _per_cell(_reach_counts(hits, cells, bins, binsize, proximal), layout, mean, "h_expected double")
 
 
 def target_test(
@@ -205,13 +230,22 @@ def target_test(
     draws: int = 200,
     mask_mult: float = 3.5,
     exclude: str = "",
-    uniform: Uniform | None = None,
+    splitter: Splitter | None = None,
     least_peers: int = 20,
+    min_mapq: int = 0,
+    min_mapq_dna: int | None = None,
 ) -> DataFrame:
-    """Concentration of each (copy, orientation) with its redraw z and its z among peers of like depth."""
+    """Concentration of each (copy, orientation) with its redraw z and its z among peers of like depth.
+
+    Contacts count where both ends reach their mapping-quality floor, in the bin weights too; the DNA end's is
+    ``min_mapq`` unless given.
+    """
+    dna = min_mapq if min_mapq_dna is None else min_mapq_dna
+    if min_mapq > 0 or dna > 0:
+        hits = staged(hits.where((F.col("mapq") >= min_mapq) & (F.col("mapq_dna") >= dna)))
     bins = staged(target_bins(hits, sizes, binsize, mask_mult, exclude))
     cells = staged(concentration(distant_counts(hits, bins, binsize, proximal), min_contacts))
-    null = redraw_null(hits, cells, bins, binsize, proximal, draws, uniform)
+    null = redraw_null(hits, cells, bins, binsize, proximal, draws, splitter)
     out = cells.join(null, list(CELL))
     z = F.when(F.col("h_null_sd") > 0, (F.col("h") - F.col("h_null")) / F.col("h_null_sd")).otherwise(F.lit(NAN))
     out = peer_z(out.withColumn("z", z), "n_contacts", "h", least_peers)
