@@ -11,7 +11,7 @@ from . import sqltext
 from .registry import lcg_offset, lcg_sql, register, rnd
 
 BIN, EIGEN_BIN = 200_000, 250_000
-LO, HI, PER, MOST, SHIFTS = 1, 5, 2, 60, 3
+LO, HI, PER, MOST, SHIFTS, SMOOTH = 1, 5, 2, 60, 3, 0.5
 VIEWS = ["feature", "pixel", "bin_weight", "tss", "chrom_size"]
 
 
@@ -26,15 +26,24 @@ EXPECTED = f""", ok as (select * from bin_weight where weight is not null),
     and b.bin - a.bin <= {HI} group by all),
   ex as (select np.*, coalesce(total, 0) as total, coalesce(total, 0) / n_pairs as expected from np left join tot
     on tot.chrom = np.chrom and tot.dist = np.dist)"""
+def within(a, b):
+    return f"(({a}.dist = 0 and {b}.dist = 0) or ({a}.dist > 0 and {b}.dist > 0 and abs(log2({a}.dist) - log2({b}.dist)) <= {SMOOTH}))"
+
+
+POOLED = EXPECTED + f""", po as (select dist, sum(total) as t, sum(n_pairs) as n from ex group by dist),
+  ps as (select a.dist, sum(b.t) / sum(b.n) as expected from po a join po b on {within('a', 'b')} group by a.dist),
+  ep as (select ex.chrom, ex.dist, ex.n_pairs, ps.expected from ex join ps on ps.dist = ex.dist)"""
 HASH = "(fid * 48271 + 11) % 1000003"
-PAIR_HASH = "(fid % 1000003 * 7919 + tss_bin * 104729) % 1000003"
+DRAW = "((fid % 1000003 * 7919 + j * 104729) % 1000003) % (j + 1)"
 ANCHORS = binned(BIN) + f""", an as (select fid, family, subfamily, chrom, bin from (select *, row_number() over (partition by subfamily
       order by {HASH}, fid) as rn from el) x where rn <= {MOST}),
   tb as (select distinct chrom, cast(floor(pos / {BIN}) as bigint) as tss_bin from tss),
   k as (select unnest(range({SHIFTS} + 1)) as grp)"""
-PAIRS = f"""select {{g}}fid, family, subfamily, chrom, least(bin, tss_bin) as i, greatest(bin, tss_bin) as j from (
-      select m.*, tss_bin, row_number() over (partition by {{g}}fid order by {PAIR_HASH}, tss_bin) as rn from {{t}} m
-      join tb on tb.chrom = m.chrom and abs(tss_bin - bin) between {LO} and {HI}) x where rn <= {PER}"""
+#: Steps m - k to m - 1 each draw one of the numbers so far, or the step's own where that one is taken.
+DRAWN = f"list_reduce(range(greatest(m - {PER}, 0), m), lambda s, j: list_append(s, case when list_contains(s, {DRAW}) then j else {DRAW} end), []::bigint[])"
+PAIRS = f"""select fid, family, subfamily, chrom, least(bin, tss_bin) as i, greatest(bin, tss_bin) as j from (
+      select m.*, tss_bin, row_number() over (partition by fid order by tss_bin) - 1 as x, count(*) over (partition by fid) as m from an m
+      join tb on tb.chrom = m.chrom and abs(tss_bin - bin) between {LO} and {HI}) x where m <= {PER} or list_contains({DRAWN}, x)"""
 ALL_PAIRS = f"""select {{g}}fid, family, subfamily, m.chrom, least(bin, tss_bin) as i, greatest(bin, tss_bin) as j from {{t}} m
       join tb on tb.chrom = m.chrom and abs(tss_bin - bin) between {LO} and {HI}"""
 LCG = lcg_sql("grp", "101", "chrom")
@@ -45,12 +54,13 @@ RIGID = ANCHORS + f""", pr as ({ALL_PAIRS.format(g='', t='el')}), qr as (select
     select *, case when grp = 0 then i else (i + {LCG}) % 101 end as ni from pr cross join k) x where ni + j - i < 101)"""
 SCRAMBLED = RELOCATED.replace("case when grp = 0 then bin else", f"case when grp = 0 then (bin + {REST}) % 101 else").replace(
     f"(bin + {LCG}) % 101 end", f"((bin + {REST}) % 101 + {LCG}) % 101 end")
-OE = EXPECTED + """, oe as (select q.*, case when a.weight is null or b.weight is null or e.expected is null then null
+OE_SQL = """, oe as (select q.*, case when a.weight is null or b.weight is null or e.expected is null then null
       when e.expected = 0 then case when coalesce(p.n, 0) = 0 then null else 'infinity'::double end
       else coalesce(p.n, 0) * a.weight * b.weight / e.expected end as oe
     from qr q left join pixel p on p.chrom = q.chrom and p.i = q.i and p.j = q.j left join ok a on a.chrom = q.chrom and a.bin = q.i
     left join ok b on b.chrom = q.chrom and b.bin = q.j left join ex e on e.chrom = q.chrom and e.dist = q.j - q.i)"""
-TEST = OE + """, me as (select family, subfamily, grp, avg(oe) as m, count(*) as n from oe where oe is not null and isfinite(oe) group by all),
+OE = EXPECTED + OE_SQL
+TEST = POOLED + OE_SQL.replace("join ex e", "join ep e") + """, me as (select family, subfamily, grp, avg(oe) as m, count(*) as n from oe where oe is not null and isfinite(oe) group by all),
   t0 as (select r.family, r.subfamily, r.n as n_pairs, r.m as obs_oe, avg(n.m) as null_oe, stddev_samp(n.m) as null_sd,
       count(*) as n_shifts, count(*) filter (n.m >= r.m) as exceed from me r join me n on r.grp = 0 and n.grp > 0
       and n.subfamily = r.subfamily group by all having count(*) >= 2),
@@ -62,8 +72,11 @@ WHOLE = ("family", "subfamily", "n_pairs", "n_shifts", "exceed")
 
 
 def order_columns():
-    return [(F.col("fid") * 48271 + 11) % 1000003, F.col("fid")], [
-        (F.col("fid") % 1000003 * 7919 + F.col("tss_bin") * 104729) % 1000003, F.col("tss_bin")]
+    return [(F.col("fid") * 48271 + 11) % 1000003, F.col("fid")]
+
+
+def lcg_draw(step, fid):
+    return (fid % 1000003 * 7919 + step * 104729) % 1000003
 
 
 def elements(spark, sf, size=BIN, **how):
@@ -77,7 +90,7 @@ def matrix(spark, sf):
 def promoter(spark, sf, **how):
     out = plan.promoter_contacts(
         elements(spark, sf), view(spark, sf, "tss"), *matrix(spark, sf), view(spark, sf, "chrom_size"), BIN, LO * BIN, HI * BIN,
-        SHIFTS, offset=lcg_offset, **how)
+        SHIFTS, offset=lcg_offset, smooth=SMOOTH, **how)
     return out.select(*[c if c in WHOLE else rnd(c, 4 if c == "z" else 6).alias(c) for c in out.columns])
 
 
@@ -96,15 +109,14 @@ def promoter_contacts_calibration(spark, sf):
     return promoter(spark, sf, scramble=2)
 
 
-@register("band_pairs", with_views(VIEWS, ANCHORS + f" {PAIRS.format(g='', t='an')}"))
+@register("band_pairs", with_views(VIEWS, ANCHORS + f" {PAIRS}"))
 def band_pairs(spark, sf):
-    anchor, pair = order_columns()
     from ..operators.coverage import point_bins
     from ..operators.order import sample_per_group
 
-    anchors = sample_per_group(elements(spark, sf), ["subfamily"], MOST, anchor).select("fid", "family", "subfamily", "chrom", "bin")
+    anchors = sample_per_group(elements(spark, sf), ["subfamily"], MOST, order_columns()).select("fid", "family", "subfamily", "chrom", "bin")
     starts = point_bins(view(spark, sf, "tss"), BIN).select("chrom", "bin")
-    out = plan.band_pairs(anchors, starts, LO, HI, PER, pair)
+    out = plan.band_pairs(anchors, starts, LO, HI, PER, lcg_draw)
     return out.select("fid", "family", "subfamily", "chrom", "i", "j")
 
 
@@ -112,7 +124,7 @@ def band_pairs(spark, sf):
 def sampled_anchors(spark, sf):
     from ..operators.order import sample_per_group
 
-    out = sample_per_group(elements(spark, sf), ["subfamily"], MOST, order_columns()[0])
+    out = sample_per_group(elements(spark, sf), ["subfamily"], MOST, order_columns())
     return out.select("fid", "family", "subfamily", "chrom", "bin")
 
 
@@ -124,14 +136,26 @@ def expected_by_distance(spark, sf):
 
 @register(
     "smoothed_expected",
-    with_views(VIEWS, EXPECTED + """ select a.chrom, a.dist, round(sum(b.total) / sum(b.n_pairs), 6) as expected from ex a join ex b on b.chrom = a.chrom
-      and ((a.dist = 0 and b.dist = 0) or (a.dist > 0 and b.dist > 0 and abs(log2(a.dist) - log2(b.dist)) <= 0.5)) group by a.chrom, a.dist"""),
+    with_views(VIEWS, EXPECTED + f""" select a.chrom, a.dist, round(sum(b.total) / sum(b.n_pairs), 6) as expected from ex a
+      join ex b on b.chrom = a.chrom and {within('a', 'b')} group by a.chrom, a.dist"""),
 )
 def smoothed_expected(spark, sf):
-    out = plan.smooth_expected(plan.expected_by_distance(*matrix(spark, sf), HI), 0.5)
+    out = plan.smooth_expected(plan.expected_by_distance(*matrix(spark, sf), HI), SMOOTH, pooled=False)
     return out.select("chrom", "dist", rnd("expected").alias("expected"))
 
 
+@register("pooled_expected", with_views(VIEWS, POOLED + " select chrom, dist, n_pairs, round(expected, 6) as expected from ep"))
+def pooled_expected(spark, sf):
+    out = plan.smooth_expected(staged(plan.expected_by_distance(*matrix(spark, sf), HI)), SMOOTH)
+    return out.select("chrom", "dist", "n_pairs", rnd("expected").alias("expected"))
+
+
+@register("contact_floor", with_views(VIEWS, RELOCATED + TEST.rsplit("select family, subfamily, n_pairs", 1)[0] + f""" select count(*) as n_groups,
+    count(*) filter (p_emp <= 1.5 / ({SHIFTS} + 1)) as n_at_floor, 1.0::double / ({SHIFTS} + 1) as p_floor from t1"""))
+def contact_floor(spark, sf):
+    return plan.floor_report(promoter(spark, sf), SHIFTS)
+
+
 @register("observed_over_expected", with_views(VIEWS, ANCHORS + f", qr as ({ALL_PAIRS.format(g='', t='el')})" + OE
                                               + " select fid, chrom, i, j, round(oe, 6) as oe from oe"))
 def observed_over_expected(spark, sf):

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.intervals import floor_div, midpoint
 from ..functions.special import INF, NAN, is_finite, ratio
 from ..operators.coverage import point_bins
+from ..operators.intervals import running_total
 from ..operators.order import benjamini_hochberg, exact_median, sample_per_group
-from ..operators.skew import HOT_ROWS, split_hot
 from ..session import staged
 from .peaks import Offset, hashed_offset
 
+#: A whole number for a step and the columns of what is drawn for.
+Draw = Callable[..., Column]
+
 
 def at_resolution(table: DataFrame, resolution: int) -> DataFrame:
     """Rows of one resolution; an unknown one is an error that lists those present."""
@@ -90,7 +93,11 @@ def _valid(weights: DataFrame) -> DataFrame:
 
 
 def expected_by_distance(pixels: DataFrame, weights: DataFrame, max_dist: int) -> DataFrame:
-    """Mean balanced value per (chrom, separation) over all pairs of valid bins, absent pixels counting as 0."""
+    """Mean balanced value per (chrom, separation) over all pairs of valid bins, absent pixels counting as 0.
+
+    Pairs of valid bins are counted by taking away from all pairs of the chromosome's bins those with a masked end; only
+    masked bins are paired with each other.
+    """
     ok = _valid(weights)
     i = ok.withColumnsRenamed({"bin": "i", "weight": "__wi"})
     j = ok.withColumnsRenamed({"bin": "j", "weight": "__wj"})
@@ -98,23 +105,67 @@ def expected_by_distance(pixels: DataFrame, weights: DataFrame, max_dist: int) -
     sums = near.groupBy("chrom", (F.col("j") - F.col("i")).alias("dist")).agg(
         F.sum(F.col("n") * F.col("__wi") * F.col("__wj")).alias("total")
     )
-    reach = ok.select("chrom", "bin", F.explode(F.sequence(F.lit(0), F.lit(max_dist))).alias("dist"))
-    partner = ok.select("chrom", F.col("bin").alias("__other"))
-    paired = reach.withColumn("__other", F.col("bin") + F.col("dist")).join(partner, ["chrom", "__other"], "left_semi")
-    pairs = paired.groupBy("chrom", F.col("dist").cast("long").alias("dist")).agg(F.count(F.lit(1)).alias("n_pairs"))
-    out = pairs.join(sums, ["chrom", "dist"], "left").na.fill(0.0, ["total"])
+    most = F.lit(max_dist).cast("long")
+    spans = weights.groupBy("chrom").agg(F.min("bin").cast("long").alias("lo"), F.max("bin").cast("long").alias("hi"))
+    grid = spans.select("chrom", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("bin"))
+    masked = staged(grid.join(ok, ["chrom", "bin"], "left_anti"))
+    # A masked bin is an end of pairs up to the chromosome's last bin and down to its first one.
+    ends = masked.select("chrom", F.explode(F.array(F.col("hi") - F.col("bin"), F.col("bin") - F.col("lo"))).alias("far"))
+    ends = ends.groupBy("chrom", F.least("far", most).alias("dist")).agg(F.count(F.lit(1)).alias("__ends"))
+    reach = masked.select("chrom", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.least(most, F.col("hi") - F.col("bin")))).alias("dist"))
+    other = masked.select("chrom", F.col("bin").alias("__other"))
+    both = reach.withColumn("__other", F.col("bin") + F.col("dist")).join(other, ["chrom", "__other"], "left_semi")
+    both = both.groupBy("chrom", "dist").agg(F.count(F.lit(1)).alias("__both"))
+    table = spans.select("chrom", (F.col("hi") - F.col("lo") + 1).alias("__n"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.least(most, F.col("hi") - F.col("lo")))).alias("dist"))
+    table = table.join(ends, ["chrom", "dist"], "left").join(both, ["chrom", "dist"], "left").join(sums, ["chrom", "dist"], "left")
+    farther = W.partitionBy("chrom").orderBy(F.col("dist").desc()).rowsBetween(W.unboundedPreceding, 0)
+    pairs = F.col("__n") - F.col("dist") - F.sum(F.coalesce("__ends", F.lit(0))).over(farther) + F.coalesce("__both", F.lit(0))
+    out = table.select("chrom", "dist", pairs.alias("n_pairs"), F.coalesce("total", F.lit(0.0)).alias("total")).where("n_pairs > 0")
     return out.withColumn("expected", F.col("total") / F.col("n_pairs"))
 
 
-def smooth_expected(expected: DataFrame, half_width: float = 0.1) -> DataFrame:
-    """Pool sums and pairs over separations within ``half_width`` in log2; the table is separations by chromosomes."""
+def smooth_expected(expected: DataFrame, half_width: float = 0.1, pooled: bool = True) -> DataFrame:
+    """Sums and pairs pooled over separations within ``half_width`` in log2, and over chromosomes unless not ``pooled``.
+
+    The table is separations by chromosomes; pooled, its scan has one row per separation.
+    """
     # Window ranges are whole numbers, so the logarithm is taken in millionths; separation 0 stands apart.
     step = 1_000_000
     x = F.when(F.col("dist") == 0, F.lit(-100 * step)).otherwise(F.round(F.log2(F.col("dist").cast("double")) * step))
     reach = round(half_width * step)
-    near = W.partitionBy("chrom").orderBy("__x").rangeBetween(-reach, reach)
-    placed = expected.withColumn("__x", x.cast("long"))
-    return placed.withColumn("expected", F.sum("total").over(near) / F.sum("n_pairs").over(near)).drop("__x")
+    scope = [] if pooled else ["chrom"]
+    table = expected.groupBy(*scope, "dist").agg(F.sum("total").alias("__t"), F.sum("n_pairs").alias("__n")).withColumn("__x", x.cast("long"))
+    near = W.partitionBy(*(scope or [F.lit(0)])).orderBy("__x").rangeBetween(-reach, reach)
+    table = table.select(*scope, "dist", (F.sum("__t").over(near) / F.sum("__n").over(near)).alias("expected"))
+    return expected.drop("expected").join(table, [*scope, "dist"])
+
+
+def band_ranks(bins: DataFrame, tss_bins: DataFrame, min_dist: int, max_dist: int) -> tuple[DataFrame, DataFrame]:
+    """(chrom, bin and the ranks r1 to r2 and r3 to r4, ends excluded, of the promoter bins in its band; promoter ranks).
+
+    Promoter bins are numbered from 0 along their chromosome. A band is two runs of ranks, found by counting the promoter
+    bins below its four ends; no bin meets its promoters.
+    """
+    starts = tss_bins.select("chrom", F.col("bin").cast("long").alias("__x")).distinct()
+    # The bin itself is in the upper half.
+    edges = [-max_dist, 1 - max(min_dist, 1), min_dist, max_dist + 1]
+    own = bins.select("chrom", F.col("bin").cast("long").alias("bin")).distinct()
+    asked = own.withColumn("__e", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("bin") + e).alias("x")) for k, e in enumerate(edges)])))
+    asked = asked.select("chrom", "bin", "__e.k", F.col("__e.x").alias("__x"))
+    places = starts.withColumn("__one", F.lit(1)).unionByName(asked.select("chrom", "__x", F.lit(0).alias("__one")))
+    places = places.groupBy("chrom", "__x").agg(F.max("__one").cast("long").alias("__one"))
+    below = staged(running_total(places, ["chrom"], "__x", "__one", "rank"))
+    ranks = below.where("__one = 1").select("chrom", F.col("__x").alias("tss_bin"), "rank")
+    held = asked.join(below.select("chrom", "__x", "rank"), ["chrom", "__x"]).groupBy("chrom", "bin").agg(
+        *[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"r{k + 1}") for k in range(4)]
+    )
+    return held, ranks
+
+
+def hashed_draw(seed: int = 0) -> Draw:
+    """A whole number from a hash of the seed, what is drawn for, and the step."""
+    return lambda step, *key: F.pmod(F.xxhash64(F.lit(seed), *key, step), F.lit(1 << 53))
 
 
 def band_pairs(
@@ -123,23 +174,68 @@ def band_pairs(
     min_dist: int,
     max_dist: int,
     per_anchor: int | None = None,
-    order: Sequence[Column] = (),
+    draw: Draw | None = None,
     anchor_key: Sequence[str] = ("fid",),
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Anchors with promoter bins between the two separations: all, or a sample of ``per_anchor`` of them per anchor.
+    """Anchors with promoter bins between the two separations: all, or ``per_anchor`` of them drawn without replacement.
 
-    Both sides meet on tiles as wide as the largest separation, an anchor in the three tiles it can reach.
+    The ranks of an anchor's promoters are known before any is looked up, so a sample is drawn among ranks and no pair
+    outside it is formed. Promoters are looked up by (chrom, rank), one row each.
+    """
+    held, ranks = band_ranks(anchors, tss_bins, min_dist, max_dist)
+    placed = anchors.join(held, ["chrom", "bin"])
+    below, above = F.col("r2") - F.col("r1"), F.col("r4") - F.col("r3")
+    placed = placed.withColumn("__m", below + above).where("__m > 0")
+    every = F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)
+    if per_anchor is not None:
+        draw = draw or hashed_draw()
+        key = [F.col(c) for c in anchor_key]
+        none = F.array().cast("array<bigint>")
+
+        def taken(held: Column, step: Column) -> Column:
+            # Step m draws one of 0 .. m, or m itself where that one is held: every set comes out alike.
+            one = draw(step, *key) % (step + 1)
+            return F.array_append(held, F.when(F.array_contains(held, one), step).otherwise(one))
+
+        some = F.aggregate(F.sequence(F.greatest(F.col("__m") - per_anchor, F.lit(0)), F.col("__m") - 1), none, taken)
+        every = F.when(F.col("__m") > per_anchor, some).otherwise(every)
+    placed = placed.withColumn("__k", F.explode(every))
+    rank = F.when(F.col("__k") < below, F.col("r1") + F.col("__k")).otherwise(F.col("r3") + F.col("__k") - below)
+    pairs = placed.withColumn("rank", rank).drop("__k", "__m", "r1", "r2", "r3", "r4").join(ranks, ["chrom", "rank"]).drop("rank")
+    return pairs.withColumn("i", F.least("bin", "tss_bin")).withColumn("j", F.greatest("bin", "tss_bin"))
+
+
+def band_means(pixels: DataFrame, weights: DataFrame, expected: DataFrame, tss_bins: DataFrame, min_dist: int, max_dist: int) -> DataFrame:
+    """Per valid bin: the sum of observed over expected against the promoter bins of its band, and how many are finite.
+
+    Sums come from the pixels that are there; absent ones add nothing. The finite ones are the band's valid promoter
+    bins, counted by rank, but for those at separations whose expected value is not positive.
     """
-    a = anchors.withColumn("__t", F.explode(F.sequence(
-        floor_div(F.col("bin") - max_dist, max_dist), floor_div(F.col("bin") + max_dist, max_dist)
-    )))
-    t = tss_bins.select("chrom", F.col("bin").alias("tss_bin")).distinct().withColumn("__t", floor_div("tss_bin", max_dist))
-    a, t, keys = split_hot(a, t, ["chrom", "__t"], hot_rows)
-    apart = F.abs(F.col("tss_bin") - F.col("bin"))
-    pairs = a.join(t, keys).where((apart >= min_dist) & (apart <= max_dist)).drop("__t", "__salt")
-    kept = pairs if per_anchor is None else sample_per_group(pairs, anchor_key, per_anchor, order)
-    return kept.withColumn("i", F.least("bin", "tss_bin")).withColumn("j", F.greatest("bin", "tss_bin"))
+    ok = staged(_valid(weights))
+    starts = staged(tss_bins.select("chrom", "bin").distinct().join(ok.select("chrom", "bin"), ["chrom", "bin"]))
+    usable = staged(expected.where((F.col("expected") > 0) & F.col("dist").between(min_dist, max_dist)).select("chrom", "dist", "expected"))
+    apart = F.col("j") - F.col("i")
+    near = pixels.where(apart.between(min_dist, max_dist)).withColumn("dist", apart.cast("long")).join(usable, ["chrom", "dist"])
+    near = near.join(ok.withColumnsRenamed({"bin": "i", "weight": "__wi"}), ["chrom", "i"])
+    near = near.join(ok.withColumnsRenamed({"bin": "j", "weight": "__wj"}), ["chrom", "j"])
+    oe = F.col("n") * F.col("__wi") * F.col("__wj") / F.col("expected")
+    both = F.array(F.struct(F.col("i").alias("bin"), F.col("j").alias("other")), F.struct(F.col("j").alias("bin"), F.col("i").alias("other")))
+    ways = F.when(F.col("dist") == 0, F.slice(both, 1, 1)).otherwise(both)
+    seen = near.select("chrom", oe.alias("oe"), F.explode(ways).alias("__e")).select("chrom", "oe", "__e.*")
+    seen = seen.join(starts.select("chrom", F.col("bin").alias("other")), ["chrom", "other"], "left_semi")
+    sums = seen.groupBy("chrom", "bin").agg(F.sum("oe").alias("oe_sum"))
+
+    held, _ = band_ranks(ok, starts, min_dist, max_dist)
+    total = held.select("chrom", "bin", (F.col("r2") - F.col("r1") + F.col("r4") - F.col("r3")).alias("__m"))
+    chroms = ok.select("chrom").distinct()
+    lost = chroms.select("chrom", F.explode(F.sequence(F.lit(min_dist).cast("long"), F.lit(max_dist).cast("long"))).alias("dist"))
+    lost = lost.join(usable, ["chrom", "dist"], "left_anti")
+    sides = F.when(F.col("dist") == 0, F.array(F.col("__p"))).otherwise(F.array(F.col("__p") - F.col("dist"), F.col("__p") + F.col("dist")))
+    lost = starts.withColumnRenamed("bin", "__p").join(lost, "chrom").select("chrom", F.explode(sides).alias("bin"))
+    lost = lost.groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("__lost"))
+    out = total.join(lost, ["chrom", "bin"], "left").join(sums, ["chrom", "bin"], "left")
+    n = F.col("__m") - F.coalesce("__lost", F.lit(0))
+    return out.select("chrom", "bin", F.coalesce("oe_sum", F.lit(0.0)).alias("oe_sum"), n.alias("oe_n")).where("oe_n > 0")
 
 
 def observed_over_expected(queries: DataFrame, pixels: DataFrame, weights: DataFrame, expected: DataFrame) -> DataFrame:
@@ -179,14 +275,27 @@ def shift_pairs(pairs: DataFrame, sizes: DataFrame, binsize: int, shifts: int, o
     return moved.drop("size", "__n", "__d")
 
 
-def contact_test(queries: DataFrame, group: Sequence[str] = ("family", "subfamily")) -> DataFrame:
-    """Mean observed over expected at rest against its shifted groups; needs two finite null means."""
-    means = queries.where(is_finite("oe")).groupBy(*group, "grp").agg(F.avg("oe").alias("__m"), F.count(F.lit(1)).alias("__n"))
-    rest = means.where("grp = 0").select(*group, F.col("__n").alias("n_pairs"), F.col("__m").alias("obs_oe"))
-    null = means.where("grp > 0").select(*group, "__m")
+def pair_means(queries: DataFrame, group: Sequence[str] = ("family", "subfamily")) -> DataFrame:
+    """Mean observed over expected per group and shift, over pairs that stand for ``k`` equal ones each."""
+    finite = queries.where(is_finite("oe"))
+    return finite.groupBy(*group, "grp").agg((F.sum(F.col("oe") * F.col("k")) / F.sum("k")).alias("m"), F.sum("k").alias("n"))
+
+
+def anchor_means(anchors: DataFrame, means: DataFrame, group: Sequence[str] = ("family", "subfamily")) -> DataFrame:
+    """The same over all promoters of every anchor's band, from the means of bins; an anchor row stands for ``k``."""
+    held = anchors.join(means, ["chrom", "bin"])
+    n = F.sum(F.col("oe_n") * F.col("k"))
+    return held.groupBy(*group, "grp").agg((F.sum(F.col("oe_sum") * F.col("k")) / n).alias("m"), n.alias("n"))
+
+
+def contact_test(means: DataFrame, group: Sequence[str] = ("family", "subfamily")) -> DataFrame:
+    """A group's mean at rest (shift 0) against its means under the shifts; needs two of these."""
+    means = staged(means)
+    rest = means.where("grp = 0").select(*group, F.col("n").alias("n_pairs"), F.col("m").alias("obs_oe"))
+    null = means.where("grp > 0").select(*group, "m")
     got = rest.join(null, list(group)).groupBy(*group, "n_pairs", "obs_oe").agg(
-        F.avg("__m").alias("null_oe"), F.stddev_samp("__m").alias("null_sd"), F.count(F.lit(1)).alias("n_shifts"),
-        F.sum((F.col("__m") >= F.col("obs_oe")).cast("long")).alias("exceed"),
+        F.avg("m").alias("null_oe"), F.stddev_samp("m").alias("null_sd"), F.count(F.lit(1)).alias("n_shifts"),
+        F.sum((F.col("m") >= F.col("obs_oe")).cast("long")).alias("exceed"),
     ).where("n_shifts >= 2")
     rel = (
         F.when(F.col("null_oe") <= 0, F.lit(NAN)).when(F.col("obs_oe") == 0, F.lit(-INF))
@@ -198,9 +307,12 @@ def contact_test(queries: DataFrame, group: Sequence[str] = ("family", "subfamil
     return benjamini_hochberg(out, "p_emp", "q_emp")
 
 
-def at_p_floor(table: DataFrame, shifts: int) -> DataFrame:
-    """Rows on the smallest p the number of shifts can give; they cannot be ranked against each other."""
-    return table.where(F.col("p_emp") <= 1.5 / (shifts + 1))
+def floor_report(table: DataFrame, shifts: int) -> DataFrame:
+    """How many groups were tested and how many have the least p that so many shifts can give; those have no order."""
+    least = 1.0 / (shifts + 1)
+    return table.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("p_emp") <= 1.5 * least).alias("n_at_floor"), F.lit(least).alias("p_floor")
+    )
 
 
 def promoter_contacts(
@@ -217,35 +329,47 @@ def promoter_contacts(
     per_anchor: int | None = None,
     max_anchors: int | None = None,
     anchor_order: Sequence[Column] | None = None,
-    pair_order: Sequence[Column] | None = None,
+    draw: Draw | None = None,
     offset: Offset | None = None,
     scramble: int | None = None,
-    smooth: float | None = None,
+    smooth: float | None = 0.1,
 ) -> DataFrame:
     """Element anchors against promoters over expected, with a relocation or rigid-pair null.
 
-    All anchors and all promoters of their bands count unless a sample size is given.
+    All anchors and all promoters of their bands count unless a sample size is given. Expected values are those of the
+    genome, smoothed over ``smooth`` in log2 separation; with None each chromosome has its own. Observed over expected
+    hangs on bins only, so all promoters of a band are summed once for each bin of the genome, and an anchor in any
+    shift is one lookup.
     """
     if mode not in ("relocate", "pair"):
         raise ValueError(f"unknown mode {mode!r}; choose relocate or pair")
     offset = offset or hashed_offset()
     anchor_order = anchor_order or [F.xxhash64("fid"), F.col("fid")]
-    pair_order = pair_order or [F.xxhash64("fid", "tss_bin"), F.col("tss_bin")]
     anchors = elements
     if max_anchors is not None:
         anchors = sample_per_group(elements, ["subfamily"], max_anchors, anchor_order)
-    anchors = staged(anchors.select("fid", "family", "subfamily", "chrom", "bin"))
+    anchors = anchors.select("fid", "family", "subfamily", "chrom", "bin")
     if scramble is not None:
         anchors = relocate(anchors, sizes, binsize, 1, offset, scramble).where("grp = 1").drop("grp")
     lo, hi = min_dist // binsize, max_dist // binsize
     starts = staged(point_bins(tss, binsize).select("chrom", "bin").distinct())
-    expected = expected_by_distance(pixels, weights, hi)
-    expected = staged(expected if smooth is None else smooth_expected(expected, smooth))
+    expected = staged(expected_by_distance(pixels, weights, hi))
+    if smooth is not None:
+        expected = staged(smooth_expected(expected, smooth))
+    places = ["family", "subfamily", "chrom", "bin"]
+    if mode == "relocate" and per_anchor is None:
+        counted = staged(anchors.groupBy(*places).agg(F.count(F.lit(1)).alias("k")))
+        means = staged(band_means(pixels, weights, expected, starts, lo, hi))
+        return contact_test(anchor_means(relocate(counted, sizes, binsize, shifts, offset), means))
     if mode == "relocate":
-        moved = relocate(anchors, sizes, binsize, shifts, offset)
-        queries = band_pairs(moved, starts, lo, hi, per_anchor, pair_order, ["fid", "grp"])
+        queries = band_pairs(relocate(anchors, sizes, binsize, shifts, offset), starts, lo, hi, per_anchor, draw, ["fid", "grp"])
+        queries = queries.withColumn("k", F.lit(1))
     else:
-        pairs = band_pairs(anchors, starts, lo, hi, per_anchor, pair_order)
+        if per_anchor is None:
+            pairs = band_pairs(anchors.groupBy(*places).agg(F.count(F.lit(1)).alias("k")), starts, lo, hi)
+        else:
+            pairs = band_pairs(anchors, starts, lo, hi, per_anchor, draw)
+            pairs = pairs.groupBy(*places[:3], "i", "j").agg(F.count(F.lit(1)).alias("k"))
         queries = shift_pairs(pairs, sizes, binsize, shifts, offset)
-    queries = queries.select("family", "subfamily", "fid", "grp", "chrom", "i", "j")
-    return contact_test(observed_over_expected(queries, pixels, weights, expected))
+    queries = queries.select("family", "subfamily", "grp", "chrom", "i", "j", "k")
+    return contact_test(pair_means(observed_over_expected(queries, pixels, weights, expected)))

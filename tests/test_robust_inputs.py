@@ -55,8 +55,7 @@ def test_every_anchor_and_promoter_counts(spark):
     anchors = spark.range(40).selectExpr("id as fid", "'f' as family", "'s' as subfamily", "'chr1' as chrom", "5L as bin")
     starts = spark.range(60).selectExpr("'chr1' as chrom", "id as bin")
     assert matrix.band_pairs(anchors, starts, 1, 20).count() == 40 * (5 + 20)
-    order = [F.col("tss_bin")]
-    assert matrix.band_pairs(anchors, starts, 1, 20, 3, order).count() == 40 * 3
+    assert matrix.band_pairs(anchors, starts, 1, 20, 3).count() == 40 * 3
 
 
 def test_draws_differ_between_moving_sets(spark):
