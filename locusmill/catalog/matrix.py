@@ -89,7 +89,7 @@ def matrix(spark, sf):
 
 def promoter(spark, sf, **how):
     out = plan.promoter_contacts(
-        elements(spark, sf), view(spark, sf, "tss"), *matrix(spark, sf), view(spark, sf, "chrom_size"), BIN, LO * BIN, HI * BIN,
+        elements(spark, sf), view(spark, sf, "tss"), *map(staged, matrix(spark, sf)), view(spark, sf, "chrom_size"), BIN, LO * BIN, HI * BIN,
         SHIFTS, offset=lcg_offset, smooth=SMOOTH, **how)
     return out.select(*[c if c in WHOLE else rnd(c, 4 if c == "z" else 6).alias(c) for c in out.columns])
 

@@ -108,7 +108,7 @@ def expected_by_distance(pixels: DataFrame, weights: DataFrame, max_dist: int) -
     most = F.lit(max_dist).cast("long")
     spans = weights.groupBy("chrom").agg(F.min("bin").cast("long").alias("lo"), F.max("bin").cast("long").alias("hi"))
     grid = spans.select("chrom", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("bin"))
-    masked = staged(grid.join(ok, ["chrom", "bin"], "left_anti"))
+    masked = grid.join(ok, ["chrom", "bin"], "left_anti")
     # A masked bin is an end of pairs up to the chromosome's last bin and down to its first one.
     ends = masked.select("chrom", F.explode(F.array(F.col("hi") - F.col("bin"), F.col("bin") - F.col("lo"))).alias("far"))
     ends = ends.groupBy("chrom", F.least("far", most).alias("dist")).agg(F.count(F.lit(1)).alias("__ends"))
@@ -155,7 +155,7 @@ def band_ranks(bins: DataFrame, tss_bins: DataFrame, min_dist: int, max_dist: in
     asked = asked.select("chrom", "bin", "__e.k", F.col("__e.x").alias("__x"))
     places = starts.withColumn("__one", F.lit(1)).unionByName(asked.select("chrom", "__x", F.lit(0).alias("__one")))
     places = places.groupBy("chrom", "__x").agg(F.max("__one").cast("long").alias("__one"))
-    below = staged(running_total(places, ["chrom"], "__x", "__one", "rank"))
+    below = running_total(places, ["chrom"], "__x", "__one", "rank")
     ranks = below.where("__one = 1").select("chrom", F.col("__x").alias("tss_bin"), "rank")
     held = asked.join(below.select("chrom", "__x", "rank"), ["chrom", "__x"]).groupBy("chrom", "bin").agg(
         *[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"r{k + 1}") for k in range(4)]
@@ -211,9 +211,9 @@ def band_means(pixels: DataFrame, weights: DataFrame, expected: DataFrame, tss_b
     Sums come from the pixels that are there; absent ones add nothing. The finite ones are the band's valid promoter
     bins, counted by rank, but for those at separations whose expected value is not positive.
     """
-    ok = staged(_valid(weights))
+    ok = _valid(weights)
     starts = staged(tss_bins.select("chrom", "bin").distinct().join(ok.select("chrom", "bin"), ["chrom", "bin"]))
-    usable = staged(expected.where((F.col("expected") > 0) & F.col("dist").between(min_dist, max_dist)).select("chrom", "dist", "expected"))
+    usable = expected.where((F.col("expected") > 0) & F.col("dist").between(min_dist, max_dist)).select("chrom", "dist", "expected")
     apart = F.col("j") - F.col("i")
     near = pixels.where(apart.between(min_dist, max_dist)).withColumn("dist", apart.cast("long")).join(usable, ["chrom", "dist"])
     near = near.join(ok.withColumnsRenamed({"bin": "i", "weight": "__wi"}), ["chrom", "i"])
@@ -290,10 +290,10 @@ def anchor_means(anchors: DataFrame, means: DataFrame, group: Sequence[str] = ("
 
 def contact_test(means: DataFrame, group: Sequence[str] = ("family", "subfamily")) -> DataFrame:
     """A group's mean at rest (shift 0) against its means under the shifts; needs two of these."""
-    means = staged(means)
-    rest = means.where("grp = 0").select(*group, F.col("n").alias("n_pairs"), F.col("m").alias("obs_oe"))
-    null = means.where("grp > 0").select(*group, "m")
-    got = rest.join(null, list(group)).groupBy(*group, "n_pairs", "obs_oe").agg(
+    own = W.partitionBy(*group)
+    at_rest = lambda c: F.max(F.when(F.col("grp") == 0, F.col(c))).over(own)
+    beside = means.withColumns({"n_pairs": at_rest("n"), "obs_oe": at_rest("m")}).where("grp > 0 and obs_oe is not null")
+    got = beside.groupBy(*group, "n_pairs", "obs_oe").agg(
         F.avg("m").alias("null_oe"), F.stddev_samp("m").alias("null_sd"), F.count(F.lit(1)).alias("n_shifts"),
         F.sum((F.col("m") >= F.col("obs_oe")).cast("long")).alias("exceed"),
     ).where("n_shifts >= 2")
@@ -352,14 +352,13 @@ def promoter_contacts(
     if scramble is not None:
         anchors = relocate(anchors, sizes, binsize, 1, offset, scramble).where("grp = 1").drop("grp")
     lo, hi = min_dist // binsize, max_dist // binsize
-    starts = staged(point_bins(tss, binsize).select("chrom", "bin").distinct())
+    starts = point_bins(tss, binsize).select("chrom", "bin").distinct()
     expected = staged(expected_by_distance(pixels, weights, hi))
-    if smooth is not None:
-        expected = staged(smooth_expected(expected, smooth))
+    expected = expected if smooth is None else smooth_expected(expected, smooth)
     places = ["family", "subfamily", "chrom", "bin"]
     if mode == "relocate" and per_anchor is None:
-        counted = staged(anchors.groupBy(*places).agg(F.count(F.lit(1)).alias("k")))
-        means = staged(band_means(pixels, weights, expected, starts, lo, hi))
+        counted = anchors.groupBy(*places).agg(F.count(F.lit(1)).alias("k"))
+        means = band_means(pixels, weights, expected, starts, lo, hi)
         return contact_test(anchor_means(relocate(counted, sizes, binsize, shifts, offset), means))
     if mode == "relocate":
         queries = band_pairs(relocate(anchors, sizes, binsize, shifts, offset), starts, lo, hi, per_anchor, draw, ["fid", "grp"])
