@@ -153,6 +153,26 @@ def pairs_text_rows(spark, sf):
     return readers.read_pairs(spark, pairs_text(spark, sf))
 
 
+@register("sam_alignments", with_views(["read_align", "contact"], """ select sample, concat(frag, ':1') as frag, read, r.chrom, r.start_pos, r.end_pos, strand
+    from read_align r"""))
+def sam_alignments(spark, sf):
+    """The alignments written as SAM text, one line a read, spliced reads and second mates among them, and read again."""
+    root = scratch_path(spark, "sam")
+    c = view(spark, sf, "contact").withColumn("file", F.concat(F.lit("lib"), F.col("lib").cast("string"), F.lit(".sam")))
+    back = F.col("rna_strand") == "-"
+    odd = F.col("dna_pos") % 2 == 1
+    one = F.struct(
+        (F.when(odd, 0).otherwise(65) + F.when(back, 16).otherwise(0)).alias("flag"), (F.col("rna_pos") + 1).alias("pos"),
+        F.when(F.col("dna_pos") % 5 == 0, "5S20M1I10D20M100N25M").otherwise("75M3H").alias("cigar"))
+    two = F.struct((F.lit(129) + F.when(back, 0).otherwise(16)).alias("flag"), (F.col("rna_pos") + 61 + F.col("dna_pos") % 300).alias("pos"), F.lit("70M5D").alias("cigar"))
+    lines = c.withColumn("r", F.explode(F.when(odd, F.array(one)).otherwise(F.array(one, two))))
+    name = F.col("rna_pos") * 1000000 + F.col("dna_pos") % 1000000
+    text = F.concat_ws("\t", name.cast("string"), F.col("r.flag").cast("string"), "rna_chrom", F.col("r.pos").cast("string"),
+                       F.lit("60"), "r.cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("NH:i:1"), F.lit("HI:i:1"))
+    lines.select(text.alias("value"), "file").write.partitionBy("file").text(root)
+    return readers.read_sam(spark, root).drop("mapq")
+
+
 @register("pairs_chrom_sizes", with_views(["chrom_size"], " select * from chrom_size"))
 def pairs_chrom_sizes(spark, sf):
     return readers.read_chrom_sizes(spark, pairs_text(spark, sf))

@@ -13,7 +13,7 @@ from .registry import register, rnd
 SAMPLES = ("lib0", "lib1", "lib2", "lib3")
 A, B = SAMPLES[:2], SAMPLES[2:]
 FR = ["feature", "read_align"]
-AT = """, held as (select distinct r.sample, r.frag, r.strand = f.strand as agree, f.fid from read_align r
+AT = """, held as (select distinct r.sample, r.frag, (r.strand = f.strand) = (r.read = 1) as agree, f.fid from read_align r
     join feature f on f.chrom = r.chrom and f.start_pos < r.end_pos and f.end_pos > r.start_pos)"""
 COUNTS = AT + """, one as (select sample, frag, agree, max(fid) as fid from held group by all having count(*) = 1),
   cn as (select sample, case when agree then 'sense' else 'antisense' end as orientation, fid, count(*) as n from one group by all)"""
@@ -49,19 +49,37 @@ def assignment_rates(spark, sf):
     return plan.assignment_rates(counts(spark, sf), view(spark, sf, "read_align")).withColumn("rate", rnd("rate"))
 
 
-@register(
-    "strandedness",
-    with_views(["gene", "read_align"], """, h as (select r.sample, r.frag, r.strand = g.strand as agree, count(distinct g.gene_id) as k from read_align r
+def strand_sql(table):
+    return f""", h as (select r.sample, r.frag, (r.strand = g.strand) = (r.read = 1) as agree, count(distinct g.gene_id) as k from {table} r
         join gene g on g.chrom = r.chrom and g.start_pos < r.end_pos and g.end_pos > r.start_pos group by all),
       c as (select sample, count(*) filter (agree) as s1, count(*) filter (not agree) as s2 from h where k = 1 group by sample),
       v as (select *, case when least(s1, s2) > 0 then greatest(s1, s2) / least(s1, s2) else greatest(s1, s2) end as x from c)
     select sample, s1, s2, round(x, 6) as ratio, case when greatest(s1, s2) = 0 then 'no reads' when x < 5 then 'unstranded'
-      when s1 > s2 then 'setting 1' else 'setting 2' end as verdict from v"""),
-)
+      when s1 > s2 then 'setting 1' else 'setting 2' end as verdict from v"""
+
+
+@register("strandedness", with_views(["gene", "read_align"], strand_sql("read_align")))
 def strandedness(spark, sf):
     return plan.strandedness(view(spark, sf, "gene"), view(spark, sf, "read_align")).withColumn("ratio", rnd("ratio"))
 
 
+@register("strandedness_of_kits", with_views(["gene", "gene_read"], strand_sql("gene_read")))
+def strandedness_of_kits(spark, sf):
+    """Paired libraries made forward, reverse and without regard to strand, mates on opposite strands."""
+    return plan.strandedness(view(spark, sf, "gene"), view(spark, sf, "gene_read")).withColumn("ratio", rnd("ratio"))
+
+
+@register("read_fragments", with_views(["read_align"], """, t as (select distinct sample, frag, chrom, case when read = 2 then
+      case when strand = '+' then '-' else '+' end else strand end as strand, start_pos, end_pos from read_align),
+    o as (select *, max(end_pos) over (partition by sample, frag, chrom, strand order by start_pos, end_pos rows between unbounded preceding
+      and 1 preceding) as before from t),
+    n as (select *, sum(case when before is null or start_pos > before then 1 else 0 end) over (partition by sample, frag, chrom, strand
+      order by start_pos, end_pos) as run from o)
+    select sample, frag, chrom, strand, min(start_pos) as start_pos, max(end_pos) as end_pos from n group by sample, frag, chrom, strand, run"""))
+def read_fragments(spark, sf):
+    return plan.fragments(view(spark, sf, "read_align"))
+
+
 @register("subfamily_counts", with_views(FR, WIDE + " select * from w"))
 def subfamily_counts(spark, sf):
     return plan.subfamily_counts(counts(spark, sf), view(spark, sf, "feature"), SAMPLES)

@@ -79,9 +79,21 @@ VIEWS: dict[str, str] = {
         from {contact} where rna_chrom = dna_chrom group by 1, 2, 3""",
     "read_align": """
         select concat('lib', cast(lib as string)) as sample, rna_chrom as chrom, rna_pos * 1000000 + dna_pos % 1000000 as frag,
-          rna_pos + m.m * (60 + dna_pos % 300) as start_pos, rna_pos + m.m * (60 + dna_pos % 300) + 75 as end_pos,
-          rna_strand as strand
-        from {contact}, (select 0 as m union all select 1) m where m.m = 0 or dna_pos % 2 = 0""",
+          case when m.m = 1 then 2 else 1 end as read,
+          rna_pos + case m.m when 0 then 0 when 1 then 60 + dna_pos % 300 else 150 end as start_pos,
+          rna_pos + case m.m when 1 then 135 + dna_pos % 300 when 2 then 175
+                    else case when dna_pos % 5 = 0 then 50 else 75 end end as end_pos,
+          case when (rna_strand = '+') = (m.m <> 1) then '+' else '-' end as strand
+        from {contact}, (select 0 as m union all select 1 union all select 2) m
+        where m.m = 0 or (m.m = 1 and dna_pos % 2 = 0) or (m.m = 2 and dna_pos % 5 = 0)""",
+    "gene_read": """
+        select case l_orderkey % 3 when 0 then 'kit_fr' when 1 then 'kit_rf' else 'kit_un' end as sample, g.chrom as chrom,
+          l_orderkey * 10 + l_linenumber as frag, 1 + m.m as read,
+          g.start_pos + (l_orderkey*13) % (g.end_pos - g.start_pos - 400) + m.m * 150 as start_pos,
+          g.start_pos + (l_orderkey*13) % (g.end_pos - g.start_pos - 400) + m.m * 150 + 75 as end_pos,
+          case when ((g.strand = '+') = ((l_orderkey % 3 = 0 or (l_orderkey % 3 = 2 and l_linenumber % 2 = 0))
+            = (l_orderkey % 50 <> 7))) = (m.m = 0) then '+' else '-' end as strand
+        from {lineitem} join {gene} g on g.gene_id = l_partkey, (select 0 as m union all select 1) m""",
     "seq_line": """
         select concat('chr', cast(1 + doc_id % 8 as string)) as chrom,
           cast(floor(doc_id/8) as bigint) * 160000 % 20000000 as start_off, text as seq from {documents}""",

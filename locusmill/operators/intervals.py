@@ -95,15 +95,16 @@ def merge(df: DataFrame, keys: Sequence[str] = ("chrom",), block: int = BLOCK) -
         *keys, "__b", F.greatest("start_pos", lo).alias("start_pos"), F.least("end_pos", hi).alias("end_pos")
     ).where(F.col("start_pos") < F.col("end_pos"))
     starts = cut.groupBy(*keys, "__b", "start_pos").agg(F.max("end_pos").alias("end_pos"))
-    runs = _islands(starts, [*keys, "__b"])
+    runs = islands(starts, [*keys, "__b"])
     inner = (F.col("start_pos") > lo) & (F.col("end_pos") < hi)
     out = [*keys, "start_pos", "end_pos"]
     closed = runs.where(inner).select(*out)
-    open_runs = _islands(runs.where(~inner).select(*out), keys).select(*out)
+    open_runs = islands(runs.where(~inner).select(*out), keys).select(*out)
     return closed.unionByName(open_runs)
 
 
-def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Union of intervals per key in one scan of the key's rows, for keys that hold few; bookended intervals join."""
     ordered = W.partitionBy(*keys).orderBy("start_pos")
     before = F.max("end_pos").over(ordered.rowsBetween(W.unboundedPreceding, -1))
     opened = F.when(before.isNull() | (F.col("start_pos") > before), 1).otherwise(0)
@@ -196,7 +197,7 @@ def introns(genes: DataFrame, exons: DataFrame) -> DataFrame:
     """
     starts = exons.groupBy("gene_id", "start_pos").agg(F.max("end_pos").alias("end_pos"))
     bounds = genes.select("gene_id", F.col("start_pos").alias("lo"), F.col("end_pos").alias("hi"))
-    cut = _bounded_segments(_islands(starts, ["gene_id"]), bounds, ["gene_id"])
+    cut = _bounded_segments(islands(starts, ["gene_id"]), bounds, ["gene_id"])
     along = W.partitionBy("gene_id").orderBy("start_pos")
     near = cut.withColumn("__prev", F.lag("end_pos").over(along)).withColumn("__foll", F.lead("start_pos").over(along))
     gaps = near.select(*_gaps(["gene_id"], "__prev", "__foll")).select(

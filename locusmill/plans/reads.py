@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.intervals import ANTISENSE, SENSE
 from ..functions.special import NAN, normal_upper
-from ..operators.intervals import overlap_join
+from ..operators.intervals import islands, overlap_join
 from ..operators.order import benjamini_hochberg
 from ..session import staged
 
 KEY = ("subfamily", "orientation")
 
 
+PIECE = ("sample", "frag", "chrom", "strand")
+
+
+def fragments(alignments: DataFrame) -> DataFrame:
+    """Stretches of fragments, on the strand of their first read, from aligned blocks.
+
+    The mates of a proper pair lie on opposite strands, so a second read's strand is turned. Blocks of a fragment on one
+    chromosome and strand are united where mates overlap; the parts of a spliced read and mates apart stay apart. A
+    null read number is that of a single read.
+    """
+    turned = F.when(F.col("strand") == "+", "-").otherwise("+")
+    strand = F.when(F.col("read") == 2, turned).otherwise(F.col("strand"))
+    return islands(alignments.select("sample", "frag", "chrom", strand.alias("strand"), "start_pos", "end_pos"), PIECE)
+
+
 def count_reads(features: DataFrame, reads: DataFrame, setting: int = 1, multi: str = "drop") -> DataFrame:
-    """Fragments per (sample, orientation, copy). reads: sample, frag, chrom, start_pos, end_pos, strand of an alignment.
+    """Fragments per (sample, orientation, copy). reads: sample, frag, chrom, start_pos, end_pos, strand of an aligned
+    block, and ``read`` (1 or 2) where there are mates.
 
-    A fragment is on a copy if a base of any of its alignments is. Sense counting wants the copy's strand (setting 1) or
+    A fragment is on a copy if a base of any of its blocks is. Sense counting wants the copy's strand (setting 1) or
     the other (setting 2); antisense counting uses the strand-flipped copies. A fragment on several eligible copies is
     dropped, or counted on each with ``all``. Equal stretches are looked up once.
     """
@@ -26,6 +42,8 @@ def count_reads(features: DataFrame, reads: DataFrame, setting: int = 1, multi:
         raise ValueError(f"strand setting must be 1 or 2, not {setting}")
     if multi not in ("drop", "all"):
         raise ValueError(f"unknown multi {multi!r}; choose drop or all")
+    if "read" in reads.columns:
+        reads = fragments(reads)
     place = ["chrom", "start_pos", "end_pos"]
     copies = features.select(
         "chrom", "fid", F.col("strand").alias("f_strand"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end")

@@ -27,8 +27,9 @@ PAIRS = (
 )
 BEDGRAPH = "chrom string, start_pos long, end_pos long, value double"
 COUNTS = "fid string, chrom string, start_pos string, end_pos string, strand string, length string, n double"
+SAM = "name string, flag int, chrom string, start_pos long, mapq int, cigar string"
 #: Formats whose lines may be wider than the columns read here; the others have just these columns.
-WIDER = {PAIRS, BED6, COUNTS}
+WIDER = {PAIRS, BED6, COUNTS, SAM}
 
 
 def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -39,7 +40,7 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
     """
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    raw = raw.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    raw = raw.where((F.trim("value") != "") & ~F.col("value").startswith("@" if schema == SAM else "#"))
     raw = raw.withColumn("__p", F.split("value", "\t", -1))
     text = {name: F.nullif(F.get("__p", F.lit(k)), F.lit("")) for k, (name, _) in enumerate(fields)}
     typed = {name: text[name] if kind == "string" else text[name].try_cast(kind) for name, kind in fields}
@@ -48,11 +49,12 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
     fault = F.when(width, "columns")
     if wrong:
         fault = fault.when(reduce(lambda x, y: x | y, wrong), "number")
-    return raw.select(*[typed[name].alias(name) for name, _ in fields], "path", fault.alias("fault"))
+    rest = F.slice("__p", len(fields) + 1, F.greatest(F.size("__p") - len(fields), F.lit(0)))
+    return raw.select(*[typed[name].alias(name) for name, _ in fields], "path", fault.alias("fault"), rest.alias("rest"))
 
 
 def _rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    return _lines(spark, path, schema).where("fault is null").drop("path", "fault")
+    return _lines(spark, path, schema).where("fault is null").drop("path", "fault", "rest")
 
 
 def lost_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -168,7 +170,7 @@ def read_chrom_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Signal steps with the file they come from; track lines are lost lines."""
-    return _lines(spark, path, BEDGRAPH).where("fault is null").drop("fault")
+    return _lines(spark, path, BEDGRAPH).where("fault is null").drop("fault", "rest")
 
 
 def read_manifest_tracks(spark: SparkSession, manifest: str, root: str, assay: str) -> DataFrame:
@@ -230,6 +232,37 @@ def read_count_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Aligned blocks of SAM text files ``<sample>.sam``: sample, frag, read, chrom, start_pos, end_pos, strand, mapq.
+
+    A read is cut at skipped reference (N); deletions stay inside a block, insertions and clipped ends take no reference.
+    ``frag`` is the read's name with its hit number (tag HI, else 0), so the places of a multi-mapped pair are fragments
+    of their own. ``read`` is 2 for a pair's second read, else 1. Unmapped reads have no block; header lines are no lines.
+    """
+    raw = _lines(spark, path, SAM).where("fault is null and chrom <> '*' and cigar <> '*'").where(F.col("flag").bitwiseAND(4) == 0)
+    tag = F.get(F.filter("rest", lambda t: t.startswith("HI:i:")), F.lit(0))
+    hit = F.coalesce(F.substring(tag, 6, 20), F.lit("0"))
+
+    def length(part: Column, kinds: str) -> Column:
+        found = F.regexp_extract_all(part, F.lit(f"([0-9]+)[{kinds}]"), F.lit(1))
+        return F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+
+    parts = F.transform(
+        F.split("cigar", "(?<=N)"), lambda p: F.struct(length(p, "MD=X").alias("own"), length(p, "N").alias("skip"))
+    )
+    rows = raw.withColumns({"__p": parts, "start_pos": from_one_based("start_pos")})
+    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.size("__p") - 1)))
+    before = F.aggregate(F.slice("__p", 1, F.col("__k")), F.lit(0).cast("long"), lambda n, x: n + x["own"] + x["skip"])
+    rows = rows.withColumn("start_pos", F.col("start_pos") + before)
+    own = F.get("__p", F.col("__k"))["own"]
+    bit = lambda n: F.col("flag").bitwiseAND(n) != 0
+    return rows.where(own > 0).select(
+        _named(F.col("path"), r"([^/=]+)\.sam(?:/|$)", 1).alias("sample"), F.concat_ws(":", "name", hit).alias("frag"),
+        F.when(bit(1) & bit(128), 2).otherwise(1).alias("read"), "chrom", "start_pos", (F.col("start_pos") + own).alias("end_pos"),
+        F.when(bit(16), "-").otherwise("+").alias("strand"), "mapq",
+    )
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated table with a header: run sheets, results, library totals."""
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)

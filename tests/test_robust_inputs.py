@@ -140,3 +140,42 @@ def test_resolutions(spark):
     assert sorted(r.n for r in matrix.at_resolution(table, 10000).collect()) == [2, 3]
     with pytest.raises(ValueError, match="5000, 10000"):
         matrix.at_resolution(table, 7)
+
+
+ALIGNED = "sample string, frag string, read int, chrom string, start_pos long, end_pos long, strand string"
+
+
+def test_mates_on_opposite_strands_are_one_fragment(spark):
+    features = spark.createDataFrame([(1, "chr1", 0, 400, "+")], "fid long, chrom string, start_pos long, end_pos long, strand string")
+    rows = [("s", "a", 1, 10, 60, "+"), ("s", "a", 2, 40, 90, "-"), ("s", "b", 1, 200, 250, "-"), ("s", "b", 2, 120, 170, "+"),
+            ("s", "c", 1, 300, 320, "+"), ("s", "c", 1, 360, 380, "+"), ("s", "d", None, 300, 320, "-")]
+    aligned = spark.createDataFrame([(*r[:3], "chr1", *r[3:]) for r in rows], ALIGNED)
+    got = {tuple(r) for r in reads.fragments(aligned).select("frag", "strand", "start_pos", "end_pos").collect()}
+    assert got == {("a", "+", 10, 90), ("b", "-", 200, 250), ("b", "-", 120, 170), ("c", "+", 300, 320), ("c", "+", 360, 380), ("d", "-", 300, 320)}
+    counts = {(r.orientation, r.n) for r in reads.count_reads(features, aligned).collect()}
+    assert counts == {("sense", 2), ("antisense", 2)}
+
+
+def test_a_stranded_library_is_seen_as_such(spark):
+    genes = spark.createDataFrame([(1, "chr1", 0, 1000, "+"), (2, "chr1", 2000, 3000, "-")],
+                                  "gene_id long, chrom string, start_pos long, end_pos long, strand string")
+    rows = []
+    for k in range(60):
+        start, strand = (10 * k, "+") if k % 2 else (2000 + 10 * k, "-")
+        other = "-" if strand == "+" else "+"
+        rows += [("fr", f"p{k}", 1, "chr1", start, start + 50, strand), ("fr", f"p{k}", 2, "chr1", start + 100, start + 150, other)]
+        rows += [("rf", f"p{k}", 1, "chr1", start, start + 50, other), ("rf", f"p{k}", 2, "chr1", start + 100, start + 150, strand)]
+    got = {r["sample"]: (r.s1, r.s2, r.verdict) for r in reads.strandedness(genes, spark.createDataFrame(rows, ALIGNED)).collect()}
+    assert got == {"fr": (60, 0, "setting 1"), "rf": (0, 60, "setting 2")}
+
+
+def test_sam_blocks(spark, tmp_path):
+    path = lines(tmp_path, "libA.sam", [
+        ["@HD", "VN:1.6"], ["@SQ", "SN:chr1", "LN:1000"],
+        ["q1", 99, "chr1", 11, 60, "10M5N3M2D4M", "=", 60, 80, "*", "*", "NH:i:2", "HI:i:2"], ["q1", 147, "chr1", 61, 60, "4S6M1I2M", "=", 11, -80, "*", "*"],
+        ["q2", 16, "chr1", 5, 0, "5=5X"], ["q3", 4, "*", 0, 0, "*", "*"], ["q4", "x", "chr1", 5, 0, "5M"], ["q5", 0, "chr1"],
+    ])
+    got = {tuple(r) for r in readers.read_sam(spark, path).collect()}
+    assert got == {("libA", "q1:2", 1, "chr1", 10, 20, "+", 60), ("libA", "q1:2", 1, "chr1", 25, 34, "+", 60),
+                   ("libA", "q1:0", 2, "chr1", 60, 68, "-", 60), ("libA", "q2:0", 1, "chr1", 4, 14, "-", 0)}
+    assert {r.fault: r.n_lines for r in readers.lost_lines(spark, path, readers.SAM).collect()} == {"columns": 1, "number": 1}
