@@ -49,9 +49,9 @@ def assignment_rates(spark, sf):
     return plan.assignment_rates(counts(spark, sf), view(spark, sf, "read_align")).withColumn("rate", rnd("rate"))
 
 
-def strand_sql(table):
+def strand_sql(table, genes="gene"):
     return f""", h as (select r.sample, r.frag, (r.strand = g.strand) = (r.read = 1) as agree, count(distinct g.gene_id) as k from {table} r
-        join gene g on g.chrom = r.chrom and g.start_pos < r.end_pos and g.end_pos > r.start_pos group by all),
+        join {genes} g on g.chrom = r.chrom and g.start_pos < r.end_pos and g.end_pos > r.start_pos group by all),
       c as (select sample, count(*) filter (agree) as s1, count(*) filter (not agree) as s2 from h where k = 1 group by sample),
       v as (select *, case when least(s1, s2) > 0 then greatest(s1, s2) / least(s1, s2) else greatest(s1, s2) end as x from c)
     select sample, s1, s2, round(x, 6) as ratio, case when greatest(s1, s2) = 0 then 'no reads' when x < 5 then 'unstranded'
@@ -63,10 +63,10 @@ def strandedness(spark, sf):
     return plan.strandedness(view(spark, sf, "gene"), view(spark, sf, "read_align")).withColumn("ratio", rnd("ratio"))
 
 
-@register("strandedness_of_kits", with_views(["gene", "gene_read"], strand_sql("gene_read")))
+@register("strandedness_of_kits", with_views(["gene_core", "gene_read"], strand_sql("gene_read", "gene_core")))
 def strandedness_of_kits(spark, sf):
     """Paired libraries made forward, reverse and without regard to strand, mates on opposite strands."""
-    return plan.strandedness(view(spark, sf, "gene"), view(spark, sf, "gene_read")).withColumn("ratio", rnd("ratio"))
+    return plan.strandedness(view(spark, sf, "gene_core"), view(spark, sf, "gene_read")).withColumn("ratio", rnd("ratio"))
 
 
 @register("read_fragments", with_views(["read_align"], """, t as (select distinct sample, frag, chrom, case when read = 2 then

@@ -86,11 +86,13 @@ VIEWS: dict[str, str] = {
           case when (rna_strand = '+') = (m.m <> 1) then '+' else '-' end as strand
         from {contact}, (select 0 as m union all select 1 union all select 2) m
         where m.m = 0 or (m.m = 1 and dna_pos % 2 = 0) or (m.m = 2 and dna_pos % 5 = 0)""",
+    "gene_core": """
+        select gene_id, chrom, start_pos, start_pos + 400 as end_pos, strand from {gene}""",
     "gene_read": """
         select case l_orderkey % 3 when 0 then 'kit_fr' when 1 then 'kit_rf' else 'kit_un' end as sample, g.chrom as chrom,
           l_orderkey * 10 + l_linenumber as frag, 1 + m.m as read,
-          g.start_pos + (l_orderkey*13) % (g.end_pos - g.start_pos - 400) + m.m * 150 as start_pos,
-          g.start_pos + (l_orderkey*13) % (g.end_pos - g.start_pos - 400) + m.m * 150 + 75 as end_pos,
+          g.start_pos + (l_orderkey*13) % 150 + m.m * 150 as start_pos,
+          g.start_pos + (l_orderkey*13) % 150 + m.m * 150 + 75 as end_pos,
           case when ((g.strand = '+') = ((l_orderkey % 3 = 0 or (l_orderkey % 3 = 2 and l_linenumber % 2 = 0))
             = (l_orderkey % 50 <> 7))) = (m.m = 0) then '+' else '-' end as strand
         from {lineitem} join {gene} g on g.gene_id = l_partkey, (select 0 as m union all select 1) m""",
