@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.special import NAN, normal_upper, student_two_sided
+from ..functions.special import NAN, student_two_sided
 from ..session import staged
-from .order import ALL, _scoped, exact_median, mid_ranks
+from .order import ALL, Ranking, _scoped, mid_ranks, order_summary, summary_quantiles, summary_rank_tests
 
 
 def mann_whitney(df: DataFrame, scope: Sequence[str], group: str, value: str) -> DataFrame:
@@ -16,25 +16,8 @@ def mann_whitney(df: DataFrame, scope: Sequence[str], group: str, value: str) ->
 
     The pool is the same for all groups of a scope, so it is ranked once. Normal p with tie and continuity correction.
     """
-    df, keys = _scoped(df, scope)
-    # Ranks are joined back by value, so the values are fixed first.
-    df = staged(df.select(*keys, group, value))
-    ranks = mid_ranks(df, keys, value)
-    n = F.col("n").cast("double")
-    pool = ranks.groupBy(*keys).agg(F.sum(n * n * n - n).alias("__ties"), F.max("n_total").alias("n_pool"))
-    # Equal values of a group are one row, so a value shared by a third of the pool is one row per group.
-    held = df.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("__c"))
-    summed = held.join(ranks.select(*keys, value, "rank"), [*keys, value]).groupBy(*keys, group).agg(
-        F.sum(F.col("__c") * F.col("rank")).alias("__r"), F.sum("__c").alias("n_group")
-    )
-    out = summed.join(pool, keys)
-    n1, big = F.col("n_group").cast("double"), F.col("n_pool").cast("double")
-    n2 = big - n1
-    u = F.col("__r") - n1 * (n1 + 1) / 2.0
-    spread = F.sqrt(n1 * n2 / 12.0 * ((big + 1) - F.col("__ties") / (big * (big - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / F.when(spread > 0, spread)
-    p = F.when(spread > 0, F.least(normal_upper(z) * 2.0, F.lit(1.0))).otherwise(F.lit(NAN))
-    return out.select(*scope, group, "n_group", "n_pool", u.alias("u"), p.alias("p"))
+    summary = order_summary(df, {"pool": Ranking(value, tuple(scope), group)})
+    return summary_rank_tests(summary, "pool", scope, group)
 
 
 def stratified_contrast(
@@ -44,8 +27,9 @@ def stratified_contrast(
 
     A stratum needs at least ``least`` rows on both sides.
     """
-    test = mann_whitney(df, strata, flag, value).where(F.col(flag)).withColumn("n_rest", F.col("n_pool") - F.col("n_group"))
-    med = exact_median(df, [*strata, flag], value, "__m")
+    summary = order_summary(df, {"pool": Ranking(value, tuple(strata), flag), "side": Ranking(value, (*strata, flag))})
+    test = summary_rank_tests(summary, "pool", strata, flag).where(F.col(flag)).withColumn("n_rest", F.col("n_pool") - F.col("n_group"))
+    med = summary_quantiles(summary, "side", [*strata, flag], {"__m": 0.5})
     sides = med.groupBy(*strata).agg(
         F.max(F.when(F.col(flag), F.col("__m"))).alias("__a"), F.max(F.when(~F.col(flag), F.col("__m"))).alias("__b")
     )

@@ -1,22 +1,24 @@
 """Ranks, exact quantiles, strata and multiple-testing correction without whole-group windows.
 
-Equal values are collapsed first, so ties cannot pile up. Distinct values are then split into buckets at approximate
-quantiles of the distinct values, which makes buckets even; scans run per bucket, with one row per bucket carrying the
-sums across buckets. Results are exact: the approximate edges only decide which task a value goes to. They are written
-out once, since a sketch merged in another order could place a value in another bucket.
+Equal values are collapsed first, so ties cannot pile up. Distinct values are then sorted over ranges of (scope, value), as
+many as the session has shuffle partitions for the rows there are; a range is a bucket. Scans run per bucket, and one row
+per (scope, bucket) carries the sums across buckets. Results are exact: the ranges only decide which task a value goes to.
+They are written out with their rows, since ranges of another sample could place a value in another bucket. Many columns
+and scopes share one such order: each row is sent once for every ranking it takes part in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.intervals import depth_stratum
-from ..functions.special import NAN
+from ..functions.special import NAN, normal_upper
 from ..session import staged
 
-BUCKETS = 128
 ALL = "__all"
 
 
@@ -24,25 +26,108 @@ def _scoped(df: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(scope)) if scope else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
-def value_runs(df: DataFrame, scope: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def ordered_runs(runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows (keys, value, n) with ``n_below`` and ``ties``, how much of n lies below the value and at it in the same keys,
+    ``n_total`` of the keys, and ``__bucket``, which rises with the value."""
+    keys = list(keys)
+    placed = staged(runs.repartitionByRange(*keys, value).withColumn("__bucket", F.spark_partition_id()))
+    cell = W.partitionBy(*keys, "__bucket")
+    local = placed.withColumns({
+        "__upto": F.sum("n").over(cell.orderBy(value)), "ties": F.sum("n").over(W.partitionBy(*keys, "__bucket", value)),
+    })
+    sums = placed.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__sum"))
+    scope = W.partitionBy(*keys)
+    lower = scope.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__bucket").alias("__r_bucket"),
+        F.coalesce(F.sum("__sum").over(lower), F.lit(0)).alias("__base"), F.sum("__sum").over(scope).alias("n_total"),
+    )
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.col("__bucket") == F.col("__r_bucket"))
+    out = local.join(base, same).withColumn("n_below", F.col("__base") + F.col("__upto") - F.col("ties"))
+    return out.drop("__r_bucket", "__base", "__upto", *[f"__r_{k}" for k in keys])
+
+
+def value_runs(df: DataFrame, scope: Sequence[str], value: str) -> DataFrame:
     """One row per (scope, value): ``n`` rows with it, ``n_before`` below it, ``n_total`` in the scope."""
     df, keys = _scoped(df, scope)
     runs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = [k / buckets for k in range(1, buckets)]
-    edges = runs.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 1000).alias("__edges"), F.sum("n").alias("n_total")
-    )
-    spread = runs.join(staged(edges), keys).withColumn(
-        "__bucket", F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    ).drop("__edges")
-    within = W.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = spread.withColumn("__local", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    sums = spread.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__sum"))
-    across = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(across), F.lit(0))).drop("__sum")
-    out = local.join(base, [*keys, "__bucket"])
-    return out.withColumn("n_before", F.col("__base") + F.col("__local")).select(
-        *scope, value, "n", "n_before", "n_total", "__bucket"
+    return ordered_runs(runs, keys, value).select(*scope, value, "n", F.col("n_below").alias("n_before"), "n_total", "__bucket")
+
+
+class Ranking(NamedTuple):
+    """A column ranked within a scope; ranks are summed per ``group``, and rows failing ``where`` take no part."""
+
+    value: str
+    scope: tuple[str, ...] = ()
+    group: str | None = None
+    where: str | None = None
+
+
+def shared_order(df: DataFrame, rankings: dict[str, Ranking]) -> DataFrame:
+    """All rankings in one order: rows (tag, scope, grp, value, n) with n_below, ties and n_total in their (tag, scope).
+
+    ``scope`` is a struct of all scope columns, null where a ranking has no use for one. Null values are left out. The
+    group column is the same for all rankings that have one.
+    """
+    columns = list(dict.fromkeys(c for r in rankings.values() for c in r.scope))
+    groups = {r.group for r in rankings.values() if r.group}
+    if len(groups) > 1:
+        raise ValueError(f"one group column for all rankings, not {sorted(groups)}")
+    kind = {f.name: f.dataType for f in df.schema}
+    group_kind = kind[next(iter(groups))] if groups else "string"
+    entries = []
+    for tag, r in rankings.items():
+        own = [(F.col(c) if c in r.scope else F.lit(None).cast(kind[c])).alias(c) for c in columns]
+        grp = F.col(r.group) if r.group else F.lit(None).cast(group_kind)
+        entry = F.struct(F.lit(tag).alias("tag"), F.struct(F.lit(0).alias(ALL), *own).alias("scope"), grp.alias("grp"),
+                         F.col(r.value).cast("double").alias("value"))
+        entries.append(F.when(F.expr(r.where), entry) if r.where else entry)
+    long = df.select(F.explode(F.array(*entries)).alias("__e")).where("__e.value is not null").select("__e.*")
+    runs = long.groupBy("tag", "scope", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
+    return ordered_runs(runs, ["tag", "scope"], "value").drop("__bucket")
+
+
+def order_summary(df: DataFrame, rankings: dict[str, Ranking], probs: Sequence[float] = (0.5,)) -> DataFrame:
+    """One row per (tag, scope, grp) of a shared order: n, rank_sum, tie_sum, n_total, and what quantiles are made of."""
+    at = {(k, end): fn(F.lit(float(p)) * (F.col("n_total") - 1)) for k, p in enumerate(probs) for end, fn in (("lo", F.floor), ("hi", F.ceil))}
+    picks = [
+        F.max(F.when((F.col("n_below") <= x) & (x < F.col("n_below") + F.col("ties")), F.col("value"))).alias(f"{end}{k}")
+        for (k, end), x in at.items()
+    ]
+    ties = F.col("ties").cast("double")
+    return staged(shared_order(df, rankings).groupBy("tag", "scope", "grp").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n_below") + (ties + 1) / 2.0)).alias("rank_sum"),
+        F.sum(F.col("n") * (ties * ties - 1)).alias("tie_sum"), F.max("n_total").alias("n_total"), *picks,
+    ))
+
+
+def summary_quantiles(summary: DataFrame, tag: str, scope: Sequence[str], names: dict[str, float], probs: Sequence[float] = (0.5,)) -> DataFrame:
+    """Exact linearly interpolated quantiles of a ranking per scope: name -> probability."""
+    rows = summary.where(F.col("tag") == tag)
+    ends = [F.max(f"{end}{k}").alias(f"{end}{k}") for k in range(len(probs)) for end in ("lo", "hi")]
+    got = rows.groupBy("scope").agg(F.max("n_total").alias("__n"), *ends)
+    cells = []
+    for name, p in names.items():
+        k, x = list(probs).index(p), F.lit(float(p)) * (F.col("__n") - 1)
+        cells.append((F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x))).alias(name))
+    return got.select(*[F.col(f"scope.{c}").alias(c) for c in scope], *cells)
+
+
+def summary_rank_tests(summary: DataFrame, tag: str, scope: Sequence[str], group: str) -> DataFrame:
+    """Two-sided rank test of every group against the rest of its scope; normal p with tie and continuity correction."""
+    rows = summary.where(F.col("tag") == tag)
+    # A row per group, so a scope's rows are few.
+    ties = F.sum("tie_sum").over(W.partitionBy("scope"))
+    n1, big = F.col("n").cast("double"), F.col("n_total").cast("double")
+    n2 = big - n1
+    u = F.col("rank_sum") - n1 * (n1 + 1) / 2.0
+    rows = rows.withColumn("__ties", ties)
+    spread = F.sqrt(n1 * n2 / 12.0 * ((big + 1) - F.try_divide(F.col("__ties"), big * (big - 1))))
+    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / F.when(spread > 0, spread)
+    p = F.when(spread > 0, F.least(normal_upper(z) * 2.0, F.lit(1.0))).otherwise(F.lit(NAN))
+    return rows.select(
+        *[F.col(f"scope.{c}").alias(c) for c in scope], F.col("grp").alias(group), F.col("n").alias("n_group"),
+        F.col("n_total").alias("n_pool"), u.alias("u"), p.alias("p"),
     )
 
 

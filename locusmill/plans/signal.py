@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.intervals import ANTISENSE, SENSE, track_orientation
-from ..operators.contrasts import mann_whitney
 from ..operators.coverage import clip_spans, library_totals, signal_sums
 from ..session import staged
-from ..operators.order import benjamini_hochberg, exact_median, quantile_strata
+from ..operators.order import (
+    Ranking, benjamini_hochberg, exact_median, order_summary, quantile_strata, summary_quantiles, summary_rank_tests,
+)
 
 IP, INPUT = ("ip_r1", "ip_r2"), ("in_r1", "in_r2")
 
@@ -55,7 +56,9 @@ def densities(signal: DataFrame, totals: DataFrame, samples: Sequence[str] = (*I
 def log_ratios(dens: DataFrame, min_input_frac: float = 0.25, ip=IP, inputs=INPUT) -> DataFrame:
     """Rows at or above the orientation's input floor, with the log2 ratio and the replicates' own ratios."""
     total = lambda names: sum((F.col(f"d_{s}") for s in names[1:]), F.col(f"d_{names[0]}"))
-    rows = staged(dens.withColumn("ip", total(ip)).withColumn("input", total(inputs)))
+    rows = dens.withColumn("ip", total(ip)).withColumn("input", total(inputs))
+    # A floor above 0 keeps no row without input, and most copies have none.
+    rows = staged(rows.where("input > 0") if min_input_frac > 0 else rows)
     floor = exact_median(rows.where("input > 0"), ["orientation"], "input", "__median")
     rows = rows.join(floor, "orientation").withColumn("floor", F.col("__median") * min_input_frac)
     eps = F.col("floor") * 0.5
@@ -68,14 +71,17 @@ def log_ratios(dens: DataFrame, min_input_frac: float = 0.25, ip=IP, inputs=INPU
 def enrich(ratios: DataFrame, all_copies: DataFrame, min_copies: int = 20) -> DataFrame:
     """Subfamily medians against the orientation's background, rank test and q over the whole table."""
     key = ["orientation", "subfamily"]
-    tests = mann_whitney(ratios, ["orientation"], "subfamily", "l2")
+    summary = order_summary(ratios, {
+        "pool": Ranking("l2", ("orientation",), "subfamily"), "l2": Ranking("l2", tuple(key)), "input": Ranking("input", tuple(key)),
+    })
+    tests = summary_rank_tests(summary, "pool", ["orientation"], "subfamily")
     shape = ratios.groupBy(*key, "family").agg(F.avg((F.col("l2") > 0).cast("double")).alias("frac_positive"))
     out = (
         tests.where(F.col("n_group") >= min_copies)
         .join(shape, key)
-        .join(exact_median(ratios, key, "l2", "median_l2"), key)
-        .join(exact_median(ratios, key, "input", "median_input"), key)
-        .join(exact_median(ratios, ["orientation"], "l2", "bg_median_l2"), "orientation")
+        .join(summary_quantiles(summary, "l2", key, {"median_l2": 0.5}), key)
+        .join(summary_quantiles(summary, "input", key, {"median_input": 0.5}), key)
+        .join(summary_quantiles(summary, "pool", ["orientation"], {"bg_median_l2": 0.5}), "orientation")
         .join(all_copies.groupBy("subfamily").agg(F.count(F.lit(1)).alias("n_total")), "subfamily")
     )
     out = out.withColumn("delta", F.col("median_l2") - F.col("bg_median_l2"))
@@ -89,8 +95,10 @@ def category_profile(ratios: DataFrame, min_copies: int = 20) -> DataFrame:
     """Per category: median ratio, input density, length and replicate ratios, for the correlation diagnostics."""
     key = ["orientation", "subfamily"]
     out = ratios.groupBy(*key).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") >= min_copies)
-    for column in ("l2", "input", "length", "l2_rep1", "l2_rep2"):
-        out = out.join(exact_median(ratios, key, column, f"median_{column}"), key)
+    columns = ("l2", "input", "length", "l2_rep1", "l2_rep2")
+    summary = order_summary(ratios, {c: Ranking(c, tuple(key)) for c in columns})
+    for column in columns:
+        out = out.join(summary_quantiles(summary, column, key, {f"median_{column}": 0.5}), key)
     return out
 
 
@@ -98,9 +106,10 @@ def group_profile(rows: DataFrame, group: str) -> DataFrame:
     """Size, median length and median input density of named groups."""
     named = rows.where(F.col(group).isNotNull())
     sizes = named.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(exact_median(named, [group], "length", "median_length"), group).join(
-        exact_median(named, [group], "input", "median_input"), group
-    )
+    summary = order_summary(named, {c: Ranking(c, (group,)) for c in ("length", "input")})
+    for column in ("length", "input"):
+        sizes = sizes.join(summary_quantiles(summary, column, [group], {f"median_{column}": 0.5}), group)
+    return sizes
 
 
 def length_band(length: str, edges: Sequence[float]) -> Column:
