@@ -171,12 +171,14 @@ def host_classes(spark, sf):
 
 @register(
     "unannotated_classes",
-    with_views(["feature", "gene", "exon"], HOST.replace("from gene)", "from gene where chrom <> 'chr3')").replace(
-        "left join gene g on", "left join gene g on g.chrom <> 'chr3' and") + " select class, count(*) as n from cls group by class"),
+    with_views(["peak", "gene", "exon"], ", pk as (select distinct concat_ws(':', chrom, start_pos, end_pos, strand) as fid, chrom, start_pos, end_pos, strand from peak)"
+               + HOST.replace("from feature f", "from pk f") + " select class, count(*) as n from cls group by class"),
 )
 def unannotated_classes(spark, sf):
-    genes, exons = (view(spark, sf, n).where("chrom <> 'chr3'") for n in ("gene", "exon"))
-    return hosts.host_class(view(spark, sf, "feature"), genes, exons).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    """Classes of peaks, some of which lie on a contig without genes."""
+    place = ["chrom", "start_pos", "end_pos", "strand"]
+    found = view(spark, sf, "peak").select(*place).distinct().withColumn("fid", F.concat_ws(":", *[F.col(c).cast("string") for c in place]))
+    return hosts.host_class(found, view(spark, sf, "gene"), view(spark, sf, "exon")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

@@ -180,16 +180,15 @@ def pairs_chrom_sizes(spark, sf):
 
 @register(
     "primary_assembly",
-    with_views(["contact"], " select rna_chrom as chrom, count(*) as n_skipped from contact where rna_chrom in ('chr7', 'chr8') group by 1"),
+    with_views(["peak"], " select chrom, count(*) as n_skipped from peak where chrom = 'chrUn_1' group by 1"),
 )
 def primary_assembly(spark, sf):
-    keep = [c for c in tx.PRIMARY if c not in ("chr7", "chr8")]
-    return readers.primary_only(view(spark, sf, "contact"), "rna_chrom", keep)[1]
+    return readers.primary_only(view(spark, sf, "peak"))[1]
 
 
 @register(
     "manifest_tracks",
-    with_views(["track"], " select sample, chrom, start_pos, end_pos, value from track where sample <> 'in_r2'"),
+    with_views(["track"], " select case sample when 'in_r2' then 'other' else 'repliseq' end as assay, sample, chrom, start_pos, end_pos, value from track"),
 )
 def manifest_tracks(spark, sf):
     root = scratch_path(spark, "tracks")
@@ -200,8 +199,12 @@ def manifest_tracks(spark, sf):
         F.when(F.col("sample") == "in_r2", "other").otherwise("repliseq").alias("assay"), F.col("sample").alias("label"),
     )
     writers.write_tsv(listed, f"{root}/manifest")
-    out = readers.read_manifest_tracks(spark, f"{root}/manifest", f"{root}/d", "repliseq")
-    return out.select("sample", "chrom", "start_pos", "end_pos", "value")
+    read = [
+        readers.read_manifest_tracks(spark, f"{root}/manifest", f"{root}/d", assay).select(
+            F.lit(assay).alias("assay"), "sample", "chrom", "start_pos", "end_pos", "value")
+        for assay in ("repliseq", "other")
+    ]
+    return read[0].unionByName(read[1])
 
 
 @register(

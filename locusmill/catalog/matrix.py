@@ -210,9 +210,9 @@ def compartments(spark, sf):
     return out.select(*[c if c in ("family", "subfamily", "n_scored", "n_copies") else rnd(c).alias(c) for c in out.columns])
 
 
-@register("shared_chromosomes", with_views(["feature"], " select chrom, count(*) as n, chrom not in ('chr2', 'chr7') as usable from feature group by chrom"))
+@register("shared_chromosomes", with_views(["peak", "chrom_size"], " select chrom, count(*) as n, chrom in (select chrom from chrom_size) as usable from peak group by chrom"))
 def shared_chromosomes(spark, sf):
-    return plan.shared_chroms(view(spark, sf, "feature"), view(spark, sf, "chrom_size").where("chrom not in ('chr2', 'chr7')"))
+    return plan.shared_chroms(view(spark, sf, "peak"), view(spark, sf, "chrom_size"))
 
 
 @register(

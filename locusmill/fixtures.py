@@ -31,16 +31,20 @@ VIEWS: dict[str, str] = {
     "peak_rep": """
         select concat('cell', cast(o_custkey % 2 as string)) as cell_line,
           concat('S', cast(cast(floor(o_custkey/2) as bigint) % 12 as string)) as sample, r.rep as rep,
-          concat('chr', cast(1 + o_orderkey % 8 as string)) as chrom,
+          case when o_orderkey % 97 = 0 then 'chrUn_1' else concat('chr', cast(1 + o_orderkey % 8 as string)) end as chrom,
           (o_orderkey*15485863 + o_custkey*32452843) % 20000000
             + case when r.rep = 2 then o_custkey % 40 else 0 end as start_pos,
           (o_orderkey*15485863 + o_custkey*32452843) % 20000000
             + case when r.rep = 2 then o_custkey % 40 else 0 end + 20 + o_custkey % 80 as end_pos,
           case when o_orderpriority < '3' then '+' else '-' end as strand
         from {orders}, (select 1 as rep union all select 2 as rep) r
-        where r.rep = 1 or o_orderkey % 3 <> 0""",
+        where r.rep = 1 or (o_orderkey % 3 <> 0 and cast(floor(o_custkey/2) as bigint) % 12 <> 3)""",
     "peak": """
         select cell_line, sample, chrom, start_pos, end_pos, strand from {peak_rep} where rep = 1""",
+    "peak_near": """
+        select cell_line, sample, chrom, start_pos, end_pos, strand from {peak} union all
+        select 'cell0' as cell_line, 'S1' as sample, chrom, start_pos, end_pos, strand from {feature}
+        where subfamily = 'famA_0' and start_pos % 3 = 0""",
     "gene": """
         select p_partkey as gene_id, concat('chr', cast(1 + p_partkey % 8 as string)) as chrom,
           (p_partkey*86028121) % 19900000 as start_pos,
