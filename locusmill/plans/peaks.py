@@ -18,6 +18,8 @@ POOL = ("cell_line",)
 HIT = (*GROUP, *CATEGORY)
 FLAT_TILE = 256
 
+#: Peaks times permutations that one round of the shift null draws, unless its batch is given.
+DRAWN = 200_000_000
 #: The offset of a shift's number, a space's size and the columns that name what moves as one.
 Offset = Callable[..., Column]
 
@@ -90,7 +92,7 @@ def shift_null(
     candidates: DataFrame,
     max_perms: int,
     stop_at: int = 25,
-    batch: int = 1000,
+    batch: int | None = None,
     eligible: DataFrame | None = None,
     offset: Offset | None = None,
     scramble: int | None = None,
@@ -102,6 +104,9 @@ def shift_null(
     mapped once to the flat positions a peak start must take to touch them, so a permutation is one tiled equi-join and
     a distinct. A group stops when all its candidates have ``stop_at`` exceedances; ``scramble`` replaces the observed
     arm by that draw for calibration.
+
+    Without ``batch`` the first round has twice ``stop_at`` permutations, after which most groups stop, and each round
+    twice as many as the one before, as long as the peaks still moving make no more than DRAWN rows.
     """
     offset = offset or hashed_offset()
     space = staged(flat_offsets(merge(peaks if eligible is None else eligible, [*POOL, "chrom"]), POOL, ["chrom"]))
@@ -151,14 +156,17 @@ def shift_null(
     state = staged(cands.join(observed, list(HIT), "left").select(
         *HIT, F.coalesce("loci", zero).alias("observed"), zero.alias("exceed"), zero.alias("null_sum"), zero.alias("done")
     ))
-    placed = staged(flat.select(*GROUP).distinct())
+    placed = staged(flat.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__peaks")))
 
-    done = 0
+    done, planned = 0, 2 * stop_at
     while done < max_perms:
-        step = min(batch, max_perms - done)
-        going = state.where(F.col("exceed") < stop_at).select(*GROUP).distinct().join(placed, list(GROUP), "left_semi")
-        if going.isEmpty():
+        going = state.where(F.col("exceed") < stop_at).select(*GROUP).distinct().join(placed, list(GROUP))
+        live = going.agg(F.sum("__peaks")).first()[0]
+        if not live:
             break
+        going = going.drop("__peaks")
+        step = min(batch or max(1, min(planned, DRAWN // live)), max_perms - done)
+        planned *= 2
         drawn = loci(draws(going, done, done + step)).join(state.select(*HIT, "observed"), list(HIT))
         tally = drawn.groupBy(*HIT).agg(
             F.count(F.lit(1)).alias("__seen"),
