@@ -8,7 +8,7 @@ from ..fixtures import view, with_views
 from ..functions import text as tx
 from ..operators.order import positional_rank
 from ..plans import contacts as pairs, peaks as peak_plan
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import readers, writers
 from ..streaming import contacts as streaming
 from .contacts import ENDS, FCS, INNER, SPANS, tallies
@@ -300,17 +300,49 @@ def tally_table(spark, sf):
 STREAM_SCHEMA = "fid long, rna_chrom string, rna_pos long, rna_strand string, mapq long, dna_chrom string, dna_pos long"
 
 
-@register(
-    "streamed_tallies",
-    with_views(["feature", "contact"], INNER + """ select subfamily, case when rna_strand = strand then 'antisense' else 'sense' end as orientation,
+STREAMED = INNER + """ select subfamily, case when rna_strand = strand then 'antisense' else 'sense' end as orientation,
       case when rna_chrom <> dna_chrom then 2 when abs(dna_pos - rna_pos) <= 1000000 then 0 else 1 end as dclass, count(*) as n
-    from hit where mapq >= 10 group by all"""),
-)
-def streamed_tallies(spark, sf):
+    from hit where mapq >= 10 group by all"""
+
+
+def arrivals(spark, sf, parts):
+    """A folder, and functions that each let another part of the contacts arrive in it."""
     source = scratch_path(spark, "arrivals")
     features = view(spark, sf, "feature")
     hits = pairs.on_copies(view(spark, sf, "contact"), features).withColumnsRenamed({"chrom": "rna_chrom", "pos": "rna_pos"})
-    names = [c.split()[0] for c in STREAM_SCHEMA.split(", ")]
-    hits.select(*names).repartition(6).write.parquet(source)
+    hits = staged(hits.select(*[c.split()[0] for c in STREAM_SCHEMA.split(", ")]))
+    part = F.pmod(F.xxhash64(*hits.columns), F.lit(parts))
+    steps = [lambda k=k: hits.where(part == k).repartition(3).write.mode("append").parquet(source) for k in range(parts)]
+    return source, features, steps
+
+
+@register("streamed_tallies", with_views(["feature", "contact"], STREAMED))
+def streamed_tallies(spark, sf):
+    source, features, (arrive,) = arrivals(spark, sf, 1)
+    arrive()
     stream = streaming.stream_contacts(spark, source, STREAM_SCHEMA, files_per_trigger=2)
-    return streaming.run_tally(stream, features, scratch_path(spark, "totals"), 10)
+    return streaming.run_tally(stream, features, scratch_path(spark, "totals"), scratch_path(spark, "tally"), 10)
+
+
+@register("resumed_tallies", with_views(["feature", "contact"], STREAMED))
+def resumed_tallies(spark, sf):
+    """Two runs over arriving files, the second going on from the checkpoint of the first."""
+    source, features, steps = arrivals(spark, sf, 2)
+    out, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "tally")
+    for arrive in steps:
+        arrive()
+        stream = streaming.stream_contacts(spark, source, STREAM_SCHEMA, files_per_trigger=2)
+        totals = streaming.run_tally(stream, features, out, checkpoint, 10)
+    return totals
+
+
+@register("changed_tallies", with_views(["feature", "contact"], STREAMED))
+def changed_tallies(spark, sf):
+    """The last total in a log of changes that two runs wrote."""
+    source, features, steps = arrivals(spark, sf, 2)
+    out, checkpoint = scratch_path(spark, "changes"), scratch_path(spark, "tally")
+    for arrive in steps:
+        arrive()
+        stream = streaming.stream_contacts(spark, source, STREAM_SCHEMA, files_per_trigger=2)
+        log = streaming.changed_tallies(stream, features, out, checkpoint, 10)
+    return streaming.latest(log)

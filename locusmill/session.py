@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +60,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+#: The folder of the analysis that is running, if one owns its intermediates.
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path in the running analysis' folder, else below the shared folder; ``keep`` asks for the latter."""
+    base = None if keep else _workspace.get()
+    return f"{(base or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, label: str = "analysis") -> Iterator[str]:
+    """A folder below the shared one for all that is staged inside, deleted at the end; results are read before that.
+
+    Analyses in several threads, or one inside another, each have their own.
+    """
+    path = scratch_path(spark, label)
+    token = _workspace.set(path)
+    try:
+        yield path
+    finally:
+        _workspace.reset(token)
+        delete(spark, path)
 
 
 #: Folders written by ``staged`` that are still there.
@@ -72,10 +101,8 @@ def clear_staged(spark: SparkSession, first: int = 0) -> int:
     ``first = len(staged_paths())`` before an analysis and this call after it keep what other analyses still read.
     """
     gone = _written[first:]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in gone:
-        where = hadoop.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
     del _written[first:]
     return len(gone)
 
@@ -90,9 +117,9 @@ def staged(df: DataFrame, keep: bool = False) -> DataFrame:
 
     The files outlive lost executors, cut the lineage, and keep column pruning and size statistics for what follows.
     """
-    path = scratch_path(df.sparkSession, "staged")
+    path = scratch_path(df.sparkSession, "staged", keep)
     df.write.parquet(path)
-    if not keep:
+    if not keep and _workspace.get() is None:
         _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.intervals import distance_class, orientation
-from ..session import scratch_path
+from ..session import delete
 
 
 def tally_contacts(contacts: DataFrame, copies: DataFrame, min_mapq: int = 0, inverted: bool = True) -> DataFrame:
@@ -26,28 +26,58 @@ def stream_contacts(spark: SparkSession, path: str, schema: str, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_tally(stream: DataFrame, copies: DataFrame, out: str, min_mapq: int = 0, inverted: bool = True) -> DataFrame:
-    """Process everything that has arrived and return the running totals.
+def _versions(spark: SparkSession, out: str) -> list[str]:
+    """Finished versions below ``out``, oldest first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    paths = [f.getPath() for f in files.listStatus(where) if f.isDirectory()]
+    done = [p.toString() for p in paths if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(done, key=lambda p: int(p.rsplit("=", 1)[1]))
+
+
+def _advance(totals: DataFrame, mode: str, out: str, checkpoint: str, kept: int | None) -> None:
+    """Work off what has arrived. A batch writes its own folder anew, so one that is replayed changes nothing."""
+    spark = totals.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
+        for old in _versions(spark, out)[:-kept] if kept else ():
+            delete(spark, old)
 
-    Totals live in the state store; each batch replaces the result folder, so a replayed batch changes nothing.
-    """
-    spark = copies.sparkSession
-    totals = tally_contacts(stream, copies, min_mapq, inverted)
     query = (
-        totals.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", scratch_path(spark, "tally"))
-        .trigger(availableNow=True)
-        .start()
+        totals.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
 
 
-def changed_tallies(stream: DataFrame, copies: DataFrame, name: str, checkpoint: str, min_mapq: int = 0, inverted: bool = True):
-    """A running query that emits only the totals each batch changed, into the in-memory table ``name``."""
+def run_tally(stream: DataFrame, copies: DataFrame, out: str, checkpoint: str, min_mapq: int = 0, inverted: bool = True) -> DataFrame:
+    """Work off everything that has arrived since the last call and return the totals of all calls.
+
+    The totals live in the state store below ``checkpoint``, a folder of the caller's; another call with the same folders,
+    in this session or a later one, goes on from there. Each batch writes a version below ``out``; the last two stay, so a
+    reader of the one before is not cut off.
+    """
+    spark = copies.sparkSession
+    totals = tally_contacts(stream, copies, min_mapq, inverted)
+    _advance(totals, "complete", out, checkpoint, 2)
+    versions = _versions(spark, out)
+    return spark.read.schema(totals.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], totals.schema)
+
+
+def changed_tallies(stream: DataFrame, copies: DataFrame, out: str, checkpoint: str, min_mapq: int = 0, inverted: bool = True) -> DataFrame:
+    """The log of totals that changed: a row for each total and batch (``version``) in which it did, over all calls."""
+    spark = copies.sparkSession
     totals = tally_contacts(stream, copies, min_mapq, inverted)
-    return (
-        totals.writeStream.outputMode("update").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).start()
-    )
+    _advance(totals, "update", out, checkpoint, None)
+    versions = _versions(spark, out)
+    schema = totals.schema.add("version", "long")
+    return spark.read.schema(schema).option("basePath", out).parquet(*versions) if versions else spark.createDataFrame([], schema)
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The totals that a log of changes comes to."""
+    keys = [c for c in log.columns if c not in ("n", "version")]
+    return log.groupBy(*keys).agg(F.max_by("n", "version").alias("n"))
