@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..operators import hosts
-from ..plans import contacts as plan
+from ..plans import contacts as plan, runs
 from ..session import staged
 from . import sqltext
 from .algebra import INTRONS, merged_sql
@@ -133,6 +135,35 @@ for _stat in PARTS:
         return out.select(*[rnd(c, ROUND[c]).alias(c) if c in ROUND else c for c in out.columns])
 
 
+RUN = re.sub(r"\bcontact\b", "contact_rna", ENDS).replace("mapq >= 10", "mapq >= 10 and mapq_dna >= 10")
+RUN_VIEWS = ["feature", "contact_rna", "chrom_size", "gene", "exon"]
+
+
+def contact_run(spark, sf):
+    needs = [view(spark, sf, n) for n in ("contact_rna", "feature", "gene", "exon", "housekeeping", "chrom_size")]
+    return runs.contact_analysis(*needs, shifts=SHIFTS, min_mapq=10, min_contacts=50, offset=lcg_offset)
+
+
+@register(
+    "contact_analysis",
+    with_views(RUN_VIEWS, RUN + SPANS + BASE + test_sql("distal").replace(
+        "select family, subfamily, orientation, n_contacts,",
+        "select family, subfamily, orientation, (select count(*) from feature f where f.subfamily = y.subfamily) as n_copies, n_contacts,")),
+)
+def contact_analysis(spark, sf):
+    out = contact_run(spark, sf).result
+    return out.select(*[rnd(c, ROUND[c]).alias(c) if c in ROUND else c for c in out.columns])
+
+
+@register("contact_losses", with_views(RUN_VIEWS, RUN + SPANS + """
+    select 'contacts below a quality floor' as what, count(*) as n from contact_rna where mapq < 10 or mapq_dna < 10
+    union all select 'contacts on unknown chromosomes', count(*) from contact_rna where rna_chrom not in (select chrom from chrom_size) and mapq >= 10 and mapq_dna >= 10
+    union all select 'copies on unknown chromosomes', count(*) from feature where chrom not in (select chrom from chrom_size)
+    union all select 'categories with too few contacts', count(*) from tal where shift = -1 and d0 + d1 + d2 < 50"""))
+def contact_losses(spark, sf):
+    return contact_run(spark, sf).losses
+
+
 @register("gene_baseline", with_views(["contact", "gene", "exon"], ENDS + BASE + " select * from basel"))
 def gene_baseline(spark, sf):
     return baseline(spark, sf)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..operators import contrasts, coverage
-from ..plans import signal as plan
+from ..plans import runs, signal as plan
 from ..session import staged
 from . import sqltext
-from .registry import register, rnd
+from .registry import SQL, register, rnd
 
 SAMPLES = ("ip_r1", "ip_r2", "in_r1", "in_r2")
 FT = ["feature", "track", "chrom_size"]
@@ -105,6 +105,13 @@ def signal_enrichment(spark, sf):
     return out.select(*[c if c in whole else rnd(c).alias(c) for c in out.columns])
 
 
+@register("signal_analysis", SQL["signal_enrichment"])
+def signal_analysis(spark, sf):
+    out = runs.signal_analysis(view(spark, sf, "feature"), view(spark, sf, "track"), view(spark, sf, "chrom_size"), min_copies=LEAST).result
+    whole = ("subfamily", "family", "orientation", "n_copies", "n_total")
+    return out.select(*[c if c in whole else rnd(c).alias(c) for c in out.columns])
+
+
 @register("rank_test_u", with_views(FT, RANKED + " select subfamily, orientation, n1 as n_group, nn as n_pool, round(uu, 3) as u, round(p, 6) as p from pv"))
 def rank_test_u(spark, sf):
     out = contrasts.mann_whitney(ratios(spark, sf), ["orientation"], "subfamily", "l2").where(F.col("n_group") >= LEAST)

@@ -68,6 +68,15 @@ VIEWS: dict[str, str] = {
                      else concat('chr', cast(1 + l_partkey % 8 as string)) end as dna_chrom,
                 (l_suppkey*17) % 61 as mapq_dna, l_partkey, l_orderkey, l_discount
               from {lineitem}) x""",
+    "contact_rna": """
+        select g.chrom as rna_chrom,
+          g.start_pos + (l_linenumber % 4) * cast(floor((g.end_pos - g.start_pos)/4) as bigint) + (l_orderkey*13) % 400 as rna_pos,
+          case when g.strand = '+' then '-' else '+' end as rna_strand, (l_partkey*13 + l_orderkey) % 61 as mapq,
+          case when l_quantity <= 25 then g.chrom else concat('chr', cast(1 + l_suppkey % 8 as string)) end as dna_chrom,
+          (l_partkey*15485863 + l_orderkey*49979687) % 20000000 as dna_pos, (l_suppkey*17) % 61 as mapq_dna
+        from {lineitem} join {gene} g on g.gene_id = l_partkey""",
+    "housekeeping": """
+        select gene_id, chrom, start_pos, end_pos, strand from {gene_core} where gene_id in (11, 22, 33, 44)""",
     "track": """
         select case event_type when 'click' then 'ip_r1' when 'view' then 'ip_r2'
                     when 'purchase' then 'in_r1' else 'in_r2' end as sample,
