@@ -12,19 +12,20 @@ named in ``keep``, and one named like an output is replaced by it.
 from __future__ import annotations
 
 import base64
+import hashlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .arrow import map_slices
 
 NONE = 1 << 62
 #: Distinct pieces that a worker remembers, twice: when so many are new, those used since are kept and the others go.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -123,6 +124,34 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
 
+class Checker(dict):
+    """Text pieces with the ids of each as text, joined by commas, and the bytes that those ids decode to."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
+        self.ranks = ranks
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.old: dict[str, tuple[str, bytes]] = {}
+        self.find = regex.compile(pattern).findall
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(piece)
+        if found is None:
+            ids = merge_piece(piece.encode(), self.ranks)
+            found = ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+        if len(piece) < 64:
+            self[piece] = found
+        return found
+
+    def check(self, text: str) -> tuple[str, bytes]:
+        """The text's ids, joined by commas, and what they decode to."""
+        found = list(map(self.__getitem__, self.find(text)))
+        return ",".join([ids for ids, _ in found]), b"".join([decoded for _, decoded in found])
+
+
 _MADE: dict = {}
 
 
@@ -160,6 +189,40 @@ def encode(
     return map_slices(source, run, StructType([StructField(ids, ArrayType(IntegerType()))]), text, kept)
 
 
+def encode_checked(
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str | None = None
+) -> DataFrame:
+    """Columns ``keep``, n_tokens and the digests of every whole text's ids and of the bytes they decode to, in one pass.
+
+    The ids are digested as decimal numbers joined by commas; they are a column of their own if it is named by ``ids``.
+    """
+    data = _file(df.sparkSession, ranks_path)
+    added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    if ids:
+        added.append(StructField(ids, ArrayType(IntegerType())))
+    made = {f.name for f in added}
+
+    def run(part: pa.RecordBatch) -> list:
+        checker = _once(("check", hash(data.value), pattern), lambda: Checker(read_ranks(data.value), pattern))
+        counts, listed, decoded, arrays = [], [], [], []
+        for t in part.column(part.schema.get_field_index(text)).to_pylist():
+            joined, back = checker.check(t or "")
+            counts.append(joined.count(",") + 1 if joined else 0)
+            listed.append(hashlib.sha256(joined.encode()).hexdigest())
+            decoded.append(hashlib.sha256(back).hexdigest())
+            if ids:
+                arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+        out = [counts, listed, decoded]
+        if ids:
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        return out
+
+    kept = [c for c in keep if c not in made]
+    return map_slices(df.select(*dict.fromkeys([*kept, text])), run, StructType(added), text, kept)
+
+
 def decode(
     df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:

@@ -32,14 +32,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, path, keep=("doc_id", "ids")).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.encode_checked(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 # The rules of the URL filter.

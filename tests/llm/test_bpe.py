@@ -56,3 +56,18 @@ def test_table(spark):
         ids = OWN.encode_ordinary(r.text or "")
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_ids_beside_their_digests(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    texts = ["one two three four five two one " * 5, None, "", "Ünï 中文 \n x", "a" * 300]
+    checker = bpe.Checker(TABLE, public_tokenizers.PATTERN)
+    for t in texts:
+        ids = OWN.encode_ordinary(t or "")
+        assert checker.check(t or "") == (",".join(map(str, ids)), (t or "").encode())
+    rows = [(k, t, "x", 5) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, ids int")
+    got = bpe.encode_checked(df, PATH, public_tokenizers.PATTERN, keep=("doc_id", "n_tokens"), ids="ids")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    for r in got.collect():
+        assert list(r["ids"]) == OWN.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r["ids"])
