@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .arrow import map_slices
+from .arrow import map_slices, slices
 
 NONE = 1 << 62
 #: Distinct pieces that a worker remembers, twice: when so many are new, those used since are kept and the others go.
 REMEMBERED = 100_000
+#: Bytes of a piece from which it is merged alone and not remembered, and of text whose pieces are merged together.
+LONG, CHECKED = 64, 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -124,32 +126,142 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
 
-class Checker(dict):
+class Pairs:
+    """Which two tokens make a third, as sorted keys, and the tokens of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        made = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        self.keys = np.array(sorted(made), np.int64)
+        self.made = np.array([made[k] for k in sorted(made)], np.int64)
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of two neighbours' union, NONE where that is no token."""
+        if not len(self.keys):
+            return np.full(left.shape, NONE, np.int64)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], NONE)
+
+
+def merge_pieces(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
+    """The ids of many pieces of like length, by one segment tree a piece, all in step.
+
+    Row by row as in ``merge_piece``: leaf i holds the rank of the pair at byte i, joined with i, and a merge updates the
+    paths of the merged pair, of the one that is gone and of the one before.
+    """
+    count, width = len(pieces), 2
+    while width < max(map(len, pieces)):
+        width *= 2
+    sizes = np.array([len(p) for p in pieces])
+    text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(count, width)
+    at = np.arange(width)
+    alive = at < sizes[:, None]
+    part = np.where(alive, pairs.bytes[text], -1)
+
+    def leaf(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(rank < NONE, rank * width + place, NONE)
+
+    tree = np.full((count, 2 * width), NONE, np.int64)
+    tree[:, width:2 * width - 1] = leaf(pairs.ranks(part[:, :-1], part[:, 1:]), at[:-1])
+    level = width
+    while level > 1:
+        tree[:, level // 2:level] = np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2])
+        level //= 2
+    after = np.tile(np.arange(1, width + 2), (count, 1)).reshape(-1)
+    before = np.tile(np.arange(-1, width + 1), (count, 1)).reshape(-1)
+    flat, parts = tree.reshape(-1), part.reshape(-1)
+
+    def update(rows: np.ndarray, place: np.ndarray, value) -> None:
+        base, p = rows * (2 * width), place + width
+        flat[base + p] = value
+        while True:
+            p = p >> 1
+            if not p[0]:
+                break
+            child = base + 2 * p
+            flat[base + p] = np.minimum(flat[child], flat[child + 1])
+
+    rows = np.flatnonzero(tree[:, 1] < NONE)
+    while len(rows):
+        top = flat[rows * (2 * width) + 1]
+        i = top % width
+        link = rows * (width + 1)
+        gone = after[link + i]
+        end = after[link + gone]
+        after[link + i] = end
+        alive[rows, gone] = False
+        own = rows * width
+        token = top // width
+        parts[own + i] = token
+        before[rows * (width + 2) + end] = i
+        inside = end < sizes[rows]
+        rank = pairs.ranks(token, np.where(inside, parts[own + np.minimum(end, width - 1)], -1))
+        update(rows, gone, NONE)
+        update(rows, i, leaf(rank, i))
+        j = before[rows * (width + 2) + i]
+        some = j >= 0
+        if some.any():
+            r, j = rows[some], j[some]
+            update(r, j, leaf(pairs.ranks(parts[r * width + j], token[some]), j))
+        rows = rows[flat[rows * (2 * width) + 1] < NONE]
+    ids, cut = part[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+    return [ids[x:y] for x, y in zip([0, *cut], cut)]
+
+
+class Checker:
     """Text pieces with the ids of each as text, joined by commas, and the bytes that those ids decode to."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
-        self.ranks = ranks
+        self.ranks, self.pairs = ranks, Pairs(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
+        self.new: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
         self.find = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(piece)
-        if found is None:
-            ids = merge_piece(piece.encode(), self.ranks)
-            found = ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
-        if len(piece) < 64:
-            self[piece] = found
-        return found
-
-    def check(self, text: str) -> tuple[str, bytes]:
-        """The text's ids, joined by commas, and what they decode to."""
-        found = list(map(self.__getitem__, self.find(text)))
-        return ",".join([ids for ids, _ in found]), b"".join([decoded for _, decoded in found])
+    def _merged(self, pieces: list[str]) -> None:
+        """Fill in the pieces that are not known, those of like length at once."""
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.new[piece] = str(whole), self.tokens[whole]
+            elif len(raw) > LONG:
+                self._keep(piece, merge_piece(raw, self.ranks))
+            else:
+                by_width.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
+        for some in by_width.values():
+            for start in range(0, len(some), 8192):
+                part = some[start:start + 8192]
+                for (piece, _), ids in zip(part, merge_pieces([raw for _, raw in part], self.pairs)):
+                    self._keep(piece, ids)
+
+    def _keep(self, piece: str, ids: list[int]) -> None:
+        self.new[piece] = ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+
+    def check(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Each text's ids, joined by commas, and what they decode to."""
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        found = list(map(self.find, texts))
+        met = set().union(*found).difference(self.new)
+        known = met.intersection(self.old)
+        self.new.update({p: self.old[p] for p in known})
+        self._merged(list(met.difference(known)))
+        out = []
+        for pieces in found:
+            both = list(map(self.new.__getitem__, pieces))
+            out.append((",".join([ids for ids, _ in both]), b"".join([decoded for _, decoded in both])))
+        for piece in met:
+            if len(piece) > LONG:
+                del self.new[piece]
+        return out
 
 
 _MADE: dict = {}
@@ -205,13 +317,13 @@ def encode_checked(
     def run(part: pa.RecordBatch) -> list:
         checker = _once(("check", hash(data.value), pattern), lambda: Checker(read_ranks(data.value), pattern))
         counts, listed, decoded, arrays = [], [], [], []
-        for t in part.column(part.schema.get_field_index(text)).to_pylist():
-            joined, back = checker.check(t or "")
-            counts.append(joined.count(",") + 1 if joined else 0)
-            listed.append(hashlib.sha256(joined.encode()).hexdigest())
-            decoded.append(hashlib.sha256(back).hexdigest())
-            if ids:
-                arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+        for own in slices([part], text, CHECKED):
+            for joined, back in checker.check([t or "" for t in own.column(own.schema.get_field_index(text)).to_pylist()]):
+                counts.append(joined.count(",") + 1 if joined else 0)
+                listed.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
+                if ids:
+                    arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
         out = [counts, listed, decoded]
         if ids:
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

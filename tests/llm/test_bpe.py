@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -62,12 +63,31 @@ def test_ids_beside_their_digests(spark, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     texts = ["one two three four five two one " * 5, None, "", "Ünï 中文 \n x", "a" * 300]
     checker = bpe.Checker(TABLE, public_tokenizers.PATTERN)
-    for t in texts:
-        ids = OWN.encode_ordinary(t or "")
-        assert checker.check(t or "") == (",".join(map(str, ids)), (t or "").encode())
+    for some in (texts, texts[:1], texts[3:], [], texts):
+        want = [OWN.encode_ordinary(t or "") for t in some]
+        assert checker.check([t or "" for t in some]) == [(",".join(map(str, ids)), (t or "").encode()) for ids, t in zip(want, some)]
     rows = [(k, t, "x", 5) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, ids int")
     got = bpe.encode_checked(df, PATH, public_tokenizers.PATTERN, keep=("doc_id", "n_tokens"), ids="ids")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     for r in got.collect():
         assert list(r["ids"]) == OWN.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r["ids"])
+
+
+CHECKER = bpe.Checker(TABLE, public_tokenizers.PATTERN)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=80), max_size=6))
+def test_many_texts_at_once(texts):
+    want = [OWN.encode_ordinary(t) for t in texts]
+    assert CHECKER.check(texts) == [(",".join(map(str, ids)), t.encode()) for ids, t in zip(want, texts)]
+
+
+def test_pieces_in_step_are_pieces_alone():
+    rnd = random.Random(1)
+    for width in (2, 3, 7, 8, 9, 31, 64):
+        some = [bytes(rnd.choice(b"aeinrst \xc3\xa9") for _ in range(rnd.randint(max(2, width // 2 + 1), width))) for _ in range(300)]
+        some = [p for p in some if p not in TABLE]
+        if some:
+            assert bpe.merge_pieces(some, CHECKER.pairs) == [bpe.merge_piece(p, TABLE) for p in some]
