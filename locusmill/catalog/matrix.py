@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
+from ..operators import selfcheck
 from ..plans import matrix as plan
 from ..session import staged
 from . import sqltext
@@ -150,6 +151,15 @@ def pooled_expected(spark, sf):
     return out.select("chrom", "dist", "n_pairs", rnd("expected").alias("expected"))
 
 
+@register("calibration_check", with_views(VIEWS, SCRAMBLED + TEST.replace("select family, subfamily, n_pairs, round(obs_oe", ", res as (select family, subfamily, n_pairs, round(obs_oe")
+    + """), ecdf as (select p_emp, count(*) over (order by p_emp) as upto, count(*) over () as n from res)
+    select max(n) as n, (select count(*) from res where q_emp < 0.05) as n_below_cut, round(greatest(max(upto / n - p_emp), 0.0), 6) as excess,
+      (select count(*) from res where q_emp < 0.05) = 0 and greatest(max(upto / n - p_emp), 0.0) * sqrt(max(n)) <= 1.63 as calibrated from ecdf"""))
+def calibration_check(spark, sf):
+    out = selfcheck.calibration_check(promoter(spark, sf, scramble=2), "p_emp", "q_emp")
+    return out.withColumn("excess", rnd("excess"))
+
+
 @register("contact_floor", with_views(VIEWS, RELOCATED + TEST.rsplit("select family, subfamily, n_pairs", 1)[0] + f""" select count(*) as n_groups,
     count(*) filter (p_emp <= 1.5 / ({SHIFTS} + 1)) as n_at_floor, 1.0::double / ({SHIFTS} + 1) as p_floor from t1"""))
 def contact_floor(spark, sf):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from locusmill.operators import intervals as iv
+from locusmill.operators import intervals as iv, selfcheck
 from locusmill.operators.sweep import counts_in_spans
 
 SPAN = "chrom string, start_pos long, end_pos long"
@@ -125,3 +125,26 @@ def test_sweep_equals_brute_force_and_ignores_splitting(spark):
     for hot in (None, 4, 1_000_000):
         got = counts_in_spans(points, df, ["k"], ["n"], hot_rows=hot)
         assert {x["k"]: x["n"] for x in got.collect()} == want
+
+
+def test_self_check_sees_a_lost_pair(spark, monkeypatch):
+    rnd = random.Random(6)
+    make = lambda n, w: [(k, rnd.choice("ab"), s := rnd.randrange(5000), s + rnd.randint(1, w)) for k in range(n)]
+    schema = "fid long, chrom string, start_pos long, end_pos long"
+    left, right = spark.createDataFrame(make(200, 900), schema), spark.createDataFrame(make(300, 300), schema)
+    row = selfcheck.overlap_self_check(left, right, ["fid"], ["fid"], anchors=50).first()
+    assert row.agree and row.n_anchors == 50 and row.n_tiled == row.n_plain > 0
+    monkeypatch.setattr(selfcheck, "overlap_join", lambda a, b: iv.overlap_join(a, b).where("r_fid <> 7 and fid % 5 <> 0"))
+    row = selfcheck.overlap_self_check(left, right, ["fid"], ["fid"], anchors=50).first()
+    assert not row.agree and row.n_tiled < row.n_plain
+
+
+def test_calibration(spark):
+    frame = lambda ps: spark.createDataFrame([(p, 0.5) for p in ps], "p double, q double")
+    good = selfcheck.calibration_check(frame([(k + 1) / 200 for k in range(200)] + [float("nan"), None]), "p", "q").first()
+    assert good.calibrated and good.n == 200 and good.excess < 1e-9
+    bad = selfcheck.calibration_check(frame([(k + 1) / 800 for k in range(200)]), "p", "q").first()
+    assert not bad.calibrated and bad.excess > 0.7
+    low = spark.createDataFrame([(0.5, 0.01), (1.0, 1.0)], "p double, q double")
+    assert not selfcheck.calibration_check(low, "p", "q").first().calibrated
+    assert selfcheck.calibration_check(low.where("false"), "p", "q").first().n == 0
