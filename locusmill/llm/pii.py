@@ -1,17 +1,24 @@
 """Personal data: fixed kinds, and identifiers found by bootstrapped contexts. DataFrame functions only.
 
-Base spans are the matches of four patterns. Seeds are their values; the words around a value are its lexical patterns.
-Values and patterns form a graph that is scored in rounds: a pattern's confidence in a kind is the mean score of its
-distinct values, a value's score the confidence of its best pattern, seeds staying at 1. Identifier-like tokens whose
-score reaches ``least`` through patterns of ``support`` values at least become spans of kind ``context``.
+Base spans are the matches of four patterns. Seed entities are their values, and of the other identifier-like tokens
+those in the form of a key: hexadecimal digits in a digest's length (``KEY``). The words on both sides of a value are its
+lexical patterns: up to three words before, the word after, and both sides jointly; what has no letter is none. Values and patterns form a graph
+that is scored in rounds. A pattern's confidence in a kind, as a value sees it, is the mean score of the pattern's *other*
+distinct values, of which ``support`` must have a score: no value vouches for itself. A value's score is the confidence
+of its best pattern where that reaches ``least``; seeds stay at 1. Tokens whose best pattern reaches ``least`` after the
+last round become spans of kind ``context``, wherever they stand. A key is no exception: it is reported for its contexts
+and not for its form.
 
 A match's place follows from the stretches between matches, which ``split`` gives. Runs of one character class are
 possessive and start where the run does, so no text makes the patterns slow; an ``\\G`` admits a run that the match
-before cut. Offsets are code points, the end exclusive.
-
-Cases: a null text is empty and has no spans; texts are read whole; repeated rows are rows; a null id is an id; where
-spans of different kinds overlap all are reported, and masking covers their union; an empty table gives no rows; input
-columns pass only if named in ``keep``, and one named like an output is replaced.
+before cut. Offsets are code points, the end exclusive. Places are summed in blocks, and overlaps of tokens with base spans
+found by running ends, so that many matches in one text cost little more than in many texts.
+
+Cases: a null text is empty and has no spans; texts are read whole; an identifier has 6 characters or more, a digit among
+them, and no longest length; contexts are text, other matches included, and end REACH characters away: of a longer word
+the nearer end counts; repeated rows are rows, but a value is one vote for a pattern however often they meet; a null id
+is an id; where spans of different kinds overlap all are reported, and masking covers their union; an empty table gives
+no rows; input columns pass only if named in ``keep``, and one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -34,9 +41,14 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to match at all.
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Tokens that may be identifiers: 6 to 64 characters with a digit.
+#: Tokens that may be identifiers: 6 characters or more with a digit.
 _TOKEN = "[A-Za-z0-9@._%+/#-]"
-CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z@._%+/#-]*+[0-9]){_TOKEN}{{6,64}}+(?!{_TOKEN})"
+CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z@._%+/#-]*+[0-9]){_TOKEN}{{6,}}+(?!{_TOKEN})"
+
+#: Lengths of digests in hexadecimal digits; a letter and a digit must be among them.
+KEY = r"^(?=[0-9]*[a-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+#: Characters of context on a side, and sums in a block.
+REACH, BLOCK = 80, 256
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -49,28 +61,48 @@ def _found(text: str, pattern: str, needs: str = "") -> tuple[Column, Column]:
     return hits, F.split(text, pattern, -1)
 
 
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once however often it is read."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column], first: int = 0) -> Column:
+    """Folds of an array's beginnings, each with its last element.
+
+    A fold copies what it holds at every step, so it runs over BLOCK elements and then over the blocks' ends.
+    """
+    grown = lambda s, v: F.concat(s, F.array(merge(F.get(s, F.size(s) - 1), v)))
+    start = F.array(F.lit(first))
+
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.get(b, F.size(b) - 1))
+        before = F.slice(F.aggregate(ends, start, grown), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b, lambda v: merge(at, v))))
+
+    def blocked(array: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")))
+        return F.transform(at, lambda k: F.slice(F.aggregate(F.slice(array, k * BLOCK + 1, BLOCK), start, grown), 2, BLOCK))
+
+    return _let(values, lambda array: _let(blocked(array), joined))
+
+
 def _placed(hits: str, gaps: str) -> Column:
-    """value, start, end, before and after of every match; before and after are up to 40 characters around."""
-    each = F.transform(
-        hits, lambda h, i: F.struct(h.alias("value"), F.length(F.get(gaps, i)).alias("gap"), F.length(h).alias("size"))
-    )
-    nothing = F.array().cast("array<int>")
-    starts = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), nothing.alias("starts")),
-        lambda s, e: F.struct(
-            (s["at"] + e["gap"] + e["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + e["gap"])).alias("starts")
-        ),
-        lambda s: s["starts"],
-    )
+    """value, start, end, before and after of every match; before and after are the REACH characters around it."""
+    part = lambda array, i: F.coalesce(F.get(array, i), F.lit(""))
+    ends = _running(F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h)), lambda a, b: a + b)
+
+    def around(h: Column, i: Column) -> Column:
+        # Matches and stretches nearest to the value; a stretch is cut before it is joined.
+        before = F.concat(F.right(part(gaps, i - 1), F.lit(REACH)), part(hits, i - 1), part(gaps, i))
+        after = F.concat(part(gaps, i + 1), part(hits, i + 1), F.substring(part(gaps, i + 2), 1, REACH))
+        return F.struct(
+            h.alias("value"), F.right(before, F.lit(REACH)).alias("before"), F.substring(after, 1, REACH).alias("after")
+        )
+
     return F.zip_with(
-        F.transform(hits, lambda h, i: F.struct(
-            h.alias("value"), F.right(F.get(gaps, i), F.lit(40)).alias("before"),
-            F.substring(F.get(gaps, i + 1), 1, 40).alias("after"),
-        )),
-        starts,
-        lambda m, at: F.struct(
-            m["value"].alias("value"), at.alias("start"), (at + F.length(m["value"])).alias("end"),
+        F.transform(hits, around), ends,
+        lambda m, end: F.struct(
+            m["value"].alias("value"), (end - F.length(m["value"])).alias("start"), end.alias("end"),
             m["before"].alias("before"), m["after"].alias("after"),
         ),
     )
@@ -123,53 +155,70 @@ def extract(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     placed = {k: _placed(f"_{k}_hits", f"_{k}_gaps") for k in matched}
     named = {f"_{k}": _named(k, F.filter(placed[k], _test(k))) for k in KINDS}
     out = out.withColumns(named | {"_other": _named("context", placed["other"])})
-    base = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    free = F.filter("_other", lambda c: ~F.exists("seeds", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    out = out.withColumn("seeds", base)
-    return staged(out.select(*keep, "rid", "seeds", F.when(F.size("_other") > 0, free).otherwise(F.col("_other")).alias("candidates")))
+    out = out.withColumn("seeds", F.concat(*(F.col(f"_{k}") for k in KINDS)))
+    mark = lambda other: lambda m: F.struct(m["start"].alias("start"), F.lit(other).alias("other"), m["end"].alias("end"))
+    out = out.withColumn("_marks", F.array_sort(F.concat(F.transform("seeds", mark(1)), F.transform("_other", mark(2)))))
+    some = (F.size("seeds") > 0) & (F.size("_other") > 0)
+    free = F.transform(F.filter(_apart("_marks"), lambda m: m["other"] == 2), lambda m: m["free"])
+    free = F.filter(F.zip_with("_other", free, lambda c, f: F.struct(c.alias("c"), f.alias("f"))), lambda p: p["f"])
+    free = F.transform(free, lambda p: p["c"])
+    return staged(out.select(*keep, "rid", "seeds", F.when(some, free).otherwise(F.col("_other")).alias("candidates")))
+
+
+def _apart(marks: str) -> Column:
+    """other and free of ``marks`` (start, other, end) in order: whether no base span, other = 1, overlaps a mark."""
+    far = 2**31 - 1
+    ends = _running(F.transform(marks, lambda m: F.when(m["other"] == 1, m["end"]).otherwise(-1)), F.greatest, -1)
+    starts = F.transform(marks, lambda m: F.when(m["other"] == 1, m["start"]).otherwise(far))
+    starts = F.reverse(_running(F.reverse(starts), F.least, far))
+    held = F.zip_with(marks, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e")))
+    return F.zip_with(
+        held, starts,
+        lambda h, at: F.struct(
+            h["m"]["other"].alias("other"), ((h["e"] <= h["m"]["start"]) & (at >= h["m"]["end"])).alias("free")
+        ),
+    )
 
 
 def _contexts(rows: DataFrame, spans: str) -> DataFrame:
-    """rid, span and the lexical patterns of every span: the word before, two words before, and the word after."""
-    one = rows.select("rid", F.explode(spans).alias("m"))
-    before = F.regexp_extract(F.lower(F.trim(F.col("m.before"))), r"(\S+)\z", 1)
-    two = F.regexp_extract(F.lower(F.trim(F.col("m.before"))), r"(\S+\s+\S+)\z", 1)
-    after = F.regexp_extract(F.lower(F.trim(F.col("m.after"))), r"\A(\S+)", 1)
-    made = lambda tag, c: F.when(c != "", F.concat(F.lit(tag), c))
-    patterns = F.array_compact(F.array(made("before ", before), made("two ", two), made("after ", after)))
-    return one.select(
-        "rid", F.col("m.kind").alias("kind"), F.lower("m.value").alias("value"),
-        F.struct(F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).alias("span"),
-        F.explode(patterns).alias("pattern"),
+    """kind, value and pattern of every span, a row for each of its lexical patterns, without repetitions."""
+    one = rows.select(F.explode(spans).alias("m")).select(
+        F.col("m.kind").alias("kind"), F.lower("m.value").alias("value"),
+        F.filter(F.split(F.lower("m.before"), r"\s+"), lambda w: w != "").alias("before"),
+        F.get(F.filter(F.split(F.lower("m.after"), r"\s+"), lambda w: w != ""), F.lit(0)).alias("after"),
     )
+    last = lambda n: F.when(F.size("before") >= n, F.array_join(F.slice("before", -n, n), " "))
+    made = {f"{n} ": last(n) for n in (1, 2, 3)} | {"after ": F.col("after")}
+    made |= {f"both {n} ": F.concat(last(n), F.lit(" \t"), F.col("after")) for n in (1, 2)}
+    made = [F.when(words.rlike(r"\p{L}"), F.concat(F.lit(name), words)) for name, words in made.items()]
+    return one.select("kind", "value", F.explode(F.array_compact(F.array(*made))).alias("pattern")).distinct()
 
 
 def bootstrap(rows: DataFrame, rounds: int = 3, support: int = 5, least: float = 0.8) -> DataFrame:
-    """value and score of candidate values that reach ``least``. rows: what ``extract`` returns.
+    """value and score of the candidate values whose best pattern reaches ``least``. rows: what ``extract`` returns.
 
-    Repeated occurrences of a value with a pattern are one edge, so that copies of a document do not vote again.
+    A pattern of any number of values is summed up before it meets them: what the values are joined with is one row for
+    each pattern and kind.
     """
-    seeds = _contexts(rows, "seeds").select("pattern", "value", "kind").distinct()
-    others = _contexts(rows, "candidates").select("pattern", "value").distinct()
-    edges = staged(seeds.withColumn("seed", F.lit(1)).unionByName(
-        others.select("pattern", "value", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("seed"))
-    ))
+    others = _contexts(rows, "candidates").withColumn("kind", F.when(F.col("value").rlike(KEY), "key"))
+    edges = _contexts(rows, "seeds").withColumn("open", F.lit(False)).unionByName(others.withColumn("open", F.lit(True)))
+    edges = staged(edges)
+    total = staged(edges.groupBy("pattern").agg(F.count_distinct("value").alias("values")))
+    fixed = edges.where("kind is not null").select("pattern", "value", "kind").distinct().withColumn("own", F.lit(1.0))
+    asked = edges.where("open").select("pattern", "value")
     score = None
     for _ in range(rounds):
-        known = edges.where("seed = 1").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
+        known = fixed
         if score is not None:
-            open_edges = edges.where("seed = 0").select("pattern", "value").join(score, "value")
-            known = known.unionByName(open_edges.select("pattern", "value", "kind", "score"))
-        total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-        by_kind = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("n"))
-        trusted = (
-            by_kind.where(F.col("n") >= support).join(total, "pattern")
-            .select("pattern", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("values")).alias("confidence"))
-            .where(F.col("confidence") >= least)
-        )
-        score = staged(
-            edges.where("seed = 0").select("pattern", "value").join(trusted, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        )
+            free = edges.where("open and kind is null").select("pattern", "value")
+            known = fixed.unionByName(free.join(score.withColumnRenamed("score", "own"), "value").select(*fixed.columns))
+        mass = known.groupBy("pattern", "kind").agg(F.sum("own").alias("mass"), F.count("*").alias("n"))
+        mass = mass.where(F.col("n") >= support).join(total, "pattern")
+        seen = asked.join(mass, "pattern").join(known, ["pattern", "value", "kind"], "left")
+        rest = F.col("mass") - F.coalesce("own", F.lit(0.0))
+        seen = seen.where(F.col("n") - F.col("own").isNotNull().cast("int") >= support)
+        seen = seen.select("value", "kind", (rest / (F.col("values") - 1)).alias("score"))
+        score = staged(seen.groupBy("value", "kind").agg(F.max("score").alias("score")).where(F.col("score") >= least))
     return score.groupBy("value").agg(F.max("score").alias("score"))
 
 

@@ -166,6 +166,7 @@ def span_columns(found: DataFrame) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
     counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for k, n in zip(pii.KINDS, counts)]
+    counts.append((F.size("spans") - F.size("base")).cast("long").alias("n_context"))
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
