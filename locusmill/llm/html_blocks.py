@@ -4,12 +4,13 @@ A page is a sequence of leaf blocks: text between the borders of block-level tag
 path (names, classes, ids and roles of the open elements), hashed words and a few measures. A bidirectional LSTM in numpy
 reads the whole sequence and labels every block with both directions' states; blocks labelled main are joined.
 
-The labeller is trained here, on about ``sample_pages`` pages chosen by a hash. Their labels come from the page's own
+The labeller is trained here, on the ``sample_pages`` different pages of the smallest hashes. Their labels come from the page's own
 elements (an article without its asides), and each page is read several times with other tags, hidden classes and
 inserted blocks (comments, forms, notices, adverts, sidebars), so that it learns context and not one template.
 
-Cases: null or empty html has no text; pages are read whole, however long; broken markup is read as far as it goes: an
-open comment, script or style swallows the rest; repeated rows are rows; an empty table gives no rows; columns not in
+Cases: null or empty html has no text; pages are read whole, however long; the content of scripts, styles, templates,
+titles, frames and form controls is no text, all other content is, formulas and what stands in for objects included; a
+head needs no end; broken markup is read as far as it goes: an open comment, script or style swallows the rest; repeated rows are rows; an empty table gives no rows; columns not in
 ``keep`` are left out.
 """
 
@@ -30,9 +31,10 @@ from .arrow import map_slices
 # Elements whose tags do not end a block, elements whose content is no text, and elements without content.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object canvas svg g text tspan math mrow mi mn mo ms mtext mfrac msqrt mroot "
+    "mstyle msub msup msubsup munder mover munderover semantics annotation".split()
 )
-SKIPPED = frozenset("script style noscript template title textarea select button svg math iframe object canvas head".split())
+SKIPPED = frozenset("script style template title textarea select button iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names that say what a part of a page is, as the trainer reads them.
 MAIN = frozenset("article main content post story entry".split())
@@ -106,8 +108,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in SKIPPED:
-            close = re.compile(rf"</{tag}\b[^>]*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
-            at = n if close is None else close.start() if close[0][1] != "/" else close.end()
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = n if close is None else close.end()
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -116,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         names = [tag]
         for found in _NAMED.findall(m[3]):
             names += _NAMES.findall("".join(found).lower())
-        if tag not in ("html", "body"):
+        if tag not in ("html", "head", "body"):
             stack.append((tag, tuple(names)))
     end_block()
     return out
@@ -342,11 +344,16 @@ def varied(blocks: list[Block], labels: list[int], others: list[Block], rnd: np.
     return [b for b, _ in out], [y for _, y in out]
 
 
+def sampled(pages: DataFrame, html: str, most: int) -> list[str]:
+    """The ``most`` different pages of the smallest hashes, or all if there are fewer; copies count once."""
+    hashed = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.xxhash64(html).alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(most).collect()]
+    return sorted(r["html"] for r in hashed.where(F.col("h").isin(least)).select("html").distinct().collect())
+
+
 def fit(pages: DataFrame, html: str = "html", sample_pages: int = 300, copies: int = 4) -> Labeller:
-    """Train on about ``sample_pages`` pages, each as it is and in ``copies`` variants."""
-    part = min(1.0, sample_pages / max(1, pages.count()))
-    chosen = pages.select(F.col(html).alias("html")).where(F.pmod(F.xxhash64(html), F.lit(1_000_000)) < int(part * 1_000_000))
-    sample = sorted(r["html"] for r in chosen.where("html is not null").collect())
+    """Train on ``sample_pages`` different pages, each as it is and in ``copies`` variants."""
+    sample = sampled(pages, html, sample_pages)
     rnd = np.random.default_rng(11)
     parsed = [b for b in map(blocks_of, sample) if b]
     others = [b for page in parsed for b in page]

@@ -39,6 +39,20 @@ def test_blocks():
     assert [b.linked for b in hb.blocks_of("<p>ab <a href=x>cd</a> e</p>")] == [2]
 
 
+def test_only_named_content_goes():
+    page = "<head><title>t</title><article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript>shown text</noscript>"
+    page += "<svg><title>no</title><text>label</text></svg> <object>instead</object><template><p>no</p></template><p>end"
+    assert texts(page) == ["Let x=1 be", "shown text", "label instead", "end"]
+    assert texts("<head><meta charset=x><p>all of it") == ["all of it"]
+
+
+def test_sample(spark):
+    copies = [("<p>same",)] * 500 + [(f"<p>{i}",) for i in range(40)] + [(None,)]
+    df = spark.createDataFrame(copies, "html string")
+    assert len(hb.sampled(df, "html", 30)) == 30 and len(hb.sampled(df, "html", 300)) == 41
+    assert hb.sampled(df.limit(500), "html", 30) == ["<p>same"] and hb.sampled(df.where("false"), "html", 3) == []
+
+
 def test_long_page():
     page = "<article>" + "<p>word and more.</p>" * 30_000 + "<p>" + "y " * 300_000
     blocks = hb.blocks_of(page)
