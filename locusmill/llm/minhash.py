@@ -8,8 +8,8 @@ similarity of 0.75 lies within the radius but in about 1 of 10,000 cases, and sh
 Sets, not documents, are filed, so equal texts are one entry. Pairs in a bucket are never all formed: members are held
 against the bucket's leader, the member that meets most others; what was linked is one component; and only pairs from
 different components are compared after that, found among the nodes of buckets with several components by their rare shingles,
-which loses no pair that is alike enough. Every link is confirmed
-on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of its own.
+which loses no pair that is alike enough; a parity map of each set refutes most of those that are not. Every link is
+confirmed on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of its own.
 
 Cases: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle is one
 shingle; texts are read whole; rows with equal text are linked at no cost; a null id takes part, is never a component's
@@ -36,6 +36,9 @@ WIDTH = SYMBOLS // CHUNKS
 #: Wrong symbols within which pigeonhole leaves some chunk with ERRORS at most.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 
+#: Longs of a set's parity map.
+MARKS = 4
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -201,10 +204,14 @@ def distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) within the radius whose full sets are as alike as asked."""
+def _within(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures lie within the radius."""
     sig = lambda side: nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"))
-    near = pairs.join(sig("a"), "a").join(sig("b"), "b").where(distance("sig_a", "sig_b") <= RADIUS).select("a", "b")
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").where(distance("sig_a", "sig_b") <= RADIUS).select("a", "b")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as alike as asked."""
     own = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}"))
     both = near.join(own("a"), "a").join(own("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -219,8 +226,18 @@ def _towards_leaders(buckets: DataFrame, order: Column) -> DataFrame:
     return met.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.b").alias("b"))
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """MARKS longs with a bit for each of 64 * MARKS classes of hashes: whether an odd number of the set's are in it.
+
+    A class in which two maps differ holds a hash that one of the sets has alone, so the sets differ in as many hashes at
+    least as their maps do in bits.
+    """
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(64 * MARKS), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFrame:
-    """token, node, comp, pos and size: of each set the shingles of which two sets that are alike enough share one at least.
+    """token, node, comp, pos, size and marks (m0, m1 ...): of each set the shingles of which two sets that are alike enough share one at least.
 
     In any one order of all shingles, sets that share ``percent`` of a hundred share one of the first n - ceil(percent n /
     100) + 1 of each. The order here puts those first that are rare in a sample; the table of frequent ones is bounded, as
@@ -236,7 +253,7 @@ def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFra
         for batch in batches:
             for part in slices([batch], "shingles", 1 << 24):
                 node, comp, found = (part.column(part.schema.get_field_index(c)) for c in ("node", "comp", "shingles"))
-                out, repeats, sizes = [], [], []
+                out, repeats, sizes, marks = [], [], [], []
                 for x in found:
                     own = x.values.to_numpy(zero_copy_only=False)
                     n = len(own) - -(-percent * len(own) // 100) + 1
@@ -248,14 +265,18 @@ def _rare_first(sets: DataFrame, percent: int, listed: int = 200_000) -> DataFra
                     out.append(own[:n])
                     repeats.append(n)
                     sizes.append(len(own))
+                    marks.append(parity_map(own))
+                maps = np.array(marks).reshape(-1, MARKS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out)), pa.array(np.repeat(node.to_numpy(zero_copy_only=False), repeats)),
                      pa.array(np.repeat(comp.to_numpy(zero_copy_only=False), repeats)),
-                     pa.array(np.concatenate([np.arange(n) for n in repeats])), pa.array(np.repeat(sizes, repeats))],
-                    names=["token", "node", "comp", "pos", "size"],
+                     pa.array(np.concatenate([np.arange(n) for n in repeats])), pa.array(np.repeat(sizes, repeats)),
+                     *(pa.array(np.repeat(maps[:, m], repeats)) for m in range(MARKS))],
+                    names=["token", "node", "comp", "pos", "size", *(f"m{m}" for m in range(MARKS))],
                 )
 
-    return sets.select("node", "comp", "shingles").mapInArrow(run, "token long, node long, comp long, pos long, size long")
+    schema = "token long, node long, comp long, pos long, size long, " + ", ".join(f"m{m} long" for m in range(MARKS))
+    return sets.select("node", "comp", "shingles").mapInArrow(run, schema)
 
 
 def _several(rows: DataFrame, by: str) -> DataFrame:
@@ -269,13 +290,20 @@ def _across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     """Pairs from different components that may be alike: all that share a bucket are among the nodes of buckets with
     several components, and all that are alike share a rare shingle. The first one they share leaves enough behind it in
     both sets for what they must have in common, so other meetings are left out, and so are pairs inside the largest
-    component of those that have the shingle."""
+    component of those that have the shingle. Sets whose parity maps differ in more bits than they may in shingles are no
+    pair."""
     nodes = _several(staged(_with_component(buckets, comps)), "key").select("node", "comp").distinct()
     rows = _several(staged(_rare_first(sets.join(nodes, "node"), percent)), "token")
-    minor = rows.where("comp != main").selectExpr("token", "node as x", "comp as x_comp", "pos as x_pos", "size as x_size")
+    marks = [f"m{m}" for m in range(MARKS)]
+    minor = rows.where("comp != main").selectExpr(
+        "token", "node as x", "comp as x_comp", "pos as x_pos", "size as x_size", *(f"{m} as x_{m}" for m in marks)
+    )
+    both = F.col("size") + F.col("x_size")
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"x_{m}"))) for m in marks), F.lit(0))
+    few = (100 + percent) * apart <= (100 - percent) * both
     behind = F.least(F.col("size") - F.col("pos"), F.col("x_size") - F.col("x_pos"))
-    enough = (100 + percent) * behind >= percent * (F.col("size") + F.col("x_size"))
-    met = minor.join(rows, "token").where(F.expr("comp != x_comp and (comp = main or x < node)") & enough)
+    enough = (100 + percent) * behind >= percent * both
+    met = minor.join(rows, "token").where(F.expr("comp != x_comp and (comp = main or x < node)") & enough & few)
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
@@ -291,7 +319,7 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
     met = staged(nodes.join(scores, "node"))
     sets = staged(_sets(docs, met, text, doc_id, size))
     scored = staged(buckets.join(met.select("node", "score"), "node"))
-    found = staged(_confirmed(_towards_leaders(scored, F.col("score")), met, sets, percent))
+    found = staged(_confirmed(_within(_towards_leaders(scored, F.col("score")), met), sets, percent))
     comps = components(found)
     for seed in (1, 2):
         held = _with_component(scored, comps)
@@ -300,9 +328,9 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
         pairs = _towards_leaders(open_rows, F.xxhash64("node", F.lit(seed)))
         apart = _with_component(pairs.withColumnRenamed("a", "node"), comps).select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"))
         apart = _with_component(apart.withColumnRenamed("b", "node"), comps).where("comp != ca").select("a", F.col("node").alias("b"))
-        found = staged(found.unionByName(_confirmed(apart, met, sets, percent)))
+        found = staged(found.unionByName(_confirmed(_within(apart, met), sets, percent)))
         comps = components(found)
-    return staged(found.unionByName(_confirmed(_across(buckets, comps, sets, percent), met, sets, percent)))
+    return staged(found.unionByName(_confirmed(_within(_across(buckets, comps, sets, percent), met), sets, percent)))
 
 
 def near_duplicates(
