@@ -37,7 +37,7 @@ WIDTH = SYMBOLS // CHUNKS
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 
 #: Longs of a set's parity map.
-MARKS = 4
+MARKS = 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = np.zeros(256, bool)
