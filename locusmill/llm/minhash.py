@@ -8,8 +8,8 @@ similarity of 0.75 lies within the radius but in about 1 of 10,000 cases, and sh
 Sets, not documents, are filed, so equal texts are one entry. Pairs in a bucket are never all formed: members are held
 against the bucket's leader, the member that meets most others; what was linked is one component; and only pairs from
 different components are compared after that, found among the nodes of buckets with several components by their rare shingles,
-which loses no pair that is alike enough; a parity map of each set refutes most of those that are not. Every link is
-confirmed on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of its own.
+which loses no pair that is alike enough, whatever its signatures' distance; a parity map of each set refutes most of
+those that are not. Every link is confirmed on the full sets of 64-bit shingle hashes. A set is known by a 64-bit hash of its own.
 
 Cases: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle is one
 shingle; texts are read whole; rows with equal text are linked at no cost; a null id takes part, is never a component's
@@ -330,7 +330,7 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
         apart = _with_component(apart.withColumnRenamed("b", "node"), comps).where("comp != ca").select("a", F.col("node").alias("b"))
         found = staged(found.unionByName(_confirmed(_within(apart, met), sets, percent)))
         comps = components(found)
-    return staged(found.unionByName(_confirmed(_within(_across(buckets, comps, sets, percent), met), sets, percent)))
+    return staged(found.unionByName(_confirmed(_across(buckets, comps, sets, percent), sets, percent)))
 
 
 def near_duplicates(
