@@ -49,7 +49,7 @@ def contrast_summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def correlation(df: DataFrame, x: str, y: str, scope: Sequence[str] = (), ranks: bool = False) -> DataFrame:
-    """Pearson (or Spearman, on average ranks) correlation per scope with its t-test p."""
+    """Pearson (or Spearman, on average ranks) correlation per scope with its t-test p; NaN where a side does not vary."""
     df, keys = _scoped(df, scope)
     if ranks:
         df = staged(df)
@@ -57,7 +57,11 @@ def correlation(df: DataFrame, x: str, y: str, scope: Sequence[str] = (), ranks:
             table = mid_ranks(df, keys, c).select(*keys, c, F.col("rank").alias(f"__rank_{c}"))
             df = df.join(table, [*keys, c])
         x, y = f"__rank_{x}", f"__rank_{y}"
-    got = df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
+    r = F.when(F.count_if(both) > 1, F.when(spread > 0, F.try_divide(F.covar_pop(a, b), spread)).otherwise(F.lit(NAN)))
+    got = df.groupBy(*keys).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     p = F.when(F.col("n") > 2, student_two_sided(t, F.col("n") - 2)).otherwise(F.lit(NAN))
     return got.select(*[k for k in keys if k != ALL], "n", "r", p.alias("p"))
