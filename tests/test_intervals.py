@@ -92,6 +92,22 @@ def test_innermost_and_last_start(spark):
     assert {(r["pos"], r["fid"]) for r in last.collect()} == {(250, "inner")}
 
 
+def test_innermost_forms_no_pairs(spark):
+    r = random.Random(5)
+    rows = [(k % 170, f"chr{k % 2}", s, s + r.choice((1, 7, 300, 140_000))) for k in range(200) for s in [r.randrange(200_000)]]
+    rows += [(None, "chr0", 5, 9), (7, "chr0", None, 9), (8, "chr0", 5, None), (9, None, 5, 9)]
+    asked = [(f"chr{k % 3}", r.randrange(340_000)) for k in range(400)] + [("chr0", None), (None, 6), ("chr0", 6)]
+    got = iv.containing(spans(spark, asked, "chrom string, pos long"), spans(spark, rows, "fid long, " + SPAN), ["fid"])
+    want = []
+    for chrom, pos in asked:
+        held = [x for x in rows if None not in (chrom, pos, *x[1:]) and x[1] == chrom and x[2] <= pos < x[3]]
+        if held:
+            want.append((chrom, pos, max(held, key=lambda x: (x[2], -x[3], -1 if x[0] is None else x[0]))[0]))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.replace("Join Inner, ((chrom", "") and "CoGroup" in plan
+
+
 def test_last_start_carries_over_blocks(spark):
     copies = spark.createDataFrame([("far", "c", 10, 400_000)], "fid string, " + SPAN)
     points = spark.createDataFrame([("c", 390_000), ("c", 400_000)], "chrom string, pos long")
