@@ -1,6 +1,8 @@
 """Small hand-made cases for the composed analyses and the registered queries at the smallest scale."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -25,6 +27,25 @@ def test_locus_counted_once_per_orientation(spark):
     assert got == {"sense": 1, "antisense": 1}
 
 
+def test_loci_and_distinct_loci_form_no_pairs(spark):
+    r = random.Random(8)
+    f = [(k % 70, f"c{k % 2}", s, s + r.choice((5, 400, 300_000)), r.choice(("+", "-", None)), r.choice("st"), r.choice("FG"))
+         for k in range(90) for s in [r.randrange(600_000)]] + [(None, "c0", 5, 90, "+", "s", "F"), (None, "c0", 9, 95, "+", "s", "F")]
+    p = [("x", r.choice("ab"), f"c{r.randrange(3)}", s, s + r.choice((1, 60, 5_000)), r.choice(("+", "-")))
+         for _ in range(120) for s in [r.randrange(900_000)]]
+    hits = {(c, n, fid, sub, fam, "sense" if ps == st else "antisense") for fid, chrom, s, e, st, sub, fam in f
+            for c, n, pc, a, b, ps in p if pc == chrom and a < e and b > s}
+    features, found = spark.createDataFrame(f, F_SCHEMA), spark.createDataFrame(p, P_SCHEMA)
+    out = locus_counts(features, found)
+    want = Counter((c, n, sub, o) for c, n, fid, sub, o in {(c, n, fid, sub, o) for c, n, fid, sub, fam, o in hits})
+    assert {tuple(x)[:4]: x["loci"] for x in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    cells = spark.createDataFrame([("x", "a", "s", "sense"), ("x", "b", "t", "antisense")], "cell_line string, sample string, subfamily string, orientation string")
+    report = peaks.loci_report(features, found, cells, ["F", "G"]).collect()[0]
+    behind = {(fid, fam) for c, n, fid, sub, fam, o in hits if (n, sub, o) in (("a", "s", "sense"), ("b", "t", "antisense"))}
+    assert report["distinct_loci"] == len(behind) and report["loci_F"] == sum(fam == "F" for _, fam in behind)
+
+
 def test_folds_without_background(spark):
     f = spark.createDataFrame([(1, "c", 100, 200, "+", "s", "F"), (2, "c", 900, 950, "+", "t", "F")], F_SCHEMA)
     p = spark.createDataFrame([("x", "a", "c", 110, 120, "+"), ("x", "b", "zz", 1, 5, "+")], P_SCHEMA)
