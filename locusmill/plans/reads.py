@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.intervals import ANTISENSE, SENSE
+from ..functions.intervals import SENSE
 from ..functions.special import NAN, normal_upper
-from ..operators.intervals import islands, overlap_join
+from ..operators.assignment import on_each_copy, on_one_copy
+from ..operators.intervals import islands
 from ..operators.order import benjamini_hochberg
 from ..session import staged
 
@@ -36,28 +37,22 @@ def count_reads(features: DataFrame, reads: DataFrame, setting: int = 1, multi:
 
     A fragment is on a copy if a base of any of its blocks is. Sense counting wants the copy's strand (setting 1) or
     the other (setting 2); antisense counting uses the strand-flipped copies. A fragment on several eligible copies is
-    dropped, or counted on each with ``all``. Equal stretches are looked up once.
+    dropped, or counted on each with ``all``. Neither pairs fragments with copies.
     """
     if setting not in (1, 2):
         raise ValueError(f"strand setting must be 1 or 2, not {setting}")
     if multi not in ("drop", "all"):
         raise ValueError(f"unknown multi {multi!r}; choose drop or all")
+    together = reads.repartition("sample", "frag")
     if "read" in reads.columns:
-        reads = fragments(reads)
-    place = ["chrom", "start_pos", "end_pos"]
+        stretches = fragments(together)
+    else:
+        known = together.where("start_pos is not null and end_pos is not null")
+        stretches = islands(known.select(*PIECE, "start_pos", "end_pos"), PIECE)
     copies = features.select(
-        "chrom", "fid", F.col("strand").alias("f_strand"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end")
+        "fid", "chrom", F.col("strand").alias("f_strand"), F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end")
     )
-    held = overlap_join(reads.select(*place).distinct(), copies).select(*place, "f_strand", "fid")
-    agree = F.col("strand") == F.col("f_strand")
-    o = F.when(agree if setting == 1 else ~agree, SENSE).otherwise(ANTISENSE)
-    on = reads.join(held, place).select("sample", "frag", o.alias("orientation"), "fid")
-    if multi == "drop":
-        on = on.groupBy("sample", "frag", "orientation").agg(F.min("fid").alias("fid"), F.max("fid").alias("__last"))
-        on = on.where(F.col("fid") == F.col("__last"))
-    else:
-        on = on.distinct()
-    return on.groupBy("sample", "orientation", "fid").agg(F.count(F.lit(1)).alias("n"))
+    return (on_one_copy if multi == "drop" else on_each_copy)(copies, stretches, setting)
 
 
 def assignment_rates(counts: DataFrame, reads: DataFrame) -> DataFrame:
