@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import random
 from collections import Counter
@@ -96,3 +97,28 @@ def test_table(spark):
     want = brute([r.text for r in rows])
     assert [(got[r.doc_id].n_bytes, got[r.doc_id].n_removed, got[r.doc_id].n_spans, got[r.doc_id].kept_sha256) for r in rows] == want
     assert sum(w[1] for w in want) > 0
+
+
+def test_common_passage(spark, monkeypatch):
+    """Anchors of a passage known from the sample are found in one pass, and no join makes more rows of them."""
+    rnd = random.Random(5)
+    passage = "".join(rnd.choices("abcdefgh ", k=420))
+    texts = [f"{i} {rnd.random()}" + passage[:300 + i % 120] + f"{rnd.random()} {i}" for i in range(1800)] + made(6)
+    assert result(spark, texts) == brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared = sub._shared_anchors(sub._keyed(df, "text", "doc_id"))
+    plan = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join Inner" not in plan
+    rows = shared.collect()
+    done = {r[:4] for r in rows if r.done}
+    assert done & {r[:4] for r in rows if r.first and not r.done}
+
+
+def test_shuffles_go(spark):
+    """What a settled step shuffled is off the disks when it ends, and the session's setting is as before."""
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*"))
+    before, old = files(), spark.conf.get(sub._CLEANUP, "false")
+    df = spark.range(10_000).selectExpr("id % 977 as k").groupBy("k").count()
+    out = sub._settled(df)
+    assert not files() - before and spark.conf.get(sub._CLEANUP, "false") == old
+    assert out.count() == df.count() == 977
