@@ -17,17 +17,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .arrow import map_slices, slices
+from .arrow import map_slices
 
 NONE = 1 << 62
 #: Distinct pieces that a worker remembers, twice: when so many are new, those used since are kept and the others go.
 REMEMBERED = 100_000
-#: Bytes of a piece from which it is merged alone and not remembered, and of text whose pieces are merged together.
-LONG, CHECKED = 64, 1 << 20
+#: Bytes above which a piece is merged alone and not remembered, and pieces merged in step at most.
+LONG, IN_STEP = 64, 8192
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -127,7 +128,12 @@ class Encoder(dict):
 
 
 class Pairs:
-    """Which two tokens make a third, as sorted keys, and the tokens of single bytes."""
+    """Which two tokens make a third, as a hash table, and the tokens of single bytes and of two bytes.
+
+    A slot holds one key; keys that find theirs taken are in ``more``, sorted, and their slot is marked as ``shared``.
+    """
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, ranks: dict[bytes, int]):
         made = {}
@@ -136,132 +142,196 @@ class Pairs:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     made[left << 32 | right] = rank
-        self.keys = np.array(sorted(made), np.int64)
-        self.made = np.array([made[k] for k in sorted(made)], np.int64)
-        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        #: Above all ranks: two neighbours whose union is no token.
+        self.absent = max(ranks.values(), default=0) + 1
+        bits = max(4, (4 * len(made)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        keys = np.array(sorted(made), np.int64)
+        values = np.array([made[k] for k in sorted(made)], np.int64)
+        slots, first = np.unique(self._slot(keys), return_index=True)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.made = np.full(1 << bits, self.absent, np.int64)
+        self.keys[slots], self.made[slots] = keys[first], values[first]
+        late = np.delete(np.arange(len(keys)), first)
+        self.more, self.more_made = keys[late], values[late]
+        self.shared = np.zeros(1 << bits, bool)
+        self.shared[self._slot(self.more)] = True
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        every = self.bytes.astype(np.int64)
+        self.first = self.ranks(np.repeat(every, 256), np.tile(every, 256))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * self.FACTOR) >> self.shift).view(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of two neighbours' union, NONE where that is no token."""
-        if not len(self.keys):
-            return np.full(left.shape, NONE, np.int64)
+        """The rank of two neighbours' union, ``absent`` where that is no token or a neighbour is below 0."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], NONE)
+        slot = self._slot(key)
+        other = self.keys.take(slot) != key
+        rank = self.made.take(slot)
+        rank[other] = self.absent
+        if len(self.more):
+            open_ = np.flatnonzero(other & self.shared.take(slot))
+            at = np.minimum(np.searchsorted(self.more, key[open_]), len(self.more) - 1)
+            same = self.more[at] == key[open_]
+            rank[open_[same]] = self.more_made[at[same]]
+        return rank
 
 
 def merge_pieces(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
-    """The ids of many pieces of like length, by one segment tree a piece, all in step.
+    """The ids of many pieces of like length."""
+    ids, ends = merge_in_step(pieces, pairs)
+    ids, ends = ids.tolist(), ends.tolist()
+    return [ids[x:y] for x, y in zip([0, *ends], ends)]
+
+
+def merge_in_step(pieces: list[bytes], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many pieces of like length, one after another, and where each piece's end, by one segment tree a piece.
 
     Row by row as in ``merge_piece``: leaf i holds the rank of the pair at byte i, joined with i, and a merge updates the
-    paths of the merged pair, of the one that is gone and of the one before.
+    paths of the merged pair, of the one before and of the one that is gone; the top three nodes, which these paths share,
+    once. All arrays have a row of twice the width for a piece, so that one base leads into each. Tokens are -2 beyond a
+    piece's end and where a merge took them away.
     """
     count, width = len(pieces), 2
     while width < max(map(len, pieces)):
         width *= 2
-    sizes = np.array([len(p) for p in pieces])
-    text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(count, width)
+    bits, row = width.bit_length() - 1, 2 * width
+    kind = np.int32 if (pairs.absent + 1) * width < 1 << 31 else np.int64
+    none = pairs.absent * width
     at = np.arange(width)
-    alive = at < sizes[:, None]
-    part = np.where(alive, pairs.bytes[text], -1)
-
-    def leaf(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return np.where(rank < NONE, rank * width + place, NONE)
-
-    tree = np.full((count, 2 * width), NONE, np.int64)
-    tree[:, width:2 * width - 1] = leaf(pairs.ranks(part[:, :-1], part[:, 1:]), at[:-1])
+    outside = at >= np.array([len(p) for p in pieces])[:, None]
+    text = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(count, width)
+    part = np.full((count, row), -2, np.int32)
+    part[:, :width] = pairs.bytes[text]
+    part[:, :width][outside] = -2
+    tree = np.full((count, row), none, kind)
+    tree[:, width:-1] = pairs.first[text[:, :-1].astype(np.int64) << 8 | text[:, 1:]] * width + at[:-1]
+    tree[:, width:-1][outside[:, 1:]] = none
     level = width
     while level > 1:
         tree[:, level // 2:level] = np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2])
         level //= 2
-    after = np.tile(np.arange(1, width + 2), (count, 1)).reshape(-1)
-    before = np.tile(np.arange(-1, width + 1), (count, 1)).reshape(-1)
+    small = np.int16 if width < 1 << 14 else np.int64
+    after = np.tile(np.arange(1, row + 1, dtype=small), count)
+    before = np.tile(np.arange(-1, row - 1, dtype=small), count)
     flat, parts = tree.reshape(-1), part.reshape(-1)
 
-    def update(rows: np.ndarray, place: np.ndarray, value) -> None:
-        base, p = rows * (2 * width), place + width
-        flat[base + p] = value
-        while True:
-            p = p >> 1
-            if not p[0]:
-                break
-            child = base + 2 * p
-            flat[base + p] = np.minimum(flat[child], flat[child + 1])
-
-    rows = np.flatnonzero(tree[:, 1] < NONE)
-    while len(rows):
-        top = flat[rows * (2 * width) + 1]
-        i = top % width
-        link = rows * (width + 1)
-        gone = after[link + i]
-        end = after[link + gone]
-        after[link + i] = end
-        alive[rows, gone] = False
-        own = rows * width
-        token = top // width
-        parts[own + i] = token
-        before[rows * (width + 2) + end] = i
-        inside = end < sizes[rows]
-        rank = pairs.ranks(token, np.where(inside, parts[own + np.minimum(end, width - 1)], -1))
-        update(rows, gone, NONE)
-        update(rows, i, leaf(rank, i))
-        j = before[rows * (width + 2) + i]
-        some = j >= 0
-        if some.any():
-            r, j = rows[some], j[some]
-            update(r, j, leaf(pairs.ranks(parts[r * width + j], token[some]), j))
-        rows = rows[flat[rows * (2 * width) + 1] < NONE]
-    ids, cut = part[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
-    return [ids[x:y] for x, y in zip([0, *cut], cut)]
+    base, top = np.arange(count) * row, tree[:, 1].astype(np.int64)
+    while True:
+        live = np.flatnonzero(top < none)
+        if not len(live):
+            break
+        if len(live) < len(base):
+            base, top = base[live], top[live]
+        i, token = top & (width - 1), top >> bits
+        own = base + i
+        gone = after.take(own).astype(np.int64)
+        end = after.take(base + gone).astype(np.int64)
+        after[own] = end
+        before[base + end] = i
+        parts[own] = token
+        parts[base + gone] = -2
+        # Without a pair before, the last leaf stands for it: no pair starts there.
+        j = np.where(i > 0, before.take(own), width - 1)
+        left = np.where(i > 0, parts.take(base + j), -2).astype(np.int64)
+        right = parts.take(base + end).astype(np.int64)
+        rank = pairs.ranks(np.concatenate((token, left)), np.concatenate((right, token)))
+        place = np.concatenate((i, j, gone))
+        start = np.concatenate((base, base, base))
+        leaf = np.full(len(place), none, kind)
+        leaf[:len(rank)] = rank * width + place[:len(rank)]
+        node = place + width
+        flat[start + node] = leaf
+        level = width
+        while level > 4:
+            node >>= 1
+            level >>= 1
+            child = start + 2 * node
+            flat[start + node] = np.minimum(flat.take(child), flat.take(child + 1))
+        if width > 2:
+            low = np.minimum(flat.take(base + 4), flat.take(base + 5))
+            high = np.minimum(flat.take(base + 6), flat.take(base + 7))
+        else:
+            low, high = flat.take(base + 2), flat.take(base + 3)
+        top = np.minimum(low, high).astype(np.int64)
+    kept = part > -2
+    return part[kept], np.cumsum(kept.sum(axis=1))
+
+
+def _joined(values: pa.Array, at, ends, by: bytes) -> pa.Array:
+    """The values at the places ``at``, those of each list joined by ``by``; a list ends where ``ends`` says."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), values.take(at)), pa.scalar(by, values.type))
 
 
 class Checker:
-    """Text pieces with the ids of each as text, joined by commas, and the bytes that those ids decode to."""
+    """UTF-8 pieces with the ids of each in decimal, joined by commas, and the bytes that those ids decode to."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pairs = ranks, Pairs(ranks)
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.new: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.names = pa.array([b"%d" % i for i in ranks.values()], pa.large_binary())
+        self.tokens = pa.array(list(ranks), pa.large_binary())
+        self.place = np.full(self.pairs.absent, -1)
+        self.place[list(ranks.values())] = np.arange(len(ranks))
+        self.ids: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
+        self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
         self.find = regex.compile(pattern).findall
 
-    def _merged(self, pieces: list[str]) -> None:
+    def _merged(self, pieces: list[bytes]) -> None:
         """Fill in the pieces that are not known, those of like length at once."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        by_width: list[list[bytes]] = [[] for _ in range(LONG.bit_length() + 1)]
+        whole = []
         for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.new[piece] = str(whole), self.tokens[whole]
-            elif len(raw) > LONG:
-                self._keep(piece, merge_piece(raw, self.ranks))
+            if piece in self.ranks:
+                whole.append(piece)
+            elif len(piece) > LONG:
+                ids = merge_piece(piece, self.ranks)
+                self._keep([piece], np.array(ids), np.array([len(ids)]))
             else:
-                by_width.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
-        for some in by_width.values():
-            for start in range(0, len(some), 8192):
-                part = some[start:start + 8192]
-                for (piece, _), ids in zip(part, merge_pieces([raw for _, raw in part], self.pairs)):
-                    self._keep(piece, ids)
-
-    def _keep(self, piece: str, ids: list[int]) -> None:
-        self.new[piece] = ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+                by_width[(len(piece) - 1).bit_length()].append(piece)
+        self._keep(whole, np.array([self.ranks[p] for p in whole], np.int64), np.arange(1, len(whole) + 1))
+        for some in by_width:
+            for start in range(0, len(some), IN_STEP):
+                part = some[start:start + IN_STEP]
+                self._keep(part, *merge_in_step(part, self.pairs))
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        if len(ids) and ids.min() < 0:
+            raise KeyError("a byte has no token")
+        at = pa.array(self.place[ids])
+        self.ids.update(zip(pieces, _joined(self.names, at, ends, b",").to_pylist()))
+        self.decoded.update(zip(pieces, _joined(self.tokens, at, ends, b"").to_pylist()))
 
     def check(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Each text's ids, joined by commas, and what they decode to."""
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
+        """Each text's ids, joined by commas, and what they decode to.
+
+        Python sees each different piece of the texts once; Arrow numbers the pieces and joins what they stand for.
+        """
+        if len(self.ids) >= REMEMBERED:
+            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
         found = list(map(self.find, texts))
-        met = set().union(*found).difference(self.new)
-        known = met.intersection(self.old)
-        self.new.update({p: self.old[p] for p in known})
-        self._merged(list(met.difference(known)))
-        out = []
-        for pieces in found:
-            both = list(map(self.new.__getitem__, pieces))
-            out.append((",".join([ids for ids, _ in both]), b"".join([decoded for _, decoded in both])))
+        ends = np.cumsum([len(x) for x in found])
+        pieces = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
+        del found
+        met = pieces.dictionary.cast(pa.large_binary()).to_pylist()
+        new = []
         for piece in met:
-            if len(piece) > LONG:
-                del self.new[piece]
-        return out
+            if piece not in self.ids:
+                ids = self.old[0].get(piece)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    self.ids[piece], self.decoded[piece] = ids, self.old[1][piece]
+        self._merged(new)
+        both = [
+            _joined(pa.array(list(map(known.__getitem__, met)), pa.large_binary()), pieces.indices, ends, by)
+            for known, by in ((self.ids, b","), (self.decoded, b""))
+        ]
+        for piece in [p for p in met if len(p) > LONG]:
+            del self.ids[piece], self.decoded[piece]
+        return list(zip(both[0].cast(pa.large_string()).to_pylist(), both[1].to_pylist()))
 
 
 _MADE: dict = {}
@@ -317,13 +387,12 @@ def encode_checked(
     def run(part: pa.RecordBatch) -> list:
         checker = _once(("check", hash(data.value), pattern), lambda: Checker(read_ranks(data.value), pattern))
         counts, listed, decoded, arrays = [], [], [], []
-        for own in slices([part], text, CHECKED):
-            for joined, back in checker.check([t or "" for t in own.column(own.schema.get_field_index(text)).to_pylist()]):
-                counts.append(joined.count(",") + 1 if joined else 0)
-                listed.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back).hexdigest())
-                if ids:
-                    arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+        for joined, back in checker.check([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]):
+            counts.append(joined.count(",") + 1 if joined else 0)
+            listed.append(hashlib.sha256(joined.encode()).hexdigest())
+            decoded.append(hashlib.sha256(back).hexdigest())
+            if ids:
+                arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
         out = [counts, listed, decoded]
         if ids:
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

@@ -91,3 +91,30 @@ def test_pieces_in_step_are_pieces_alone():
         some = [p for p in some if p not in TABLE]
         if some:
             assert bpe.merge_pieces(some, CHECKER.pairs) == [bpe.merge_piece(p, TABLE) for p in some]
+
+
+def test_pair_ranks_are_seldom_searched(monkeypatch):
+    rnd, searched = random.Random(2), []
+    texts = [" ".join("".join(rnd.choice("aeinrsthßé") for _ in range(rnd.randint(5, 14))) for _ in range(200)) for _ in range(20)]
+    checker, search = bpe.Checker(TABLE, public_tokenizers.PATTERN), bpe.np.searchsorted
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda a, v, *x, **y: searched.append(bpe.np.size(v)) or search(a, v, *x, **y))
+    want = [OWN.encode_ordinary(t) for t in texts]
+    assert checker.check(texts) == [(",".join(map(str, ids)), t.encode()) for ids, t in zip(want, texts)]
+    assert 0 < sum(searched) < sum(map(len, texts)) / 10
+
+
+def test_ranks_of_all_pairs_and_of_none():
+    pairs, some = CHECKER.pairs, random.Random(3).sample(sorted(TABLE), 3000)
+    both = [(TABLE[t[:k]], TABLE[t[k:]], TABLE[t]) for t in some for k in range(1, len(t)) if t[:k] in TABLE and t[k:] in TABLE]
+    left, right, made = (bpe.np.array(x) for x in zip(*both))
+    assert pairs.ranks(left, right).tolist() == made.tolist()
+    for other in (-1, -2):
+        assert (pairs.ranks(left, bpe.np.full(len(left), other)) == pairs.absent).all()
+        assert (pairs.ranks(bpe.np.full(len(left), other), right) == pairs.absent).all()
+
+
+def test_ranks_beyond_32_bits_of_leaves():
+    wide = bpe.Checker({t: r << 12 for t, r in TABLE.items()}, public_tokenizers.PATTERN)
+    text = "unbelievably straßenbahnhaltestellen, xqzjv" + "ab" * 29
+    ids, back = wide.check([text])[0]
+    assert [int(i) >> 12 for i in ids.split(",")] == OWN.encode_ordinary(text) and back == text.encode()
