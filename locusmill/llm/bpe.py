@@ -5,14 +5,17 @@ that the root is the leftmost pair of the lowest rank. A merge links the live ne
 leaves, each in O(log n): a piece of n bytes takes O(n log n) however long it is.
 
 Cases: a null text is empty; an empty text has no ids and decodes to no bytes; texts of any length are encoded whole;
-repeated rows and ties are rows like any other; an empty table gives an empty table; other columns are passed only if
-named in ``keep``, and one named like an output is replaced by it.
+letters and numbers newer than Unicode 16 are neither, as in tiktoken; repeated rows and ties are rows like any other;
+an empty table gives an empty table; other columns are passed only if named in ``keep``, and one named like an output
+is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -22,13 +25,40 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .arrow import map_slices
+from .arrow import map_slices, slices
 
 NONE = 1 << 62
 #: Distinct pieces that a worker remembers, twice: when so many are new, those used since are kept and the others go.
-REMEMBERED = 100_000
-#: Bytes above which a piece is merged alone and not remembered, and pieces merged in step at most.
-LONG, IN_STEP = 64, 8192
+REMEMBERED = 70_000
+#: Bytes above which a piece is merged alone and not remembered, and of text whose pieces are merged together.
+LONG, CHECKED = 64, 2 << 20
+#: Leaves of the trees that are merged in step: these fit into a core's cache.
+IN_STEP = 1 << 17
+#: Pieces from which those of the texts go from Python to Arrow, which holds them in less memory.
+HELD = 1 << 15
+#: Letters and numbers newer than Unicode 16, in hexadecimal: tiktoken's patterns do not know them, the regex module's may.
+NEWER = """
+    0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf
+    10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686
+    16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191
+    191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
+    1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """What lists the pattern's matches in a text, by the letters and numbers of Unicode 16."""
+    compiled = regex.compile(pattern)
+    ranges = [[chr(int(end, 16)) for end in some.split("-")] for some in NEWER.split()]
+    newer = re.compile("[" + "".join(f"{some[0]}-{some[-1]}" for some in ranges) + "]")
+    high, find = re.compile(f"[{ranges[0][0]}-{chr(0x10FFFF)}]").search, compiled.findall
+
+    def pieces(text: str) -> list[str]:
+        if text.isascii() or not high(text) or not newer.search(text):
+            return find(text)
+        return [text[m.start():m.end()] for m in compiled.finditer(newer.sub("\uffff", text))]
+
+    return pieces
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -110,7 +140,7 @@ class Encoder(dict):
         super().__init__()
         self.ranks = ranks
         self.old: dict[str, tuple[int, ...]] = {}
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
@@ -146,8 +176,8 @@ class Pairs:
         self.absent = max(ranks.values(), default=0) + 1
         bits = max(4, (4 * len(made)).bit_length())
         self.shift = np.uint64(64 - bits)
-        keys = np.array(sorted(made), np.int64)
-        values = np.array([made[k] for k in sorted(made)], np.int64)
+        keys = np.sort(np.fromiter(made, np.int64, len(made)))
+        values = np.fromiter(map(made.__getitem__, keys.tolist()), np.int64, len(made))
         slots, first = np.unique(self._slot(keys), return_index=True)
         self.keys = np.full(1 << bits, -1, np.int64)
         self.made = np.full(1 << bits, self.absent, np.int64)
@@ -275,13 +305,14 @@ class Checker:
         self.place = np.full(self.pairs.absent, -1)
         self.place[list(ranks.values())] = np.arange(len(ranks))
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        #: What a piece's ids decode to, where that is not the piece.
         self.decoded: dict[bytes, bytes] = {}
-        self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
 
     def _merged(self, pieces: list[bytes]) -> None:
         """Fill in the pieces that are not known, those of like length at once."""
-        by_width: list[list[bytes]] = [[] for _ in range(LONG.bit_length() + 1)]
+        by_width: list[list[bytes]] = [[] for _ in range(LONG.bit_length())]
         whole = []
         for piece in pieces:
             if piece in self.ranks:
@@ -292,9 +323,10 @@ class Checker:
             else:
                 by_width[(len(piece) - 1).bit_length()].append(piece)
         self._keep(whole, np.array([self.ranks[p] for p in whole], np.int64), np.arange(1, len(whole) + 1))
-        for some in by_width:
-            for start in range(0, len(some), IN_STEP):
-                part = some[start:start + IN_STEP]
+        for bits, some in enumerate(by_width):
+            step = IN_STEP >> bits
+            for start in range(0, len(some), step):
+                part = some[start:start + step]
                 self._keep(part, *merge_in_step(part, self.pairs))
 
     def _keep(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
@@ -302,7 +334,9 @@ class Checker:
             raise KeyError("a byte has no token")
         at = pa.array(self.place[ids])
         self.ids.update(zip(pieces, _joined(self.names, at, ends, b",").to_pylist()))
-        self.decoded.update(zip(pieces, _joined(self.tokens, at, ends, b"").to_pylist()))
+        decoded = _joined(self.tokens, at, ends, b"").to_pylist()
+        if decoded != pieces:
+            self.decoded.update((p, d) for p, d in zip(pieces, decoded) if p != d)
 
     def check(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """Each text's ids, joined by commas, and what they decode to.
@@ -310,28 +344,36 @@ class Checker:
         Python sees each different piece of the texts once; Arrow numbers the pieces and joins what they stand for.
         """
         if len(self.ids) >= REMEMBERED:
-            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-        found = list(map(self.find, texts))
-        ends = np.cumsum([len(x) for x in found])
-        pieces = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
-        del found
+            self.old, self.ids = self.ids, {}
+        ends, held, arrays = [], [], []
+        for text in texts:
+            held += self.find(text)
+            ends.append(len(held) + sum(map(len, arrays)))
+            if len(held) >= HELD:
+                arrays.append(pa.array(held, pa.large_string()))
+                held = []
+        if not (held or arrays):
+            return [("", b"")] * len(texts)
+        arrays.append(pa.array(held, pa.large_string()))
+        del held
+        pieces = pa.chunked_array(arrays).dictionary_encode().combine_chunks()
         met = pieces.dictionary.cast(pa.large_binary()).to_pylist()
         new = []
         for piece in met:
             if piece not in self.ids:
-                ids = self.old[0].get(piece)
+                ids = self.old.get(piece)
                 if ids is None:
                     new.append(piece)
                 else:
-                    self.ids[piece], self.decoded[piece] = ids, self.old[1][piece]
+                    self.ids[piece] = ids
         self._merged(new)
-        both = [
-            _joined(pa.array(list(map(known.__getitem__, met)), pa.large_binary()), pieces.indices, ends, by)
-            for known, by in ((self.ids, b","), (self.decoded, b""))
-        ]
+        ids, decoded = (
+            _joined(pa.array(known, pa.large_binary()), pieces.indices, ends, by)
+            for known, by in ((list(map(self.ids.__getitem__, met)), b","), ([self.decoded.get(p, p) for p in met], b""))
+        )
         for piece in [p for p in met if len(p) > LONG]:
-            del self.ids[piece], self.decoded[piece]
-        return list(zip(both[0].cast(pa.large_string()).to_pylist(), both[1].to_pylist()))
+            del self.ids[piece]
+        return list(zip(ids.cast(pa.large_string()).to_pylist(), decoded.to_pylist()))
 
 
 _MADE: dict = {}
@@ -387,12 +429,13 @@ def encode_checked(
     def run(part: pa.RecordBatch) -> list:
         checker = _once(("check", hash(data.value), pattern), lambda: Checker(read_ranks(data.value), pattern))
         counts, listed, decoded, arrays = [], [], [], []
-        for joined, back in checker.check([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]):
-            counts.append(joined.count(",") + 1 if joined else 0)
-            listed.append(hashlib.sha256(joined.encode()).hexdigest())
-            decoded.append(hashlib.sha256(back).hexdigest())
-            if ids:
-                arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+        for own in slices([part], text, CHECKED):
+            for joined, back in checker.check([t or "" for t in own.column(own.schema.get_field_index(text)).to_pylist()]):
+                counts.append(joined.count(",") + 1 if joined else 0)
+                listed.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
+                if ids:
+                    arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
         out = [counts, listed, decoded]
         if ids:
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

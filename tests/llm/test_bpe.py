@@ -118,3 +118,30 @@ def test_ranks_beyond_32_bits_of_leaves():
     text = "unbelievably straßenbahnhaltestellen, xqzjv" + "ab" * 29
     ids, back = wide.check([text])[0]
     assert [int(i) >> 12 for i in ids.split(",")] == OWN.encode_ordinary(text) and back == text.encode()
+
+
+def test_texts_in_many_arrays(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 3)
+    monkeypatch.setattr(bpe, "IN_STEP", 64)
+    texts = ["", "unbelievably straße xqzjv", "a", "xqzjv aqzjv bqzjv cqzjv " * 9, "", "Straße 中文zz"]
+    want = [OWN.encode_ordinary(t) for t in texts]
+    checker = bpe.Checker(TABLE, public_tokenizers.PATTERN)
+    assert checker.check(texts) == [(",".join(map(str, ids)), t.encode()) for ids, t in zip(want, texts)]
+    assert checker.check(["", ""]) == [("", b""), ("", b"")]
+
+
+@pytest.mark.parametrize("text", ["\U0003d05c\ub000", "a\u0558b 1\U00011de0", " \U000323b0\u4e2d ''\ua7f1x", "\uffff\U0003d000 \u2019s"])
+def test_characters_newer_than_tiktoken(text):
+    ids = OWN.encode_ordinary(text)
+    assert ENCODER.encode(text) == ids
+    assert CHECKER.check([text]) == [(",".join(map(str, ids)), text.encode())]
+
+
+def test_every_character_has_the_class_of_tiktoken():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    bare = {bytes([b]): b for b in range(256)}
+    for pattern in (r"\p{L}", r"\p{N}", r"\s"):
+        own, found = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=bare, special_tokens={}), bpe.finder(pattern)
+        for start in range(0, len(every), 10_000):
+            text = "".join(every[start:start + 10_000])
+            assert "".join(found(text)).encode() == bytes(own.encode_ordinary(text))
