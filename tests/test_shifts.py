@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from locusmill.catalog import SQL, contacts as contact_queries
 from locusmill.operators import shifts
+from locusmill.plans import runs
 
 
 @pytest.mark.parametrize("edge", ["clip", "wrap"])
@@ -31,3 +33,10 @@ def test_sums_under_moving_intervals(spark, edge, block):
         spark.createDataFrame(draws, "chrom string, size long, shift int, offset long, stays boolean"), ["g"], ["n"], edge, block,
     )
     assert {(r.g, r.shift): r.n for r in got.collect()} == want
+
+
+def test_the_whole_run_has_every_shift(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(runs, "contact_analysis", lambda *tables, **how: seen.update(how))
+    contact_queries.contact_run(spark, "/root/testdata/sf0.001")
+    assert seen["shifts"] == 1000 and "range(-1, 1000)" in SQL["contact_analysis"]
