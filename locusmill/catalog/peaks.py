@@ -109,16 +109,35 @@ SHIFTED = ENRICH + SPACE + f""", cand as (select cell_line, sample, subfamily, o
   perm as (select c.*, k.k as k, coalesce(n.loci, 0) as loci from cand c
     cross join (select unnest(range({PERMS})) as k) k left join nul n on n.cell_line = c.cell_line
       and n.sample = c.sample and n.subfamily = c.subfamily and n.orientation = c.orientation and n.k = k.k)"""
-STOPPED = SHIFTED + f""", cum as (select *, cast(sum(case when loci >= observed then 1 else 0 end) over (
-      partition by cell_line, sample, subfamily, orientation order by k) as bigint) as over_k from perm),
-  ends as (select cell_line, sample, k + 1 as past from cum where (k + 1) % {BATCH} = 0
-    group by cell_line, sample, k having min(over_k) >= {STOP}),
-  stop as (select c.cell_line, c.sample, coalesce(min(e.past), {PERMS}) as done
-    from (select distinct cell_line, sample from cand) c left join ends e on e.cell_line = c.cell_line
-      and e.sample = c.sample group by all),
-  res as (select p.cell_line, p.sample, p.subfamily, p.orientation, p.observed, s.done as n_perm,
-      cast(sum(case when loci >= observed then 1 else 0 end) as bigint) as exceed, cast(sum(loci) as bigint) as total
-    from perm p join stop s on s.cell_line = p.cell_line and s.sample = p.sample where p.k < s.done group by all),
+#: Permutations at most, exceedances that settle a candidate, and permutations between looks; the first two are the reference's.
+MOST, SETTLED, ROUND = 25_000, 25, 1_000
+#: The same null until a group's candidates are settled. Moved peaks find their segment by bins of 100 bases and features by bins of 1,000.
+STOPPED = SHIFTED[:SHIFTED.index(",\n  moved as")] + f""", near as (
+    select fid, chrom, start_pos, end_pos, strand, subfamily, unnest(range(start_pos // 1000, (end_pos - 1) // 1000 + 1)) as b from feature),
+  laid as (select *, unnest(range(seg_off // 100, (seg_off + seg_len - 1) // 100 + 1)) as a from space),
+  rounds as (with recursive rd as (
+    select *, 0::bigint as done, 0::bigint as exceed, 0::bigint as total from cand
+    union all
+    select g.cell_line, g.sample, g.subfamily, g.orientation, g.observed, g.done + {ROUND}, g.exceed + coalesce(n.over_n, 0)
+        + case when g.observed = 0 then {ROUND} - coalesce(n.seen, 0) else 0 end, g.total + coalesce(n.loci, 0)
+    from (select * from (select *, min(exceed) over (partition by cell_line, sample) as least from rd) x where least < {SETTLED} and done < {MOST}) g
+    left join (select cell_line, sample, subfamily, orientation, count(*) as seen, count(*) filter (loci >= observed) as over_n,
+        cast(sum(loci) as bigint) as loci from (
+      select h.cell_line, h.sample, h.subfamily, h.orientation, h.observed, h.k, count(*) as loci from (
+        select distinct m.cell_line, m.sample, m.k, f.fid, c.subfamily, c.orientation, c.observed from (
+          select *, unnest(range(g // 1000, (g + width - 1) // 1000 + 1)) as b from (
+            select d.cell_line, d.sample, d.strand, d.width, d.k, s.chrom, s.start_pos + d.at - s.seg_off as g from (
+              select t.cell_line, t.sample, t.strand, t.width, w.k, (t.flat + {lcg_sql("w.k", "t.total", "t.cell_line", "t.sample")}) % t.total as at
+              from flat t join (select cell_line, sample, done + unnest(range({ROUND})) as k from rd group by cell_line, sample, done
+                having min(exceed) < {SETTLED} and done < {MOST}) w on w.cell_line = t.cell_line and w.sample = t.sample) d
+            join laid s on d.cell_line = s.cell_line and d.at // 100 = s.a and d.at >= s.seg_off and d.at < s.seg_off + s.seg_len) y) m
+        join near f on f.chrom = m.chrom and f.b = m.b and f.start_pos < m.g + m.width and f.end_pos > m.g
+        join cand c on c.cell_line = m.cell_line and c.sample = m.sample and c.subfamily = f.subfamily
+          and c.orientation = case when m.strand = f.strand then 'sense' else 'antisense' end) h group by all) z group by all) n
+    on n.cell_line = g.cell_line and n.sample = g.sample and n.subfamily = g.subfamily and n.orientation = g.orientation)
+    select * from rd),
+  res as (select cell_line, sample, subfamily, orientation, observed, max(done) as n_perm, arg_max(exceed, done) as exceed,
+      arg_max(total, done) as total from rounds group by all),
   resp as (select *, (exceed + 1) / (n_perm + 1) as p_perm from res),
   ranked as (select *, count(*) over (partition by cell_line) as m,
       count(*) over (partition by cell_line order by p_perm) as rk from resp)
@@ -129,10 +148,10 @@ STOPPED = SHIFTED + f""", cum as (select *, cast(sum(case when loci >= observed
   from ranked"""
 
 
-def shifted(spark, sf, **how):
+def shifted(spark, sf, most=MOST, settled=SETTLED, batch=ROUND, **how):
     features, peaks = view(spark, sf, "feature"), view(spark, sf, "peak")
     cands = staged(candidates(enrichment(spark, sf)))
-    return plan.shift_null(features, peaks, cands, PERMS, STOP, BATCH, offset=lcg_offset, **how)
+    return plan.shift_null(features, peaks, cands, most, settled, batch, offset=lcg_offset, **how)
 
 
 MANY = 100
@@ -177,7 +196,7 @@ def shift_permutation(spark, sf):
     with_views(FV, SHIFTED + " select cell_line, sample, subfamily, orientation, loci as observed from perm where k = 3"),
 )
 def shift_calibration(spark, sf):
-    return shifted(spark, sf, scramble=3).select("cell_line", "sample", "subfamily", "orientation", "observed")
+    return shifted(spark, sf, PERMS, STOP, BATCH, scramble=3).select("cell_line", "sample", "subfamily", "orientation", "observed")
 
 
 @register(

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from locusmill.catalog import SQL, contacts as contact_queries
+from locusmill.catalog import SQL, contacts as contact_queries, peaks as peak_queries
 from locusmill.operators import shifts
+from locusmill.operators.counting import lone_ids
 from locusmill.plans import runs
 
 
@@ -40,3 +41,41 @@ def test_the_whole_run_has_every_shift(spark, monkeypatch):
     monkeypatch.setattr(runs, "contact_analysis", lambda *tables, **how: seen.update(how))
     contact_queries.contact_run(spark, "/root/testdata/sf0.001")
     assert seen["shifts"] == 1000 and "range(-1, 1000)" in SQL["contact_analysis"]
+
+
+@pytest.mark.parametrize("block", [500, 1 << 25])
+def test_features_under_moving_peaks(spark, block):
+    rnd = random.Random(9)
+    rows = [(k % 70, f"c{k % 2}", s, s + rnd.choice((1, 30, 400)), rnd.choice(("+", "-", None)), rnd.choice("st")) for k in range(80) for s in [rnd.randrange(1800)]]
+    space = [("x", "c0", 100, 700, 600, 0), ("x", "c0", 900, 1500, 600, 600), ("x", "c1", 50, 250, 200, 1200), ("y", "c0", 0, 900, 900, 0)]
+    size = {"x": 1400, "y": 900}
+    sets = {(c, n): [(rnd.randrange(size[c]), rnd.choice((1, 40)), rnd.choice(("+", "-", None))) for _ in range(12)] for c, n in (("x", "a"), ("x", "b"), ("y", "a"))}
+    moves = {g: [(k, off) for k, off in enumerate((0, 333, 899, 5))] for g in list(sets)[:2]}
+    want = {}
+    for (cell, sample), draws in moves.items():
+        for perm, off in draws:
+            found = set()
+            for flat, width, strand in sets[cell, sample]:
+                at = (flat + off) % size[cell]
+                chrom, g = next((c, s + at - o) for p, c, s, e, n, o in space if p == cell and o <= at < o + n)
+                found |= {(fid, sub, "sense" if strand == own and own else "antisense") for fid, c, s, e, own, sub in rows if c == chrom and s < g + width and e > g}
+            for _, sub, side in found:
+                if (sample, sub) != ("b", "t"):
+                    want[cell, sample, perm, sub, side] = want.get((cell, sample, perm, sub, side), 0) + 1
+    features = lone_ids(spark.createDataFrame(rows, "fid long, chrom string, start_pos long, end_pos long, strand string, subfamily string"))
+    wanted = [(c, n, s, o) for c, n in sets for s in "st" for o in ("sense", "antisense") if (n, s) != ("b", "t")]
+    counted = shifts.moved_locus_counts(
+        features, spark.createDataFrame([(*g, size[g[0]], items) for g, items in sets.items()], "cell_line string, sample string, size long, "
+                                        "items array<struct<flat: long, width: long, peak_strand: string>>"),
+        spark.createDataFrame(space, "cell_line string, chrom string, start_pos long, end_pos long, seg_len long, seg_off long"),
+        spark.createDataFrame(wanted, "cell_line string, sample string, subfamily string, orientation string"), ["cell_line", "sample"], ["cell_line"], block,
+    )
+    got = counted(spark.createDataFrame([(*g, d) for g, d in moves.items()], "cell_line string, sample string, draws array<struct<perm: int, offset: long>>"))
+    assert {(r.cell_line, r.sample, r.perm, r.subfamily, r.orientation): r.loci for r in got.collect()} == want
+
+
+def test_the_null_has_every_permutation(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(peak_queries.plan, "shift_null", lambda features, peaks, cands, most, settled, batch, **how: seen.update(most=most, settled=settled))
+    peak_queries.shifted(spark, "/root/testdata/sf0.001")
+    assert seen == {"most": 25_000, "settled": 25} and "< 25000" in SQL["shift_permutation"]
