@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from locusmill.catalog import peaks as queries
 from locusmill.plans import peaks
 
 SPAN = "chrom string, start_pos long, end_pos long, strand string"
@@ -42,3 +43,21 @@ def test_rounds_shrink_with_the_rows_they_draw(tables, monkeypatch):
     whole = rows(peaks.shift_null(*tables, 12, stop_at=10**6))
     monkeypatch.setattr(peaks, "DRAWN", 700)
     assert rows(peaks.shift_null(*tables, 12, stop_at=10**6)) == whole
+
+
+def test_a_small_budget_is_a_warning_where_it_is_not_refused(tables):
+    features, found, _ = tables
+    every = lambda t: t.where("loci > 0")
+    with pytest.raises(ValueError, match="cannot resolve"):
+        peaks.permutation_analysis(features, found, 4, 0.2, every, stop_at=5, batch=4)
+    with pytest.warns(UserWarning, match="4 permutations cannot resolve q < 0.2"):
+        out = peaks.permutation_analysis(features, found, 4, 0.2, every, refuse=False, stop_at=5, batch=4)
+    assert {r.n_perm for r in out.collect()} == {4} and out.where("significant").isEmpty()
+
+
+def test_the_registered_table_has_rows_for_every_number_of_candidates(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.plan, "permutation_analysis", lambda *tables, **how: seen.update(how) or spark.range(0).selectExpr(
+        *[f"0.0 as {c}" for c in ("p_perm", "expected", "fold_perm", "q_perm", "fold_pooled", "q_screen")]))
+    queries.permutation_table(spark, "/root/testdata/sf0.001")
+    assert seen["refuse"] is False
