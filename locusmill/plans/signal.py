@@ -4,22 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.intervals import ANTISENSE, SENSE, track_orientation
-from ..operators.coverage import clip_spans, library_totals, signal_sums
+from ..functions.intervals import ANTISENSE, SENSE, clip_to, track_orientation
+from ..operators.counting import lone_ids
+from ..operators.coverage import clip_spans, library_totals, signal_sums, step_tiles, tile_sums
 from ..session import staged
 from ..operators.order import (
     Ranking, attach, benjamini_hochberg, exact_median, order_summary, quantile_strata, summary_quantiles, summary_rank_tests,
 )
+from ..operators.tiles import TILE_COL, WIDTH, meet, tiles_of
 
 IP, INPUT = ("ip_r1", "ip_r2"), ("in_r1", "in_r2")
 
 
 def copy_signal(features: DataFrame, track: DataFrame, sizes: DataFrame, samples: Sequence[str] = (*IP, *INPUT)) -> DataFrame:
-    """Per copy, the signal of each sample in each orientation, absent signal as 0."""
-    spans = clip_spans(features, sizes)
-    sums = signal_sums(spans, track, ["fid", "strand"])
+    """Per copy, the signal of each sample in each orientation, absent signal as 0.
+
+    A copy inside one tile whose id stands once gets its row there; only the others go by their ids.
+    """
+    samples = list(samples)
+    length = (F.col("end_pos") - F.col("start_pos")).alias("length")
+    names = [f"{s}_{o}" for s in samples for o in (SENSE, ANTISENSE)]
+    listed = F.broadcast(sizes.where("chrom is not null").groupBy("chrom").agg(F.collect_list(F.struct("size")).alias("__sizes")))
+    lo, hi = clip_to("start_pos", "end_pos", F.col("__sizes")[0]["size"])
+    first, last = tiles_of("__lo", "__hi")
+    marked = lone_ids(features).join(listed, "chrom", "left")
+    marked = marked.withColumn("__lo", F.when(F.size("__sizes") == 1, lo)).withColumn("__hi", F.when(F.size("__sizes") == 1, hi))
+    whole = F.coalesce(F.col("__alone") & (F.col("__lo") < F.col("__hi")) & (first == last), F.lit(False))
+    keep = ["fid", "chrom", "strand", "subfamily", "family"]
+    inside = marked.where(whole).select(*keep, length, F.col("__lo").alias("start_pos"), F.col("__hi").alias("end_pos"), first.alias(TILE_COL))
+    schema = StructType([*inside.select(*keep, "length").schema, *[StructField(n, DoubleType()) for n in names]])
+    arrow = to_arrow_schema(schema)
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        plus, minus = (np.array([v == s for v in left.column("strand").to_pylist()], bool) for s in "+-")
+        made = {n: np.zeros(left.num_rows) for n in names}
+        for (sample, strand), sums, _ in tile_sums(left, right, ("sample", "track_strand"), WIDTH):
+            if sample in samples:
+                same = (plus & (strand == "pos")) | (minus & (strand == "neg"))
+                signal = sums.fill_null(0.0).to_numpy()
+                made[f"{sample}_{SENSE}"] += np.where(same, signal, 0.0)
+                made[f"{sample}_{ANTISENSE}"] += np.where(same, 0.0, signal)
+        return pa.table({**{c: left.column(c) for c in (*keep, "length")}, **made}).cast(arrow)
+
+    found = meet(inside, step_tiles(track), ["chrom"], scan, schema)
+    rest = marked.where(~whole).select(*features.columns)
+    sums = signal_sums(clip_spans(rest, sizes), track, ["fid", "strand"])
     sums = sums.withColumn("orientation", track_orientation("track_strand", "strand"))
     wide = [
         F.sum(F.when((F.col("sample") == s) & (F.col("orientation") == o), F.col("signal"))).alias(f"{s}_{o}")
@@ -27,10 +62,8 @@ def copy_signal(features: DataFrame, track: DataFrame, sizes: DataFrame, samples
         for o in (SENSE, ANTISENSE)
     ]
     per_copy = sums.groupBy("fid").agg(*wide)
-    filled = [F.coalesce(F.col(f"{s}_{o}"), F.lit(0.0)).alias(f"{s}_{o}") for s in samples for o in (SENSE, ANTISENSE)]
-    length = (F.col("end_pos") - F.col("start_pos")).alias("length")
-    keep = ["fid", "chrom", "strand", "subfamily", "family", length]
-    return features.join(per_copy, "fid", "left").select(*keep, *filled)
+    filled = [F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names]
+    return found.unionByName(rest.join(per_copy, "fid", "left").select(*keep, length, *filled))
 
 
 def densities(signal: DataFrame, totals: DataFrame, samples: Sequence[str] = (*IP, *INPUT)) -> DataFrame:
@@ -54,13 +87,16 @@ def densities(signal: DataFrame, totals: DataFrame, samples: Sequence[str] = (*I
 
 
 def log_ratios(dens: DataFrame, min_input_frac: float = 0.25, ip=IP, inputs=INPUT) -> DataFrame:
-    """Rows at or above the orientation's input floor, with the log2 ratio and the replicates' own ratios."""
+    """Rows at or above the orientation's input floor, with the log2 ratio and the replicates' own ratios.
+
+    What they are made of is written out, so the rows may be used several times.
+    """
     total = lambda names: sum((F.col(f"d_{s}") for s in names[1:]), F.col(f"d_{names[0]}"))
-    rows = dens.withColumn("ip", total(ip)).withColumn("input", total(inputs))
-    # A floor above 0 keeps no row without input, and most copies have none.
+    rows = dens.withColumn("input", total(inputs))
+    # A floor above 0 keeps no row without input, and most copies have none. The ratios follow from these rows and the floor.
     rows = staged(rows.where("input > 0") if min_input_frac > 0 else rows)
-    floor = exact_median(rows.where("input > 0"), ["orientation"], "input", "__median")
-    rows = attach(rows, floor, ["orientation"]).withColumn("floor", F.col("__median") * min_input_frac)
+    floor = staged(exact_median(rows.where("input > 0"), ["orientation"], "input", "__median"))
+    rows = attach(rows, floor, ["orientation"]).withColumn("floor", F.col("__median") * min_input_frac).withColumn("ip", total(ip))
     eps = F.col("floor") * 0.5
     fold = lambda a, b, k=1.0: F.log2((F.col(a) * k + eps) / (F.col(b) * k + eps))
     scale = float(len(ip))
