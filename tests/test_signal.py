@@ -1,4 +1,4 @@
-"""Signal under copies against pairs."""
+"""Signal under copies against pairs, and quantiles without a full order."""
 
 import math
 import random
@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from locusmill.operators import coverage
+from locusmill.operators import coverage, order
 from locusmill.plans import signal
 
 TRACK = "sample string, track_strand string, chrom string, start_pos long, end_pos long, value double"
@@ -64,3 +64,19 @@ def test_signal_per_copy_forms_no_pairs(tables):
     sums = coverage.signal_sums(coverage.clip_spans(features, sizes), track, ["fid", "strand"])
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and plan.count("Join ") == 1, plan  # with the sizes
+
+
+def test_quantiles_do_not_order_every_value(spark, monkeypatch):
+    rnd = random.Random(8)
+    values = [rnd.choice((rnd.gauss(0, 9), -4.0, 0.0, 1e-9, math.inf, -math.inf, None, float(rnd.randrange(5)))) for _ in range(600)]
+    df = spark.createDataFrame([("ab"[k % 2], v) for k, v in enumerate(values)], "s string, v double")
+    probs = [0.0, 0.1, 0.35, 0.5, 0.9]
+    plain = {r.s: r.q for r in order.exact_quantiles(df.where("v is not null"), ["s"], "v", probs, "q").orderBy("s").collect()}
+    monkeypatch.setattr(order, "SORTED", 0)
+    assert str(plain) == str({r.s: r.q for r in order.exact_quantiles(df.where("v is not null"), ["s"], "v", probs, "q").orderBy("s").collect()})
+    monkeypatch.undo()
+    ordered = []
+    monkeypatch.setattr(order, "ordered_runs", lambda *args, run=order.ordered_runs: ordered.append(args) or run(*args))
+    rankings = {"m": order.Ranking("v", ("s",))}
+    got = {r.s: r.m for r in order.summary_quantiles(order.order_summary(df, rankings), "m", ["s"], {"m": 0.5}).collect()}
+    assert got == {s: q[3] for s, q in plain.items()} and not ordered
