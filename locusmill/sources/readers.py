@@ -41,7 +41,8 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
     raw = raw.where((F.trim("value") != "") & ~F.col("value").startswith("@" if schema == SAM else "#"))
-    raw = raw.withColumn("__p", F.split("value", "\t", -1))
+    # A line is split once: what depends on a generated column is not looked at before it, where each field would split anew.
+    raw = raw.select("path", F.explode(F.array(F.split("value", "\t", -1))).alias("__p"))
     text = {name: F.nullif(F.get("__p", F.lit(k)), F.lit("")) for k, (name, _) in enumerate(fields)}
     typed = {name: text[name] if kind == "string" else text[name].try_cast(kind) for name, kind in fields}
     wrong = [text[name].isNotNull() & typed[name].isNull() for name, kind in fields if kind != "string"]
