@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
@@ -83,7 +84,7 @@ VIEWS = ["feature", "contact", "chrom_size"]
 
 
 def lcg_uniform(fid, orientation, stratum, node, draw):
-    side = 0 if orientation == "sense" else 15485863
+    side = np.where(orientation == "sense", 0, 15485863)
     return ((fid % 1000003) * 48271 + (stratum + 1) * 7919 + node * 104729 + draw * 1299709 + side) % 1000003 / 1000003.0
 
 

@@ -118,3 +118,32 @@ def test_floors_and_absent_chromosomes(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert targets.target_bins(hits, sizes, 100, 0, "chr1:0-150").where("masked").count() == 2
+
+
+def test_many_cells_at_once_are_the_cells_alone(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(f), "f", "s", "chr1", 200 * int(f), "+", "+", f"chr{rng.integers(1, 3)}", int(rng.integers(0, 4000)), 30, 30) for f in rng.integers(0, 9, 240)]
+    hits = spark.createDataFrame(rows, HITS).repartition(2)
+    sizes = spark.createDataFrame([("chr1", 4000), ("chr2", 4000)], "chrom string, size long")
+    bins = targets.target_bins(hits, sizes, 100, 0, "chr1:1900-3900")
+    cells = targets.concentration(targets.distant_counts(hits, bins, 100, 300), 2)
+    split = redraw.quantile_split(lambda fid, o, stratum, node, draw: (fid * 48271 + stratum * 7919 + node * 104729 + draw * 1299709) % 1000003 / 1000003.0)
+    read = lambda df: {r.fid: (round(r.h_null, 12), round(r.h_null_sd, 12), r.top1_null) for r in df.collect()}
+    together = read(targets.redraw_null(hits, cells, bins, 100, 300, 6, split))
+    expected = {r.fid: r.h_expected for r in targets.expected_null(hits, cells, bins, 100, 300).collect()}
+    singly = read(targets.redraw_null(hits, cells, bins, 100, 300, 3000))
+    monkeypatch.setattr(targets, "DRAWN", 0)
+    assert together == read(targets.redraw_null(hits, cells, bins, 100, 300, 6, split)) and len(together) > 3
+    monkeypatch.undo()
+    monkeypatch.setattr(targets, "FEW", 0)
+    tree = read(targets.redraw_null(hits, cells, bins, 100, 300, 3000))
+    for drawn in (singly, tree):
+        assert all(abs(drawn[f][0] - h) < 6 * drawn[f][1] / 3000**0.5 + 1e-9 for f, h in expected.items())
+    assert singly != tree
+
+
+def test_rows_of_single_draws():
+    squares, top = redraw.row_statistics(np.array([[4, 1, 4], [2, 2, 2], [0, 1, 2]]))
+    assert squares.tolist() == [5, 9, 3] and top.tolist() == [2, 3, 1]
+    u = redraw.hashed_uniform(1, np.repeat(np.arange(-50, 50), 100), np.tile(np.arange(100), 100), np.zeros(10_000))
+    assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.02 and len(np.unique(u)) == len(u)
