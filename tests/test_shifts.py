@@ -17,6 +17,7 @@ def test_sums_under_moving_intervals(spark, edge, block):
     size = {"c1": 300, "c2": 64}
     rows = [(c, s, s + rnd.choice((1, 9, 70)), rnd.choice(("k", "l", None))) for c in ("c1", "c2", "un") for _ in range(60) for s in [rnd.randrange(size.get(c, 90))]]
     points = [(rnd.choice(("c1", "c2", "un")), rnd.randrange(320), rnd.randrange(3)) for _ in range(200)]
+    lost = [("c1", None, 5), ("c2", None, 7)]  # under no interval
     draws = [(c, size[c], k, off, False) for c in size for k, off in enumerate((0, 41, 299))] + [(c, None, -1, None, True) for c in size]
     want = {}
     for chrom, a, b, key in rows:
@@ -30,7 +31,7 @@ def test_sums_under_moving_intervals(spark, edge, block):
             want[key, k] = want.get((key, k), 0) + n
     df = spark.createDataFrame(rows, "chrom string, start_pos long, end_pos long, g string").repartition(3)
     got = shifts.shifted_sums(
-        df, spark.createDataFrame(points, "chrom string, pos long, n long"), spark.createDataFrame(list(size.items()), "chrom string, size long"),
+        df, spark.createDataFrame(points + lost, "chrom string, pos long, n long"), spark.createDataFrame(list(size.items()), "chrom string, size long"),
         spark.createDataFrame(draws, "chrom string, size long, shift int, offset long, stays boolean"), ["g"], ["n"], edge, block,
     )
     assert {(r.g, r.shift): r.n for r in got.collect()} == want
